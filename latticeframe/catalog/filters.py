@@ -62,7 +62,7 @@ def nested_exists(t: Tables):
         ),
     )
     kept = t.orders.withColumn("groups", i_groups).where(
-        flt.has_band_group(F.col("groups"), 4, "NLC", ("2", "X"), min_degeneracy=2)
+        flt.has_band_group(F.col("groups"), 4, "NLC", ("X", "2"), min_degeneracy=2)
     )
     return kept.select("o_orderkey").distinct()
 

@@ -32,7 +32,7 @@ def bandrep_pages(t: Tables):
         F.lit("</table></html>"),
     )
     html = F.when(key % 10 == 0, "<html><p>No EBR</p></html>").otherwise(table)
-    return t.orders.select("o_orderkey", html.alias("html"))
+    return t.spread("orders", "o_orderkey", "o_custkey").select("o_orderkey", html.alias("html"))
 
 
 @query(
@@ -81,7 +81,7 @@ def index_pages(t: Tables):
         F.lit("<table><tr><td colspan=4>indices</td></tr><tr><td>GM1<td>X<i>2</i><td>mod</tr>"), F.array_join(body, "\n"),
         F.lit("</table>"),
     )
-    return t.customer.select("c_custkey", F.when(key % 12 == 0, "<p>none").otherwise(html).alias("html"))
+    return t.spread("customer", "c_custkey", "c_nationkey").select("c_custkey", F.when(key % 12 == 0, "<p>none").otherwise(html).alias("html"))
 
 
 @query(
@@ -140,7 +140,7 @@ def decomp_html(t: Tables):
     )
     plain = _text("<p>As: <b>A1↑G(", F.col("user_id"), ")</b> and <i> ", F.col("event_type"), "↑G </i></p>")
     html = F.when(kind == 0, table).when(kind == 1, plain).otherwise("<p>neither</p>")
-    parsed = pg.decompositions(t.events.select("event_id", html.alias("html")), "event_id")
+    parsed = pg.decompositions(t.spread("events").select("event_id", html.alias("html")), "event_id")
     branches = F.array_join(F.transform("branches", lambda r: F.array_join(r, ",")), "|")
     return parsed.select("event_id", "kind", F.coalesce(branches, F.array_join("ebr_list", "|")).alias("content"))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 
 class Tables:
     """Lazy Parquet tables of one data folder, read as attributes."""
@@ -18,6 +20,10 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """A table for row-local work, over all cores even when its file is small."""
+        return spread(getattr(self, name).select(*columns or ["*"]))
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 

@@ -37,7 +37,7 @@ def has_band_group(
     irrep: tuple[str, str] | None = None,
     min_degeneracy: int | None = None,
 ) -> Column:
-    """Whether one band group meets every given condition; ``irrep`` is (label, k-point)."""
+    """Whether one band group meets every given condition; ``irrep`` is (k-point, label)."""
 
     def fits(group: Column) -> Column:
         ok = F.lit(True)
@@ -46,12 +46,12 @@ def has_band_group(
         if subclass is not None:
             ok = ok & (group["subclass"] == subclass)
         if irrep is not None:
-            label, k_point = irrep
+            k_point, label = irrep
 
             def rep_fits(rep: Column) -> Column:
                 hit = (rep["irrep_label"] == label) & (rep["k_point"] == k_point)
                 if min_degeneracy is not None:
-                    hit = hit & (F.coalesce(rep["degeneracy"], F.lit(0)) >= min_degeneracy)
+                    hit = hit & F.coalesce(rep["degeneracy"] >= min_degeneracy, F.lit(False))
                 return hit
 
             ok = ok & F.exists(group["reps"], rep_fits)

@@ -33,21 +33,23 @@ def bandrep_columns(pages: DataFrame, key: str, html: str = "html") -> DataFrame
     without such a table gives no row; see ``failed_pages``.
     """
     boxed = F.get(h.tables(F.col(html), r"\bframe\s*=\s*[\"']?box"), F.lit(0))
-    page = pages.select(key, h.grid(boxed).alias("rows")).where(F.size("rows") > 0)
     is_k = lambda r: F.contains(_first_text(r), F.lit(":"))
-    page = page.select(
+    named = lambda name: F.try_element_at(
+        F.filter("heads", lambda r: _row_key(r) == name), F.lit(-1)
+    )
+    # Pages without rows end in the explode of a NULL sequence: a filter on the parsed
+    # rows would be pushed below the parse and run it twice.
+    page = pages.select(key, h.grid(boxed).alias("rows")).select(
         key,
         F.array_max(F.transform("rows", lambda r: F.size(r))).alias("width"),
         F.filter("rows", is_k).alias("krows"),
         F.filter("rows", lambda r: ~is_k(r)).alias("heads"),
-    ).where(F.exists("heads", lambda r: _row_key(r) == WYCKOFF_ROW))
+    )
     page = page.select(
-        key, "width", "krows",
-        F.try_element_at(F.filter("heads", lambda r: _row_key(r) == WYCKOFF_ROW), F.lit(-1)).alias("w"),
-        F.try_element_at(F.filter("heads", lambda r: _row_key(r) == BANDREP_ROW), F.lit(-1)).alias("b"),
-        F.try_element_at(F.filter("heads", lambda r: _row_key(r) == DECOMPOSABLE_ROW), F.lit(-1)).alias("d"),
+        key, "width", "krows", named(WYCKOFF_ROW).alias("w"), named(BANDREP_ROW).alias("b"), named(DECOMPOSABLE_ROW).alias("d"),
     )
-    column = page.where("width > 1").select("*", F.explode(F.sequence(F.lit(1), F.col("width") - 1)).alias("ebr_column"))
+    columns = F.when(F.col("w").isNotNull() & (F.col("width") > 1), F.sequence(F.lit(1), F.col("width") - 1))
+    column = page.select("*", F.explode(columns).alias("ebr_column"))
     i = F.col("ebr_column")
     points = F.transform(
         F.filter("krows", lambda r: F.size(r) > i),
