@@ -19,3 +19,14 @@ def whole(array) -> Column:
     """
     c = F.col(array) if isinstance(array, str) else array
     return F.slice(c, F.lit(1), F.size(c))
+
+
+def last_value_map(pairs: Column, name: str, value: str) -> Column:
+    """Map from an array of structs; a repeated name keeps its last value."""
+
+    def build(p: Column) -> Column:
+        names = F.array_distinct(F.transform(p, lambda x: x[name]))
+        last = lambda n: F.element_at(F.filter(p, lambda x: x[name] == n), -1)[value]
+        return F.map_from_arrays(names, F.transform(names, last))
+
+    return let(pairs, build)

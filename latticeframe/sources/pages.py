@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as h
+from ..functions.arrays import last_value_map
 from ..functions.topology import detail_id
 
 # Keys of the header rows after lower-casing and dropping ``.`` and ``/``.
@@ -58,17 +59,10 @@ def bandrep_columns(pages: DataFrame, key: str, html: str = "html") -> DataFrame
     return column.select(
         key, "ebr_column", _at(F.col("w"), i, "text", "").alias("wyckoff"), _at(F.col("b"), i, "text", "").alias("bandrep"),
         F.when(_at(F.col("d"), i, "has_form", False), "decomposable").otherwise("indecomposable").alias("note"),
-        _last_value_map(points, "k", "cell").alias("kpoints"),
+        last_value_map(points, "k", "cell").alias("kpoints"),
     )
 
 
-def _last_value_map(pairs: Column, name: str, value: str) -> Column:
-    """Map from pairs where a repeated name keeps its last value."""
-    names = F.array_distinct(F.transform(pairs, lambda p: p[name]))
-    last = lambda n: F.element_at(F.filter(pairs, lambda p: p[name] == n), -1)[value]
-    return F.map_from_arrays(names, F.transform(names, last))
-
-
 def failed_pages(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Pages without a boxed band-representation table."""
     boxed = F.get(h.tables(F.col(html), r"\bframe\s*=\s*[\"']?box"), F.lit(0))
@@ -93,7 +87,7 @@ def index_tables(pages: DataFrame, key: str, html: str = "html", header_row: int
     )
     return rows.select(
         key, texts[0].alias("index_name"), F.element_at(texts, -1).try_cast("int").alias("mod_value"),
-        _last_value_map(F.filter(pairs, lambda p: p["name"].isNotNull()), "name", "value").alias("irreps"),
+        last_value_map(F.filter(pairs, lambda p: p["name"].isNotNull()), "name", "value").alias("irreps"),
     )
 
 
@@ -126,7 +120,7 @@ def magnetic_index_tables(pages: DataFrame, key: str, html: str = "html") -> Dat
     built = body.select(
         key, F.col("row")[0].alias("index_name"),
         F.when(modulus.rlike(r"^\d+$"), modulus.try_cast("int")).alias("mod_value"),
-        _last_value_map(pairs, "name", "value").alias("irreps"),
+        last_value_map(pairs, "name", "value").alias("irreps"),
     )
     return built.where(F.size("irreps") > 0)
 
