@@ -13,7 +13,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
     trimmed = raw.toDF(*[c.strip() for c in raw.columns])
     return trimmed.select(
-        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schemas.CATALOGUE.fields if f.name in trimmed.columns]
+        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schemas.schema(schemas.CATALOGUE).fields if f.name in trimmed.columns]
     )
 
 
