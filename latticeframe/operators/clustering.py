@@ -22,28 +22,36 @@ NOISE = "-1"
 CELL_PART = 20_000
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) with the smallest node as the component's name.
 
-    Each round takes the smallest label of the neighbours, then follows that label's own
-    label, so paths shrink by half. Rounds end when no label changes; lineage is cut by
-    reliable checkpoints.
+    Every node points to a parent. In each round a node looks at the grandparents of its
+    neighbours; the smallest one becomes a candidate for the node and for its parent, and
+    paths are halved. Rounds (about the logarithm of the size) end when no grandparent
+    changes; each round's state is a written table.
     """
-    both = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    state = cut_lineage(nodes.select("node", F.col("node").alias("component")))
+    flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = cut_lineage(edges.select("src", "dst").unionByName(flipped).distinct())
+    state = cut_lineage(nodes.select("node", F.col("node").alias("parent"), F.col("node").alias("grand")))
     for _ in range(max_rounds):
-        label = state.select(F.col("node").alias("dst"), F.col("component").alias("_seen"))
-        seen = both.join(label, "dst").groupBy(F.col("src").alias("node")).agg(F.min("_seen").alias("_seen"))
-        least = state.join(seen, "node", "left").select(
-            "node", F.col("component").alias("_old"), F.least("component", F.coalesce("_seen", "component")).alias("_new")
-        )
-        jump = least.select(F.col("node").alias("_new"), F.col("_new").alias("_far"))
-        state = cut_lineage(
-            least.join(jump, "_new", "left").select("node", "_old", F.least("_new", F.coalesce("_far", "_new")).alias("component"))
-        )
-        if state.where(F.col("_old") != F.col("component")).isEmpty():
-            return state.select("node", "component")
-        state = state.select("node", "component")
+        around = both.join(state.select(F.col("node").alias("dst"), F.col("grand").alias("_g")), "dst")
+        least = around.groupBy(F.col("src").alias("node")).agg(F.min("_g").alias("_g"))
+        seen = state.join(least, "node", "left").withColumn("_g", F.coalesce("_g", "grand"))
+        # Candidates for the node itself and, in the same aggregate, for its parent.
+        offers = seen.select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("node"), F.least("parent", "grand", "_g").alias("to"), F.col("grand").alias("was")),
+                    F.struct(F.col("parent").alias("node"), F.col("_g").alias("to"), F.lit(None).cast(nodes.schema["node"].dataType).alias("was")),
+                )
+            ).alias("o")
+        ).select("o.*")
+        moved = cut_lineage(offers.groupBy("node").agg(F.min("to").alias("parent"), F.max("was").alias("_was")))
+        above = moved.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        state = cut_lineage(moved.join(above, "parent"))
+        if state.where(F.col("_was") != F.col("grand")).isEmpty():
+            return state.select("node", F.col("grand").alias("component"))
+        state = state.select("node", "parent", "grand")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

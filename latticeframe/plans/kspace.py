@@ -53,6 +53,8 @@ def kspace_graphs(facts: DataFrame, graph: str = "space_group_number", proximity
         )
     if proximity:
         edges = edges.unionByName(wide(gr.proximity_edges(nodes, keys)))
+    # The edges decide which graphs need the fallback chain and are counted afterwards.
+    edges = cut_lineage(edges)
     edges = edges.unionByName(wide(gr.chain_fallback(nodes, edges, keys)))
     return KspaceGraphs(nodes, edges, gr.graph_meta(nodes, edges, keys), physics_vectors(facts, keys))
 
