@@ -75,11 +75,11 @@ def cloud_histograms(long: DataFrame, cloud: str, bins: int = 10) -> DataFrame:
     placed = rows.join(span.drop("n"), [cloud, "dim"]).withColumn(
         "bin", F.least(F.expr(f"width_bucket(v, lo, hi, {bins})"), F.lit(bins)).cast("int")
     )
-    counts = placed.groupBy(cloud, "dim", "bin").agg(F.count(F.lit(1)).alias("c"))
+    counts = placed.groupBy(cloud, "dim", "bin").agg(F.count(F.lit(1)).alias("_c"))
     grid = span.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     joined = grid.join(counts, [cloud, "dim", "bin"], "left")
     width = (F.col("hi") - F.col("lo")) / bins
-    return joined.select(cloud, "dim", "bin", (F.coalesce("c", F.lit(0)) / (F.col("n") * width)).alias("density"))
+    return joined.select(cloud, "dim", "bin", (F.coalesce("_c", F.lit(0)) / (F.col("n") * width)).alias("density"))
 
 
 def cloud_covariance(df: DataFrame, cloud: str, vector: str, width: int) -> DataFrame:
@@ -131,10 +131,10 @@ def bag_of_words(df: DataFrame, cloud: str, vector: str, clusters: int = 50, see
 
     points = df.select(cloud, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=clusters, seed=seed, initMode="k-means||").fit(points)
-    counted = model.transform(points).groupBy(cloud, F.col("prediction").alias("word")).agg(F.count(F.lit(1)).alias("c"))
+    counted = model.transform(points).groupBy(cloud, F.col("prediction").alias("word")).agg(F.count(F.lit(1)).alias("_c"))
     # At most ``clusters`` rows per cloud.
-    total = F.sum("c").over(Window.partitionBy(cloud))
-    return counted.select(cloud, "word", (F.col("c") / total).alias("share"))
+    total = F.sum("_c").over(Window.partitionBy(cloud))
+    return counted.select(cloud, "word", (F.col("_c") / total).alias("share"))
 
 
 def vectorize_clouds(long: DataFrame, cloud: str, methods: tuple[str, ...] = ("statistical", "histogram", "moment", "pool")) -> DataFrame:

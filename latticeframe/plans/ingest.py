@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import maintenance as mt
+from ..session import cut_lineage
 from ..sources import pages as pg
 
 
 def ingest_bandreps(pages: DataFrame, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages to (ebrs, irreps, failures); ids are hashes of (group, column), so a rerun gives the same rows."""
-    columns = pg.bandrep_columns(pages, group)
+    # Parsing costs most here, and both tables come from it: it runs once, into a staging table.
+    columns = cut_lineage(pg.bandrep_columns(pages, group))
     parents, children = mt.parents_and_children(columns, [group, "ebr_column"], "kpoints")
     ebrs = parents.select(
         F.col("ebr_id").alias("id"), group, labels.wyckoff("wyckoff").alias("w"), labels.orbital("bandrep").alias("o"),
