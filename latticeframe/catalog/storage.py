@@ -75,8 +75,7 @@ def metadata_round_trip(t: Tables):
         F.create_map(F.lit("Property"), "o_orderpriority").alias("local_database_props"),
     )
     path = scratch_path(t.spark, "metadata")
-    # One file per group and task would be many small files, so each group goes to few tasks.
-    sinks.write_metadata(records.repartition("space_group_number"), path, "space_group_number")
+    sinks.write_metadata(records, path, "space_group_number")
     stored = sinks.read_metadata(t.spark, path, records.schema)
     return stored.select(
         "o_orderkey", "space_group_number", "electronic_structure.band_gap", "electronic_structure.is_metal",

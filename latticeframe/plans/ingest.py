@@ -9,6 +9,7 @@ from ..functions import labels
 from ..operators import maintenance as mt
 from ..session import cut_lineage
 from ..sources import pages as pg
+from ..sources.sinks import rebalanced
 
 
 def ingest_bandreps(pages: DataFrame, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -46,4 +47,5 @@ def ingest_indices(pages: DataFrame, group: str, magnetic: bool = False) -> tupl
 
 def write_group_tables(df: DataFrame, path: str, group: str) -> None:
     """Replace only the partitions of the groups in ``df``."""
-    df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(group).parquet(path)
+    writer = rebalanced(df, group).write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writer.partitionBy(group).parquet(path)

@@ -9,9 +9,15 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 NESTED = (ArrayType, MapType, StructType)
 
 
+def rebalanced(table: DataFrame, group: str) -> DataFrame:
+    """Rows of a group go to few writers: AQE merges small groups and splits a group that is too large."""
+    return table.hint("rebalance", F.col(group))
+
+
 def write_metadata(records: DataFrame, path: str, group: str | None = None, fmt: str = "parquet") -> None:
     """Nested records, partitioned by space group where one is named."""
-    writer = records.write.mode("overwrite").format(fmt)
+    rows = rebalanced(records, group) if group else records
+    writer = rows.write.mode("overwrite").format(fmt)
     (writer.partitionBy(group) if group else writer).save(path)
 
 
@@ -65,7 +71,8 @@ def write_rows(rows: DataFrame, path: str) -> bool:
 def write_graphs(vertices: DataFrame, edges: DataFrame, meta: DataFrame, path: str, group: str) -> None:
     """Vertices, edges and sizes per space group; only the groups present are replaced."""
     for name, table in (("vertices", vertices), ("edges", edges), ("meta", meta)):
-        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(group).parquet(f"{path}/{name}")
+        writer = rebalanced(table, group).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(group).parquet(f"{path}/{name}")
 
 
 def serializable(records: DataFrame, live: list[str]) -> DataFrame:
