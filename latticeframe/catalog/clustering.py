@@ -13,7 +13,26 @@ def pca2(t: Tables):
     return out.select("vec_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
-@query("dbscan", "CL2 FL15")
+@query(
+    "dbscan",
+    "CL2 FL15",
+    """
+    with recursive pts as (select p_partkey as id, p_size::double as x, p_retailprice as y, p_name, p_type from part),
+    e as materialized (
+      select a.id as a, b.id as b from pts a join pts b on abs(a.x - b.x) <= 1.25 and abs(a.y - b.y) <= 1.25
+      where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.2::double * 1.2::double),
+    core as materialized (select a as id from e group by a having count(*) >= 5),
+    ce as materialized (select a, b from e where a in (select id from core) and b in (select id from core)),
+    r(id, label) using key (id) as (
+      select id, id from core
+      union
+      select n.id, n.label from (select ce.b as id, min(r.label) as label from r join ce on ce.a = r.id group by ce.b) n
+      join recurring.r o on o.id = n.id where n.label < o.label),
+    border as (select e.a as id, min(r.label) as label from e join r on r.id = e.b where e.a not in (select id from core) group by e.a)
+    select p.id as p_partkey, x, y, p_name as formula, p_type as colour, coalesce(r.label, border.label, -1)::varchar as cluster
+    from pts p left join r on r.id = p.id left join border on border.id = p.id
+    """,
+)
 def dbscan(t: Tables):
     points = t.part.select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     labels = cl.density_clusters(points, "p_partkey", ["x", "y"], eps=1.2, min_points=5)
