@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import detail, labels
+from ..functions import detail
 from ..operators import ranking
 from .registry import Tables, query
 

@@ -7,10 +7,6 @@ from ..operators import filters as flt
 from .registry import Tables, query
 
 
-def _part_values(t: Tables):
-    return {n: t.part[n] for n in ("p_brand", "p_type", "p_size")}
-
-
 PATTERN = {"p_brand": "Brand#2", "p_type": "PROMO"}
 
 

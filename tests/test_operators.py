@@ -369,3 +369,31 @@ def test_incremental_ingest_resumes(spark, tmp_path):
     (folder / "sg_2.html").write_text("<p>two</p>")
     ingest_new_pages(spark, str(folder), progress, write)
     assert seen == ["sg_1", "sg_2"]
+
+
+def test_stored_graphs_replace_only_their_groups(spark, tmp_path):
+    from latticeframe.sources import tables
+
+    path = str(tmp_path / "graphs")
+
+    def store(groups):
+        nodes = spark.createDataFrame([(g, i) for g in groups for i in range(g)], "space_group_number int, idx long")
+        edges = gr.path_edges(nodes, ["space_group_number"])
+        sinks.write_graphs(nodes, edges, gr.graph_meta(nodes, edges, ["space_group_number"]), path, "space_group_number")
+
+    store([2, 3])
+    store([3, 5])
+    sizes = {r.space_group_number: r.num_edges for r in tables.shared_graph_sizes(spark, path).collect()}
+    assert sizes == {2: 1, 3: 2, 5: 4}
+    one_group = tables.read_group(spark, f"{path}/edges", 5)
+    assert one_group.count() == 4
+    plan = one_group._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(space_group_number" in plan
+
+
+def test_property_dump(spark, tmp_path):
+    from latticeframe.sources import tables
+
+    (tmp_path / "p.json").write_text('{"jid": "a", "density": NaN}\n{"jid": "b", "kv": 1.5}\n')
+    rows = {r.jid: r for r in tables.read_properties(spark, str(tmp_path / "p.json")).collect()}
+    assert rows["a"].density != rows["a"].density and rows["a"].kv is None and rows["b"].kv == 1.5
