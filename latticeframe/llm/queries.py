@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import fold_of
+from .exact_dedup import exact_groups
+from .mixing import mix_sources
+from .sharding import shuffle_into_shards
+from .text import LOWER, UPPER, fold_of
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -22,5 +25,35 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
-ORACLES: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts from the streaming state; one row per document."""
+    groups = exact_groups(table(spark, sf_dir, "documents"))
+    digest = F.lower(F.hex("digest")).alias("text_sha256")
+    return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", digest)
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS body FROM documents),
+g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
+FROM d JOIN g USING (body)
+"""
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document so that sources meet their targets."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards whose row counts differ by one at most."""
+    docs = table(spark, sf_dir, "documents")
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    sized = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    dealt = shuffle_into_shards(sized, ["doc_id", "size", "text_crc32"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op6_mixing": op6_mixing, "op10_sharding": op10_sharding}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Separators of tokens: space and U+0009 to U+000D.
@@ -60,3 +60,13 @@ def hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of distinct tokens."""
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
+    """Broadcast hint for a table of known row count (narrow rows) below ``limit``; a plain shuffle join above it."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def unit_hash(seed: int, *columns: Column) -> Column:
+    """A uniform number in [0, 1) that depends on the seed and the columns only."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) * F.lit(2.0**-53)
