@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .mixing import mix_sources
+from .packing import pack, tokenized_pieces
 from .sharding import shuffle_into_shards
 from .text import LOWER, UPPER, fold_of
 from .toxicity import fit_toxicity, score_toxicity
@@ -46,6 +47,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file that op9 names; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    pieces = tokenized_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards whose row counts differ by one at most."""
     docs = table(spark, sf_dir, "documents")
@@ -55,5 +69,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op6_mixing": op6_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op6_mixing": op6_mixing, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
