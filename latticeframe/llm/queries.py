@@ -9,6 +9,7 @@ from .exact_dedup import exact_groups
 from .mixing import mix_sources
 from .packing import pack, tokenized_pieces
 from .sharding import shuffle_into_shards
+from .suffix_tree import fit_suffix_tree, score_texts
 from .text import LOWER, UPPER, fold_of
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -41,6 +42,15 @@ FROM d JOIN g USING (body)
 """
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all texts by a suffix tree learned outside fold 0 of 10."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tree = fit_suffix_tree(docs.where(fold_of("doc_id", 10) != 0))
+    scored = score_texts(docs, tree)
+    held_out = (fold_of("doc_id", 10) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each document so that sources meet their targets."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
@@ -69,5 +79,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op6_mixing": op6_mixing, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op4_suffix_tree": op4_suffix_tree, "op6_mixing": op6_mixing, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
