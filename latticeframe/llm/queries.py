@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .jaccard_join import near_duplicates
 from .mixing import mix_sources
 from .packing import pack, tokenized_pieces
 from .sharding import shuffle_into_shards
@@ -57,6 +58,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates (five-word shingles, Jaccard 0.8 or more); one row per document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "group_id", "stays")
+
+
 def tokenizer_path() -> str:
     """The public vocabulary file that op9 names; operators take the path as a parameter."""
     import public_tokenizers
@@ -79,5 +86,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op4_suffix_tree": op4_suffix_tree, "op6_mixing": op6_mixing, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op4_suffix_tree": op4_suffix_tree, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
