@@ -26,6 +26,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Many small stores: no space is reserved ahead.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 LOCATOR = ["file", "row"]
 # Log bytes that one micro-batch takes into the state.
