@@ -10,6 +10,7 @@ from .jaccard_join import near_duplicates
 from .mixing import mix_sources
 from .packing import pack, tokenized_pieces
 from .sharding import shuffle_into_shards
+from .simhash import compare_edited
 from .suffix_tree import fit_suffix_tree, score_texts
 from .text import LOWER, UPPER, fold_of
 from .toxicity import fit_toxicity, score_toxicity
@@ -71,6 +72,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited forms."""
+    found = compare_edited(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     pieces = tokenized_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -86,5 +93,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op4_suffix_tree": op4_suffix_tree, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op4_suffix_tree": op4_suffix_tree, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
