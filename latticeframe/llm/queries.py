@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .jaccard_join import near_duplicates
 from .mixing import mix_sources
 from .packing import pack, tokenized_pieces
+from .personal_data import KINDS, find_personal_data, ordered_spans, span_text
 from .sharding import shuffle_into_shards
 from .simhash import compare_edited
 from .suffix_tree import fit_suffix_tree, score_texts
@@ -45,6 +46,20 @@ FROM d JOIN g USING (body)
 """
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all texts: fixed forms, and what their surroundings reveal."""
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    none = F.array().cast(found.schema["base"].dataType)
+    spans = ordered_spans(F.col("base"), F.col("added"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
+    base = F.sha2(span_text(ordered_spans(F.col("base"), none)).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, span_text(spans).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of all texts by a suffix tree learned outside fold 0 of 10."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,5 +115,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_personal_data": op3_personal_data, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
