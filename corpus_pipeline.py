@@ -8,7 +8,6 @@ tested against plain Python on small tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from latticeframe.llm.exact_dedup import drop_copies
 from latticeframe.llm.jaccard_join import keep_one
@@ -16,15 +15,14 @@ from latticeframe.llm.mixing import mixed_rows
 from latticeframe.llm.packing import pack, tokenized_pieces
 from latticeframe.llm.queries import table, tokenizer_path
 from latticeframe.llm.text import fold_of
-from latticeframe.llm.toxicity import fit_toxicity, score_toxicity
+from latticeframe.llm.toxicity import drop_toxic, fit_toxicity
 from latticeframe.session import cut_lineage
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from labels outside fold 0 of 5, as op1 does."""
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 5) != 0)
-    scored = score_toxicity(docs, fit_toxicity(docs, labels), keep=docs.columns)
-    return scored.where(F.col("predicted") == 0).select(docs.columns)
+    return drop_toxic(docs, fit_toxicity(docs, labels))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

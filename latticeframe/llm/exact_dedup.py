@@ -41,6 +41,8 @@ def sha256(text: Column) -> Column:
 def located(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text, file, row): where each row's content lies. What isn't read from files is written first."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    if "_metadata" in docs.columns:
+        rows = cut_lineage(rows)
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     try:
         return rows.select("id", "text", *place)
@@ -82,16 +84,17 @@ def kept_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return raw.select("key.digest", F.col(f"value.{keep}").alias("keep"), F.col(f"value.{n}").alias("n"))
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, digest=sha256) -> DataFrame:
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, digest=sha256, rows: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: id, file, row, keep_id, group_size long, kept boolean, digest binary.
 
     ``folder`` holds the log and the state (a new one in the shared folder if none is given); given again with
-    further rows, those rows are grouped with all earlier ones and the result covers them all.
+    further rows, those rows are grouped with all earlier ones and the result covers them all. ``rows``: the rows as
+    ``located`` gives them, if they are at hand.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "dedup")
     log, checkpoint = f"{folder}/log", f"{folder}/state"
-    rows = located(docs, key, text)
+    rows = located(docs, key, text) if rows is None else rows
     append_arrivals(rows, log, digest)
     arrivals = spark.read.parquet(log)
     if arrivals.isEmpty():
@@ -124,16 +127,37 @@ def _contents(spark: SparkSession, rows: DataFrame, hits: DataFrame, log: str) -
     return rows.join(small, LOCATOR).select("digest", *LOCATOR, ascii_lower(F.col("text")).alias("body"))
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts; columns as given.
+def addressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns renamed to _c0, _c1, ... (so that no name clashes) and the locator of each row.
 
-    Rows are found again by their locators, so ``docs`` is written first unless it is read from files.
+    Rows that aren't read from files are written first.
     """
-    try:
-        docs.select(F.col(key), F.col("_metadata.file_path"))
-    except AnalysisException:
-        docs = cut_lineage(docs)
-    gone = exact_groups(docs, key, text).where(~F.col("kept")).select(F.col("file").alias("_gone_file"), F.col("row").alias("_gone_row"))
-    gone = cut_lineage(gone)
-    here = docs.select("*", F.col("_metadata.file_path").alias("_gone_file"), F.col("_metadata.row_index").alias("_gone_row"))
-    return here.join(broadcast_if_small(gone, gone.count()), ["_gone_file", "_gone_row"], "left_anti").select(docs.columns)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    if "_metadata" not in docs.columns:
+        try:
+            return plain.select("*", *place)
+        except AnalysisException:
+            pass
+    return cut_lineage(plain).select("*", *place)
+
+
+def without(rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """``addressed`` rows but those at the locators (file, row) of ``gone``, under their own ``names``."""
+    gone = cut_lineage(gone.select(F.col("file").alias("_file"), F.col("row").alias("_row")))
+    left = rows.join(broadcast_if_small(gone, gone.count()), ["_file", "_row"], "left_anti")
+    return left.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def readdressed(rows: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
+    """(id, text, file, row) of ``addressed`` rows."""
+    return rows.select(
+        F.col(f"_c{columns.index(key)}").alias("id"), F.col(f"_c{columns.index(text)}").alias("text"), F.col("_file").alias("file"), F.col("_row").alias("row")
+    )
+
+
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts; columns as given, whatever their names."""
+    rows = addressed(docs)
+    groups = exact_groups(docs, key, text, rows=readdressed(rows, docs.columns, key, text))
+    return without(rows, groups.where(~F.col("kept")), docs.columns)

@@ -22,13 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clustering import connected_components
 from ..session import cut_lineage
-from .exact_dedup import located
+from .exact_dedup import addressed, located, readdressed, without
 from .text import broadcast_if_small, hashes, slices, token_codes
 
 HASHES, BAND = 128, 4
@@ -184,14 +183,15 @@ def _compare(width: int, threshold: float, tolerance: float):
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, tolerance: float = 1e-6
-) -> DataFrame:
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, tolerance: float = 1e-6,
+    rows: DataFrame | None = None,
+) -> DataFrame:
     """One row per row of ``docs``: id, file, row (its locator), class_id, class_size, n_links, group_id, stays.
 
     class_id: the smallest identifier among the texts of the same words; n_links long: the other rows at the threshold or
     above, copies included; group_id: the smallest identifier that is reached by links; stays: true on one row of each group.
     """
-    rows = located(docs, key, text)
+    rows = located(docs, key, text) if rows is None else rows
     kind = docs.schema[key].dataType.simpleString()
     signed = rows.mapInArrow(_sign(width), f"id {kind}, file string, row long, digest binary, sig binary, bytes long")
     signed = cut_lineage(signed)
@@ -242,11 +242,6 @@ def _verified(rows: DataFrame, classes: DataFrame, groups: DataFrame, width: int
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, the one with the smallest identifier; columns as given."""
-    try:
-        docs.select(F.col(key), F.col("_metadata.file_path"))
-    except AnalysisException:
-        docs = cut_lineage(docs)
-    gone = near_duplicates(docs, key, text, **options).where(~F.col("stays"))
-    gone = cut_lineage(gone.select(F.col("file").alias("_gone_file"), F.col("row").alias("_gone_row")))
-    here = docs.select("*", F.col("_metadata.file_path").alias("_gone_file"), F.col("_metadata.row_index").alias("_gone_row"))
-    return here.join(broadcast_if_small(gone, gone.count()), ["_gone_file", "_gone_row"], "left_anti").select(docs.columns)
+    rows = addressed(docs)
+    groups = near_duplicates(docs, key, text, rows=readdressed(rows, docs.columns, key, text), **options)
+    return without(rows, groups.where(~F.col("stays")), docs.columns)

@@ -127,25 +127,27 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; columns as given.
+    """``docs`` with each row as often as the mix takes it; columns as given, whatever their names.
 
     Rows that agree in doc_id, source and size are told apart by their order over all columns.
     """
-    chosen = cut_lineage(mix_sources(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "nth", "copies"
-    ))
-    keys = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size"))
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    equal = cut_lineage(chosen.where("nth > 0").select("_id", "_src", "_size").distinct())
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}")) for k in ("_id", "_src", "_size")]
+    chosen = mix_sources(docs, **options).where("copies > 0")
+    chosen = cut_lineage(chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies")))
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    doc_id, source, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "source", "text"))
+    sized = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(docs.columns, own)]).withColumn("_words", word_count(text))
+    keys = doc_id.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size"))
+    equal = cut_lineage(chosen.where("_nth > 0").select("_id", "_src", "_size").distinct())
     alone, n = chosen, chosen.count()
     parts = []
     if not equal.isEmpty():
+        same = [F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}")) for k in ("_id", "_src", "_size")]
         held = chosen.alias("c").join(equal.alias("e"), same, "left_semi")
         alone = chosen.alias("c").join(equal.alias("e"), same, "left_anti")
-        order = Window.partitionBy("doc_id", "source", "_words").orderBy(*docs.columns)
-        numbered = sized.join(equal, keys, "left_semi").withColumn("_nth", F.row_number().over(order) - 1)
-        parts.append(numbered.join(held, keys & (F.col("_nth") == F.col("nth"))).select(*docs.columns, "copies"))
-    parts.append(sized.join(broadcast_if_small(alone, n), keys).select(*docs.columns, "copies"))
+        order = Window.partitionBy(doc_id, source, "_words").orderBy(*own)
+        numbered = sized.join(equal, keys, "left_semi").withColumn("_at", F.row_number().over(order) - 1)
+        parts.append(numbered.join(held, keys & (F.col("_at") == F.col("_nth"))).select(*own, "_copies"))
+    parts.append(sized.join(broadcast_if_small(alone, n), keys).select(*own, "_copies"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    taken = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[F.col(a).alias(c) for a, c in zip(own, docs.columns)])

@@ -213,14 +213,10 @@ SPANS = "array<struct<start:int,end:int,p:double>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """``keep`` columns of each row with score, predicted and, for rejected rows, the offending sentences.
-
-    The whole text is read. Columns: *keep, score double, predicted int, offending array of (start, end, p).
-    """
-    keep = ["doc_id"] if keep is None else keep
+def _scored(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float) -> DataFrame:
+    """``keep`` columns, renamed to _0, _1, ..., with score, predicted and offending."""
     names = [f"_{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.col("text").alias("text"))
+    source = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keep, names)], F.col("text").alias("text"))
     index = {f: i for i, f in enumerate(model.weights)}
     weights, bias, leak = np.fromiter(model.weights.values(), float), model.bias, model.leak
 
@@ -248,5 +244,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
                 yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted", "offending"])
 
     schema = ", ".join(f"{a} {docs.schema[c].dataType.simpleString()}" for c, a in zip(keep, names))
-    scored = source.mapInArrow(run, f"{schema}{', ' if schema else ''}score double, predicted int, offending {SPANS}")
-    return scored.select(*[F.col(a).alias(c) for c, a in zip(keep, names)], "score", "predicted", "offending")
+    return source.mapInArrow(run, f"{schema}{', ' if schema else ''}score double, predicted int, offending {SPANS}")
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """``keep`` columns of each row with score, predicted and, for rejected rows, the offending sentences.
+
+    The whole text is read. Columns: *keep, score double, predicted int, offending array of (start, end, p).
+    """
+    keep = ["doc_id"] if keep is None else keep
+    scored = _scored(docs, model, keep, threshold)
+    return scored.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted", "offending")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rejected rows; columns as given, whatever their names."""
+    kept = _scored(docs, model, docs.columns, threshold).where(F.col("predicted") == 0)
+    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
