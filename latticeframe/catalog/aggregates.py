@@ -45,7 +45,7 @@ def vocab(t: Tables):
     values = t.events.select(F.lit("irrep").alias("kind"), F.col("event_type").alias("value")).unionByName(
         t.part.select(F.lit("k_point").alias("kind"), F.concat_ws(" ", "p_brand", "p_name").alias("value"))
     )
-    return ranking.dense_index(values, ["kind"], "value", ranking.text_bucket("value", 8), "idx")
+    return ranking.dense_index(values, ["kind"], "value", "idx")
 
 
 @query("value_counts", "AG5", "select l_linestatus, l_returnflag, count(*) as n from lineitem group by all")

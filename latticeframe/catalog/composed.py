@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..operators import joins as jn
 from ..plans import kspace, records
+from ..session import cut_lineage
 from ..sources import poscar
 from .registry import Tables, query
 from .storage import catalogue_rows
@@ -31,14 +32,15 @@ from .structures import structure_text
                 when contains(upper(prop), 'SM') then 'Semimetal' when contains(upper(prop), 'WEYL') then 'Weyl Semimetal'
                 when contains(upper(prop), 'DIRAC') then 'Dirac Semimetal' else 'Trivial' end as topological_class,
            case when sg <= 200 then 'SG_' || sg else 'fallback' end as graph_path, 66::int as combined_width
-    from r left join last on r.f = last.f join embeddings e on e.vec_id = l_partkey % 500 + 0 where sg >= 1
+    from r left join last on r.f = last.f join embeddings e on e.vec_id = l_partkey % (select count(*) from embeddings)
     """,
 )
 def record_build(t: Tables):
-    built = t.lineitem.groupBy("l_partkey").agg(
+    # Three tables come from the candidates: lineitem is read once, into a staged row per part.
+    built = cut_lineage(t.lineitem.groupBy("l_partkey").agg(
         F.count("*").cast("int").alias("nsites"), F.round(F.sum("l_quantity"), 2).alias("volume"),
         (F.max("l_suppkey") % 60).alias("s"), F.max("l_linenumber").alias("b"),
-    )
+    ))
     none = F.lit(None)
     modulus = none.cast("struct<voigt:double,reuss:double,vrh:double>")
     candidates = built.select(
@@ -56,11 +58,11 @@ def record_build(t: Tables):
     made = records.material_records(
         jn.candidates_with_group(candidates), catalogue_rows(t), graphs, "ICSD_ID"
     )
-    vectors = candidates.select(F.col("material_id").alias("jid"), (F.col("l_partkey") % 500).alias("vec_id")).join(
+    vectors = candidates.select(F.col("material_id").alias("jid"), (F.col("l_partkey") % t.embeddings.agg(F.count("*")).scalar()).alias("vec_id")).join(
         t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 54).alias("v")), "vec_id"
     )
     band_rep = candidates.select(F.col("material_id").alias("jid"), F.array(*[F.lit(1.0)] * 4).alias("v"))
-    full = records.with_vectors(made.join(vectors.select("jid"), "jid", "left_semi"), vectors, band_rep)
+    full = records.with_vectors(made, vectors, band_rep).where(F.size("asph_features") > 0)
     return full.select(
         "jid", "normalized_formula", F.col("space_group_number").cast("long"), "nsites", "volume", "topological_class",
         F.col("file_locations")["kspace_graph"].alias("graph_path"),
@@ -92,14 +94,14 @@ def kspace_graphs(t: Tables):
         F.col("l_linenumber").cast("string").alias("decomposition_index"), F.lit("A1").alias("branch1_irreps"),
         F.sqrt("l_extendedprice").alias("energy"), F.col("l_linenumber").alias("band_index"),
     )
-    return kspace.kspace_graphs(facts, proximity=False).meta
+    return kspace.kspace_graphs(facts).meta
 
 
 @query(
     "poscar_dataset",
     "PL7",
     """
-    with p as (select p_size, min_by(p_retailprice, p_partkey) as band_gap, min(p_partkey) as k from part where p_size < 5 group by p_size)
+    with p as (select p_size, min_by(p_retailprice, p_partkey) as band_gap, min(p_partkey) as k from part group by p_size)
     select o_orderkey as source_id, (o_custkey % 4 + 1) as num_nodes, case when o_custkey % 4 = 0 then 1 else 2 end::bigint as num_elements,
            p.band_gap, p.k is not null as matched, case when p.k is null then 0.0 else p.band_gap end::double as gap_feature
     from orders left join p on p.p_size = case when o_custkey % 4 = 0 then 0 else o_custkey % 4 end
@@ -109,7 +111,7 @@ def poscar_dataset(t: Tables):
     texts = t.spread("orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("source_id"), structure_text().alias("value"))
     parsed = poscar.parse_structures(texts)
     sites = poscar.sites(parsed, ["source_id"])
-    properties = t.part.where("p_size < 5").select(
+    properties = t.part.select(
         formulas.reduced_formula(formulas.element_counts(F.concat(F.lit("Na1Cl"), F.col("p_size").cast("string")))).alias("normalized_formula"),
         F.col("p_retailprice").alias("band_gap"), F.lit(None).cast("double").alias("density"), F.col("p_partkey").alias("ordinal"),
     )

@@ -63,18 +63,22 @@ def graph_vertices(t: Tables):
     return rows.select("user_id", "key", "idx", *picked, F.size(f).alias("width"))
 
 
+MEMBERS_SQL = """
+    with m as (select distinct l_orderkey, l_returnflag || l_linestatus as shared, l_linenumber::bigint as idx from lineitem),
+    s as (select l_orderkey, shared, count(*) as members from m group by all having count(*) > 1)
+"""
+
+
 @query(
     "clique_edges",
     "GR2",
-    """
-    with m as (select distinct l_orderkey, l_returnflag || l_linestatus as shared, l_linenumber::bigint as idx from lineitem)
-    select a.l_orderkey, a.shared, a.idx as src, b.idx as dst, 0.8::double as weight
-    from m a join m b on a.l_orderkey = b.l_orderkey and a.shared = b.shared and a.idx < b.idx
-    """,
+    MEMBERS_SQL
+    + """select m.l_orderkey, m.shared, m.idx as src, null::bigint as dst, 0.8::double as weight, members
+         from m join s on m.l_orderkey = s.l_orderkey and m.shared = s.shared""",
 )
 def clique_edges(t: Tables):
     edges = gr.clique_edges(_line_members(t), ["l_orderkey"], "shared", gr.SYMMETRY_WEIGHT, "symmetry")
-    return edges.select("l_orderkey", "shared", "src", "dst", "weight")
+    return edges.select("l_orderkey", "shared", "src", "dst", "weight", "members")
 
 
 def _line_members(t: Tables):
@@ -91,19 +95,15 @@ def _line_members(t: Tables):
     with m as (select distinct l_partkey % 10 as g, l_partkey::varchar as shared, l_suppkey as idx from lineitem),
     s as (select g, shared, count(*) as members from m group by all having count(*) > 1)
     select m.g, m.shared, m.idx as src, null::bigint as dst, s.members from m join s on m.g = s.g and m.shared = s.shared
-    where members > 24
-    union all
-    select a.g, a.shared, a.idx, b.idx, members from m a join m b on a.g = b.g and a.shared = b.shared and a.idx < b.idx
-    join s on a.g = s.g and a.shared = s.shared where members <= 24
     """,
 )
 def clique_edges2(t: Tables):
-    edges = gr.clique_edges(_supplier_members(t), ["g"], "shared", gr.DECOMPOSITION_WEIGHT, "decomposition", limit=24)
+    edges = gr.clique_edges(_supplier_members(t), ["g"], "shared", gr.DECOMPOSITION_WEIGHT, "decomposition")
     return edges.select("g", "shared", "src", "dst", "members")
 
 
 def _supplier_members(t: Tables):
-    """Suppliers sharing a part; parts with many suppliers keep their member rows."""
+    """Suppliers sharing a part."""
     return t.lineitem.select(
         (F.col("l_partkey") % 10).alias("g"), F.col("l_partkey").alias("shared"), F.col("l_suppkey").alias("idx")
     )
@@ -122,51 +122,28 @@ def _supplier_members(t: Tables):
 def graph_meta(t: Tables):
     members = _supplier_members(t)
     nodes = members.select("g", "idx").distinct()
-    edges = gr.clique_edges(members, ["g"], "shared", gr.DECOMPOSITION_WEIGHT, "decomposition", limit=8)
+    edges = gr.clique_edges(members, ["g"], "shared", gr.DECOMPOSITION_WEIGHT, "decomposition")
     return gr.graph_meta(nodes, edges, ["g"])
 
 
 @query(
     "adjacency",
     "GR7",
-    """
-    with m as (select distinct l_orderkey, l_returnflag || l_linestatus as shared, l_linenumber::bigint as idx from lineitem),
-    e as (select distinct a.l_orderkey, a.idx as src, b.idx as dst
-          from m a join m b on a.l_orderkey = b.l_orderkey and a.shared = b.shared and a.idx <> b.idx)
-    select l_orderkey, count(*) as ones, count(distinct src) as rows_used, sum(src * dst)::bigint as moment from e group by l_orderkey
-    """,
+    MEMBERS_SQL
+    + """, e as (select m.l_orderkey, m.idx as src, null::bigint as dst, 'symmetry|' || m.shared as clique
+                 from m join s on m.l_orderkey = s.l_orderkey and m.shared = s.shared),
+      n as (select distinct l_orderkey, l_linenumber::bigint - 1 as idx from lineitem),
+      p as (select l_orderkey, idx as src, lead(idx) over (partition by l_orderkey order by idx) as dst from n)
+      select l_orderkey, src, dst, clique from e
+      union all select l_orderkey, src, dst, null from p where dst is not null
+      union all select l_orderkey, dst, src, null from p where dst is not null""",
 )
 def adjacency(t: Tables):
-    edges = gr.clique_edges(_line_members(t), ["l_orderkey"], "shared", gr.SYMMETRY_WEIGHT, "symmetry")
-    ones = gr.adjacency(edges, ["l_orderkey"])
-    return ones.groupBy("l_orderkey").agg(
-        F.count("*").alias("ones"), F.count_distinct("src").alias("rows_used"), F.sum(F.col("src") * F.col("dst")).alias("moment")
-    )
-
-
-@query(
-    "proximity_edges",
-    "GR4",
-    """
-    with v as (select c_nationkey as g, dense_rank() over (partition by c_nationkey order by o_orderpriority, m) - 1 as idx, f0, f1
-               from (select c_nationkey, o_orderpriority, month(o_orderdate) as m, avg(sqrt(o_totalprice)) as f0, count(*)::double as f1
-                     from orders join customer on o_custkey = c_custkey group by all)),
-    p as (select a.g, a.idx as src, b.idx as dst, sqrt((a.f0 - b.f0)**2 + (a.f1 - b.f1)**2) as d
-          from v a join v b on a.g = b.g and a.idx < b.idx),
-    c as (select g, quantile_cont(d, 0.3) as cut from p group by g)
-    select p.g, src, dst, round(1 / (1 + d), 6) as weight from p join c on p.g = c.g where d <= cut
-    """,
-)
-def proximity_edges(t: Tables):
-    # 25 groups; a k-point is a priority and a month, so a graph has at most 60 vertices at any scale.
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    point = F.format_string("%s/%02d", "o_orderpriority", F.month("o_orderdate"))
-    features = joined.groupBy(F.col("c_nationkey").alias("g"), point.alias("k_point")).agg(
-        F.array(F.avg(F.sqrt("o_totalprice")), F.count("*").cast("double")).alias("features")
-    )
-    nodes = gr.node_index(features, ["g"], "k_point").join(features, ["g", "k_point"])
-    edges = gr.proximity_edges(nodes, ["g"])
-    return edges.select("g", "src", "dst", F.round("weight", 6).alias("weight"))
+    members = _line_members(t)
+    cliques = gr.clique_edges(members, ["l_orderkey"], "shared", gr.SYMMETRY_WEIGHT, "symmetry")
+    paths = gr.path_edges(members.select("l_orderkey", (F.col("idx") - 1).alias("idx")).distinct(), ["l_orderkey"])
+    wide = paths.select("l_orderkey", "kind", F.lit(None).cast("string").alias("shared"), "src", "dst", "weight", F.lit(None).cast("long").alias("members"))
+    return gr.adjacency(cliques.unionByName(wide), ["l_orderkey"])
 
 
 @query(
@@ -216,9 +193,8 @@ def chain_edges(t: Tables):
 def chain_fallback(t: Tables):
     lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("string").alias("k_point"), "l_suppkey")
     nodes = gr.node_index(lines, ["l_orderkey"], "k_point")
-    members = lines.join(nodes, ["l_orderkey", "k_point"])
-    edges = gr.clique_edges(members, ["l_orderkey"], "l_suppkey", gr.SYMMETRY_WEIGHT, "symmetry")
-    chains = gr.chain_fallback(nodes, edges, ["l_orderkey"])
+    linked = gr.linked_graphs(lines, ["l_orderkey"], "l_suppkey", "k_point")
+    chains = gr.chain_fallback(nodes, linked, ["l_orderkey"])
     empty = t.orders.select(F.col("o_orderkey").alias("l_orderkey")).join(lines.select("l_orderkey").distinct(), "l_orderkey", "left_anti")
     _, fallback = gr.fallback_graphs(empty, ["l_orderkey"])
     return chains.unionByName(fallback).select("l_orderkey", "src", "dst", "weight")
@@ -280,7 +256,8 @@ def bidirectional(t: Tables):
     """
     with e as (select distinct c_nationkey as g, o_custkey % 40 as src, o_orderkey % 40 as dst from orders join customer on o_custkey = c_custkey
                where o_custkey % 40 <> o_orderkey % 40)
-    select a.g, a.src as a, a.dst as via, b.dst as b, 'link' as role from e a join e b on a.g = b.g and a.dst = b.src
+    select g, src as a, dst as via, null::bigint as b, 'in' as role from e where (g, dst) in (select (g, src) from e)
+    union all select g, null, src, dst, 'out' from e where (g, src) in (select (g, dst) from e)
     """,
 )
 def line_graph(t: Tables):
@@ -316,13 +293,18 @@ def range_neighbours(t: Tables):
 @query(
     "knn_edges",
     "GR12",
-    PLANE_SQL
-    + """, b as (select src, dst, d from e where d <= 1.05 union all select dst, src, d from e where d <= 1.05),
-      r as (select *, row_number() over (partition by src order by d, dst)::int as rank, min(d) over (partition by src) as low from b)
-      select src, dst, rank, round(d, 6) as distance, round(case when d > 0 then low / d else 1.0 end, 6) as weight from r where rank <= 3""",
+    """
+    with p as (select p_partkey as id, p_size as x, p_retailprice as y from part),
+    e as (select a.id as src, b.id as dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d
+          from p a join p b on a.id <> b.id and abs(a.x - b.x) <= 1.05 and abs(a.y - b.y) <= 1.05),
+    r as (select *, row_number() over (partition by src order by d, dst)::int as rank, min(d) over (partition by src) as low
+          from e where d <= 1.05)
+    select src, dst, rank, round(d, 6) as distance, round(case when d > 0 then low / d else 1.0 end, 6) as weight from r where rank <= 3
+    """,
 )
 def knn_edges(t: Tables):
-    edges = gr.nearest_edges(_plane(t), [], 3)
+    points = t.part.select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    edges = gr.nearest_edges(points, [], "p_partkey", ["x", "y"], 1.05, 3)
     return edges.withColumn("distance", F.round("distance", 6)).withColumn("weight", F.round("weight", 6))
 
 

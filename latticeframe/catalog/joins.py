@@ -137,13 +137,13 @@ def last_wins_join(t: Tables):
     "first_match",
     "JN6 WN1",
     """
-    with f as (select l_partkey, l_orderkey, l_linenumber, l_suppkey from lineitem where l_returnflag = 'N' and l_quantity > 40
+    with f as (select l_partkey, l_orderkey, l_linenumber, l_suppkey from lineitem
                qualify row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) = 1)
     select p_partkey, l_orderkey, l_suppkey, l_orderkey is not null as matched from part left join f on p_partkey = l_partkey
     """,
 )
 def first_match(t: Tables):
-    lookup = t.lineitem.where("l_returnflag = 'N' and l_quantity > 40").select(
+    lookup = t.lineitem.select(
         F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "l_suppkey"
     )
     joined = jn.first_match(
@@ -175,7 +175,7 @@ def two_key_match(t: Tables):
                from (select *, regexp_extract(props, '\d+')::bigint as k from events)),
     f as (select user_id, space_group_number, event_id, value from c
           qualify row_number() over (partition by user_id, space_group_number order by event_id) = 1)
-    select c_custkey, event_id, value from customer join f on user_id = c_custkey % 150 and space_group_number = c_nationkey
+    select c_custkey, event_id, value from customer join f on user_id = c_custkey and space_group_number = c_nationkey
     """,
 )
 def fallback_key(t: Tables):
@@ -187,7 +187,7 @@ def fallback_key(t: Tables):
     )
     keyed = jn.candidates_with_group(candidates, "user_id").drop("symmetry")
     facts = t.customer.select(
-        "c_custkey", (F.col("c_custkey") % 150).alias("user_id"), F.col("c_nationkey").cast("long").alias("space_group_number")
+        "c_custkey", F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("space_group_number")
     )
     joined = jn.first_match(facts, keyed, ["user_id", "space_group_number"], [F.col("event_id")]).where("matched")
     return joined.select("c_custkey", "event_id", "value")

@@ -124,8 +124,8 @@ def nested_posexplode(t: Tables):
     with s as (
       select case when doc_id % 5 = 0 then 'Bad Format' when doc_id % 5 = 1 then 'Bad Index'
                   when exists (select 1 from labels l where l.doc_id = d.doc_id and quality = 1) then 'updated'
-                  else 'added' end as status, source from documents d)
-    select status, count(*) as n from s group by status
+                  else 'added' end as status, length(text) as chars from documents d)
+    select status, count(*) as n, sum(chars)::bigint as chars from s group by status
     """,
 )
 def bulk_status(t: Tables):
@@ -136,12 +136,12 @@ def bulk_status(t: Tables):
         .otherwise(F.concat(F.lit(" "), doc.cast("string"), F.lit(" A1(1)\tB1(1), B2(1) ")))
     )
     status, index, first, second = mt.branch_line(F.col("line"))
-    lines = t.documents.select(text.alias("line"))
-    parsed = lines.select(status.alias("status"), index.cast("long").alias("doc_id"), first.alias("b1"), second.alias("b2"))
+    lines = t.documents.select(text.alias("line"), F.length("text").alias("chars"))
+    parsed = lines.select(status.alias("status"), index.cast("long").alias("doc_id"), first.alias("b1"), second.alias("b2"), "chars")
     known = t.labels.where("quality = 1").select("doc_id", F.lit(True).alias("known")).distinct()
     joined = parsed.join(known, "doc_id", "left")
     outcome = F.when(F.col("status") != "ok", F.col("status")).when(F.col("known"), "updated").otherwise("added")
-    return joined.groupBy(outcome.alias("status")).agg(F.count("*").alias("n"))
+    return joined.groupBy(outcome.alias("status")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 @query(

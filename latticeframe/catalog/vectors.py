@@ -140,7 +140,7 @@ def multi_hot(t: Tables):
         ).alias("f"),
     ).select("user_id", "f.*").distinct()
     # The k-point block comes first, the irrep block after it.
-    blocks = ranking.dense_index(facts, ["kind"], "value", ranking.text_bucket("value"), "idx")
+    blocks = ranking.dense_index(facts, ["kind"], "value", "idx")
     sizes = blocks.where("kind = 'k_point'").agg(F.count("*").alias("n"))
     shift = F.when(F.col("kind") == "irrep", sizes.scalar()).otherwise(F.lit(0))
     vocabulary = blocks.select("kind", "value", (F.col("idx") + shift).alias("idx"))
@@ -155,13 +155,13 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
     "FN23",
     "select user_id, "
     + ", ".join(
-        f"case when count(case when event_type = '{e}' and value > 25 then 1 end) > 0 then 1.0 else 0.0 end::double as is_{e}"
+        f"case when count(case when event_type = '{e}' then 1 end) > 0 then 1.0 else 0.0 end::double as is_{e}"
         for e in EVENT_TYPES
     )
     + " from events group by user_id",
 )
 def one_hot(t: Tables):
-    kinds = t.events.groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 25, F.col("event_type"))).alias("k"))
+    kinds = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     coded = kinds.withColumn("v", vec.one_hot_sum(F.col("k"), EVENT_TYPES))
     return coded.select("user_id", *[F.col("v")[i].alias(f"is_{e}") for i, e in enumerate(EVENT_TYPES)])
 
@@ -195,8 +195,8 @@ def fixed_vector(t: Tables):
     "pad_vector",
     "FV12 FV13",
     """
-    select p_partkey, 128 as width, p_size::double as first, 0.0::double as cut, p_partkey % 5::double as second_part,
-           p_size * 20.0::double + p_partkey % 5 as total from part
+    select p_partkey, 128 as width, p_size::double as first, p_partkey % 5::double as second_part, 0.0::double as filled,
+           p_size * 25.0::double + p_partkey % 5 as total from part
     """,
 )
 def pad_vector(t: Tables):
@@ -204,8 +204,8 @@ def pad_vector(t: Tables):
     v = vec.topology_vector([F.array_repeat(size, 25), F.array(key)])
     rows = t.part.select("p_partkey", v.alias("v"))
     return rows.select(
-        "p_partkey", F.size("v").alias("width"), F.col("v")[0].alias("first"), F.col("v")[21].alias("cut"),
-        F.col("v")[20].alias("second_part"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"),
+        "p_partkey", F.size("v").alias("width"), F.col("v")[0].alias("first"), F.col("v")[25].alias("second_part"),
+        F.col("v")[26].alias("filled"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"),
     )
 
 
@@ -213,14 +213,14 @@ def pad_vector(t: Tables):
     "joined_vector",
     "FV15",
     """
-    with c as (select l_partkey, count(distinct l_linenumber) as nodes, count(*) as edges from lineitem where l_quantity > 20 group by all)
+    with c as (select l_partkey, count(distinct l_linenumber) as nodes, count(*) as edges from lineitem group by all)
     select p_partkey, p_retailprice as f0, p_size::double as f1, 0.0::double as f2, coalesce(nodes, 0)::double as f3,
            coalesce(edges, 0)::double as f4
     from part left join c on p_partkey = l_partkey
     """,
 )
 def joined_vector(t: Tables):
-    counts = t.lineitem.where("l_quantity > 20").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+    counts = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         F.count_distinct("l_linenumber").alias("nodes"), F.count("*").alias("edges")
     )
     joined = t.part.join(counts, "p_partkey", "left")
@@ -255,17 +255,17 @@ def concat_vectors(t: Tables):
 @query(
     "vector_wide",
     "SK3 SK6 PL8",
-    "select vec_id, " + ", ".join(f"round(embedding[{i + 1}]::double, 5) as feature_{i}" for i in range(8)) + " from embeddings where label < 8",
+    "select vec_id, " + ", ".join(f"round(embedding[{i + 1}]::double, 5) as feature_{i}" for i in range(64)) + " from embeddings",
 )
 def vector_wide(t: Tables):
     from ..sources.sinks import wide_vectors
 
     metadata = t.embeddings.select(F.col("vec_id").cast("string").alias("material_id"), "vec_id")
-    vectors = t.embeddings.where("label < 8").select(
+    vectors = t.embeddings.select(
         F.col("vec_id").cast("string").alias("material_id"), F.lit("asph").alias("method"),
-        F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"),
+        F.col("embedding").cast("array<double>").alias("v"),
     )
-    return _round(wide_vectors(metadata, vectors, "asph", 8).drop("material_id"), ("vec_id",))
+    return _round(wide_vectors(metadata, vectors, "asph", 64).drop("material_id"), ("vec_id",))
 
 
 @query(

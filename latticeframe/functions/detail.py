@@ -17,9 +17,9 @@ CELL_PATTERNS = {
     "a": (r"(?i)Cell Length A\s*([\d.]+)", r"(?i)a\s*=\s*([\d.]+)"),
     "b": (r"(?i)Cell Length B\s*([\d.]+)", r"(?i)b\s*=\s*([\d.]+)"),
     "c": (r"(?i)Cell Length C\s*([\d.]+)", r"(?i)c\s*=\s*([\d.]+)"),
-    "alpha": (r"(?iu)Cell Angle (?:alpha|α)\s*([\d.]+)", r"(?i)alpha\s*=\s*([\d.]+)"),
-    "beta": (r"(?iu)Cell Angle (?:beta|β)\s*([\d.]+)", r"(?i)beta\s*=\s*([\d.]+)"),
-    "gamma": (r"(?iu)Cell Angle (?:gamma|γ)\s*([\d.]+)", r"(?i)gamma\s*=\s*([\d.]+)"),
+    "alpha": (r"(?i)Cell Angle alpha\s*([\d.]+)", r"(?iu)Cell Angle α\s*([\d.]+)", r"(?i)alpha\s*=\s*([\d.]+)"),
+    "beta": (r"(?i)Cell Angle beta\s*([\d.]+)", r"(?iu)Cell Angle β\s*([\d.]+)", r"(?i)beta\s*=\s*([\d.]+)"),
+    "gamma": (r"(?i)Cell Angle gamma\s*([\d.]+)", r"(?iu)Cell Angle γ\s*([\d.]+)", r"(?i)gamma\s*=\s*([\d.]+)"),
 }
 SPACE_GROUP_PATTERNS = (
     r"(?i)(?:Symmetry Group:|\s)\s*(\d+)\s*\(([^)]+)\)",

@@ -22,7 +22,7 @@ NOISE = "-1"
 CELL_PART = 20_000
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node as the component's name.
 
     Every node points to a parent. In each round a node looks at the grandparents of its
@@ -33,7 +33,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     both = cut_lineage(edges.select("src", "dst").unionByName(flipped).distinct())
     state = cut_lineage(nodes.select("node", F.col("node").alias("parent"), F.col("node").alias("grand")))
-    for _ in range(max_rounds):
+    while True:
         around = both.join(state.select(F.col("node").alias("dst"), F.col("grand").alias("_g")), "dst")
         least = around.groupBy(F.col("src").alias("node")).agg(F.min("_g").alias("_g"))
         seen = state.join(least, "node", "left").withColumn("_g", F.coalesce("_g", "grand"))
@@ -52,7 +52,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         if state.where(F.col("_was") != F.col("grand")).isEmpty():
             return state.select("node", F.col("grand").alias("component"))
         state = state.select("node", "parent", "grand")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _cells(coords: list[str], side: float) -> Column:
@@ -190,10 +189,12 @@ def density_clusters(
     ends = links.join(names, [*group, "src"]).join(
         core_cells.select(*group, F.col("cell").alias("dst"), F.col("first").alias("_b")), [*group, "dst"]
     )
+    # Keys may repeat from group to group, so a node is a key with its group.
+    node = lambda c: F.struct(*group, F.col(c).alias("first"))
     components = connected_components(
-        core_cells.select(F.col("first").alias("node")), ends.select(F.col("_a").alias("src"), F.col("_b").alias("dst"))
-    )
-    labelled = core_cells.join(components.withColumnRenamed("node", "first"), "first").select(*group, "cell", "component")
+        core_cells.select(node("first").alias("node")), ends.select(node("_a").alias("src"), node("_b").alias("dst"))
+    ).select("node.*", F.col("component.first").alias("component"))
+    labelled = core_cells.join(components, [*group, "first"]).select(*group, "cell", "component")
     core_labels = core.join(labelled, [*group, "cell"]).select(*group, "pid", "component")
     border = (
         near.join(core_ids, [*group, "pid"], "left_anti")

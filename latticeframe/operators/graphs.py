@@ -1,8 +1,8 @@
 """Graphs as vertex and edge tables.
 
-A clique over k members has k(k-1)/2 edges. Small cliques are written as edges;
-a larger one stays as one row per member (``dst`` NULL, ``members`` = k), which
-says the same in k rows. Counts and adjacency accept both forms.
+A clique over k members has k(k-1)/2 edges. It is one row per member (``dst`` NULL, ``members`` = k), which says the
+same in k rows, whatever k is. Counts, degrees and adjacency follow from it. A line graph is kept the same way: the edges
+that come in and go out at each vertex stand for their product.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ from .vectors import one_hot_sum
 
 SYMMETRY_WEIGHT = 0.8
 DECOMPOSITION_WEIGHT = 0.6
-CLIQUE_LIMIT = 64
-# Proximity needs every distance of a graph; a graph of k-points of one group stays far below this.
-PROXIMITY_LIMIT = 256
 NODE_COLUMNS = ("k_point", "irrep_label", "decomposition_index")
 # Nodes of a graph without data.
 FALLBACK_POINTS = ("Γ", "X", "M", "R")
@@ -27,7 +24,7 @@ FALLBACK_POINTS = ("Γ", "X", "M", "R")
 
 def node_index(facts: DataFrame, graph: list[str], key: str) -> DataFrame:
     """Position from 0 of each distinct key per graph, in key order."""
-    return ranking.dense_index(facts, graph, key, ranking.text_bucket(key, 4), "idx")
+    return ranking.dense_index(facts, graph, key, "idx")
 
 
 def vertices(facts: DataFrame, graph: list[str]) -> DataFrame:
@@ -41,58 +38,33 @@ def vertices(facts: DataFrame, graph: list[str]) -> DataFrame:
     return facts.select(*graph).distinct().select(*graph, F.lit("default").alias("key"), F.lit(0).cast("long").alias("idx"), zeros.alias("features"))
 
 
-def clique_edges(
-    members: DataFrame, graph: list[str], shared: str, weight: float, kind: str, limit: int = CLIQUE_LIMIT
-) -> DataFrame:
-    """Edges between all vertices ``idx`` of a graph that hold the same ``shared`` value.
+def clique_edges(members: DataFrame, graph: list[str], shared: str, weight: float, kind: str) -> DataFrame:
+    """Cliques of all vertices ``idx`` of a graph that hold the same ``shared`` value, one row per member.
 
-    One edge per shared value, so the result is a multigraph. Cliques above
-    ``limit`` members are kept as member rows.
+    One clique per shared value, so the result stands for a multigraph.
     """
     rows = members.where(F.col(shared).isNotNull()).select(*graph, F.col(shared).cast("string").alias("shared"), "idx").distinct()
     sizes = rows.groupBy(*graph, "shared").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    sized = rows.join(sizes, [*graph, "shared"])
-    small = sized.where(F.col("members") <= limit)
-    # At most ``limit`` members per row after this step.
-    lists = small.groupBy(*graph, "shared", "members").agg(F.array_sort(F.collect_list("idx")).alias("_ids"))
-    first = lists.select(*graph, "shared", "members", "_ids", F.posexplode("_ids").alias("_pos", "src"))
-    rest = F.slice("_ids", F.col("_pos") + 2, F.col("members").cast("int"))
-    pairs = first.select(*graph, "shared", "members", "src", F.explode(rest).alias("dst"))
-    stars = sized.where(F.col("members") > limit).select(
-        *graph, "shared", "members", F.col("idx").alias("src"), F.lit(None).cast("long").alias("dst")
-    )
-    return pairs.unionByName(stars).select(
-        *graph, F.lit(kind).alias("kind"), "shared", "src", "dst", F.lit(weight).alias("weight"), "members"
+    return rows.join(sizes, [*graph, "shared"]).select(
+        *graph, F.lit(kind).alias("kind"), "shared", F.col("idx").alias("src"), F.lit(None).cast("long").alias("dst"),
+        F.lit(weight).alias("weight"), "members",
     )
 
 
+def linked_graphs(facts: DataFrame, graph: list[str], shared: str, key: str) -> DataFrame:
+    """Graphs with an edge: some shared value is held by two distinct vertices."""
+    held = facts.where(F.col(shared).isNotNull()).groupBy(*graph, shared).agg(F.min(key).alias("_a"), F.max(key).alias("_b"))
+    return held.where("_a <> _b").select(*graph).distinct()
+
+
 def collapsed(edges: DataFrame, graph: list[str]) -> DataFrame:
-    """Parallel edges summed to one edge with their number; member rows of large cliques stay apart by ``shared``."""
+    """Parallel edges summed to one edge with their number; member rows of cliques stay apart by ``shared``."""
     apart = F.when(F.col("dst").isNull(), F.col("shared"))
     return edges.groupBy(*graph, "src", "dst", apart.alias("clique")).agg(
         F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("parallel")
     )
 
 
-def proximity_edges(nodes: DataFrame, graph: list[str], share: float = 0.3, limit: int = PROXIMITY_LIMIT) -> DataFrame:
-    """Pairs whose feature distance is at most the given quantile of all distances of their graph.
-
-    The rule compares every pair, so it is meant for graphs whose vertex domain is small. A
-    graph above ``limit`` vertices stops the job with an error; nothing is left out silently.
-    """
-    sizes = nodes.groupBy(*graph).agg(F.count(F.lit(1)).alias("_n"))
-    message = F.concat(F.lit(f"more than {limit} vertices in graph "), *[F.col(c).cast("string") for c in graph])
-    checked = sizes.withColumn("_n", F.when(F.col("_n") > limit, F.raise_error(message).cast("long")).otherwise(F.col("_n")))
-    rows = nodes.join(checked, graph).where("_n > 1").select(*graph, "idx", "features")
-    left = rows.select(*graph, F.col("idx").alias("src"), F.col("features").alias("_a"))
-    right = rows.select(*graph, F.col("idx").alias("dst"), F.col("features").alias("_b"))
-    squares = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    pairs = left.join(right, graph).where("src < dst").select(*graph, "src", "dst", F.sqrt(squares).alias("distance"))
-    cut = pairs.groupBy(*graph).agg(F.percentile("distance", F.lit(share)).alias("_cut"))
-    near = pairs.join(cut, graph).where(F.col("distance") <= F.col("_cut"))
-    return near.select(*graph, F.lit("proximity").alias("kind"), "src", "dst", (1 / (1 + F.col("distance"))).alias("weight"))
-
-
 def path_edges(nodes: DataFrame, graph: list[str], mean: str | None = None, kind: str = "band") -> DataFrame:
     """Consecutive vertices, weight 1/(1+|difference of means|), 1.0 without means."""
     order = [F.col("idx")]
@@ -107,9 +79,9 @@ def path_edges(nodes: DataFrame, graph: list[str], mean: str | None = None, kind
     )
 
 
-def chain_fallback(nodes: DataFrame, edges: DataFrame, graph: list[str]) -> DataFrame:
-    """A chain with weight 1 for each graph of several vertices that has no edge."""
-    lonely = nodes.join(edges.select(*graph).distinct(), graph, "left_anti")
+def chain_fallback(nodes: DataFrame, linked: DataFrame, graph: list[str]) -> DataFrame:
+    """A chain with weight 1 for each graph of several vertices that isn't among ``linked`` ones (edges will do)."""
+    lonely = nodes.join(linked.select(*graph).distinct(), graph, "left_anti")
     return path_edges(lonely, graph, kind="chain")
 
 
@@ -120,7 +92,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, graph: list[str]) -> DataFrame:
-    """Symmetric 0/1 matrix as its ones; a large clique stays as (src, clique) entries with NULL ``dst``."""
+    """Symmetric 0/1 matrix: its ones along paths, and cliques as (src, clique) entries with NULL ``dst``."""
     has_stars = "members" in edges.columns
     clique = F.when(F.col("dst").isNull(), F.concat_ws("|", "kind", "shared")) if has_stars else F.lit(None).cast("string")
     rows = edges.select(*graph, "src", "dst", clique.alias("clique"))
@@ -182,30 +154,20 @@ def fallback_graphs(groups: DataFrame, graph: list[str]) -> tuple[DataFrame, Dat
     return nodes, path_edges(nodes, graph, kind="chain")
 
 
-LINE_LIMIT = 4096
-
+def line_graph(edges: DataFrame, graph: list[str]) -> DataFrame:
+    """Links from each edge to the edges that start where it ends, as the rows of the turning vertex ``via``.
 
-def line_graph(edges: DataFrame, graph: list[str], limit: int = LINE_LIMIT) -> DataFrame:
-    """Links from each edge to the edges that start where it ends.
-
-    A vertex whose incoming and outgoing edges would give more than ``limit`` links
-    keeps one row per incident edge (``role`` in or out) instead of their product.
+    One row per incoming edge (role in, from ``a``) and per outgoing edge (role out, to ``b``) of each vertex that has
+    both; every in row of a vertex is linked with every out row of it.
     """
-    at_dst = edges.groupBy(*graph, F.col("dst").alias("via")).agg(F.count(F.lit(1)).alias("_in"))
-    at_src = edges.groupBy(*graph, F.col("src").alias("via")).agg(F.count(F.lit(1)).alias("_out"))
-    turns = at_dst.join(at_src, [*graph, "via"]).withColumn("_big", F.col("_in") * F.col("_out") > limit).drop("_in", "_out")
-    incoming = edges.select(*graph, F.col("src").alias("a"), F.col("dst").alias("via")).join(turns, [*graph, "via"])
-    outgoing = edges.select(*graph, F.col("src").alias("via"), F.col("dst").alias("b")).join(turns, [*graph, "via"])
+    at_dst, at_src = (edges.select(*graph, F.col(c).alias("via")).distinct() for c in ("dst", "src"))
+    turns = at_dst.join(at_src, [*graph, "via"])
     none = F.lit(None).cast("long")
-    links = incoming.where("not _big").drop("_big").join(outgoing.where("not _big").drop("_big"), [*graph, "via"])
-    links = links.select(*graph, "a", "via", "b", F.lit("link").alias("role"))
-    ins = incoming.where("_big").select(*graph, "a", "via", none.alias("b"), F.lit("in").alias("role"))
-    outs = outgoing.where("_big").select(*graph, none.alias("a"), "via", "b", F.lit("out").alias("role"))
-    return links.unionByName(ins).unionByName(outs)
-
-
-def _cell(coords: list[str], size: float) -> list[Column]:
-    return [F.floor(F.col(c) / size).alias(f"_c{i}") for i, c in enumerate(coords)]
+    ends = F.explode(F.array(
+        F.struct(F.col("src").alias("a"), F.col("dst").alias("via"), none.alias("b"), F.lit("in").alias("role")),
+        F.struct(none.alias("a"), F.col("src").alias("via"), F.col("dst").alias("b"), F.lit("out").alias("role")),
+    )).alias("e")
+    return edges.select(*graph, ends).select(*graph, "e.*").join(turns, [*graph, "via"], "left_semi").select(*graph, "a", "via", "b", "role")
 
 
 def _around(n: int) -> Column:
@@ -216,28 +178,36 @@ def _around(n: int) -> Column:
     return F.array(*[F.struct(*[F.lit(d).alias(f"o{i}") for i, d in enumerate(o)]) for o in offsets])
 
 
+# Positions of one cell that one task compares; fuller cells are split into salted parts.
+CELL_PART = 20_000
+
+
+def _cell_joined(left: DataFrame, right: DataFrame, group: list[str], coords: list[str], cutoff: float, key: str) -> DataFrame:
+    """Rows of ``left`` (coordinates ``_a_*``) with those of ``right`` (``_b_*``) at most ``cutoff`` apart, as ``distance``."""
+    cells = [f"_c{i}" for i in range(len(coords))]
+    right = right.select("*", *[F.floor(F.col(f"_b_{c}") / cutoff).alias(n) for n, c in zip(cells, coords)])
+    sizes = right.groupBy(*group, *cells).agg(F.ceil(F.count(F.lit(1)) / CELL_PART).cast("int").alias("_parts"))
+    right = right.join(sizes, [*group, *cells]).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).drop("_parts")
+    left = left.select("*", F.explode(_around(len(coords))).alias("_o"))
+    left = left.select("*", *[(F.floor(F.col(f"_a_{c}") / cutoff) + F.col(f"_o.o{i}")).alias(cells[i]) for i, c in enumerate(coords)]).drop("_o")
+    left = left.join(sizes, [*group, *cells]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    squares = [(F.col(f"_a_{c}") - F.col(f"_b_{c}")) * (F.col(f"_a_{c}") - F.col(f"_b_{c}")) for c in coords]
+    pairs = left.join(right, [*group, *cells, "_part"]).withColumn("distance", F.sqrt(sum(squares[1:], squares[0])))
+    return pairs.where(F.col("distance") <= cutoff)
+
+
 def near_pairs(points: DataFrame, group: list[str], key: str, coords: list[str], cutoff: float) -> DataFrame:
     """Pairs of positions of one group at most ``cutoff`` apart, each pair once.
 
     Points on the same position count as one position with ``copies``, named by
     their smallest key, so a pile of copies gives no pairs among itself. Positions
-    meet through grid cells of the cutoff's size: an equi join on (group, cell).
+    meet through grid cells of the cutoff's size: an equi join on (group, cell, part of a full cell).
     """
     positions = points.groupBy(*group, *coords).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("copies"))
-    cells = [f"_c{i}" for i in range(len(coords))]
-    placed = positions.select("*", *_cell(coords, cutoff))
-    right = placed.select(
-        *group, *cells, F.col("id").alias("dst"), F.col("copies").alias("dst_copies"),
-        *[F.col(c).alias(f"_b_{c}") for c in coords],
-    )
-    left = placed.select("*", F.explode(_around(len(coords))).alias("_o")).select(
-        *group, *[(F.col(c) + F.col(f"_o.o{i}")).alias(c) for i, c in enumerate(cells)], F.col("id").alias("src"),
-        F.col("copies").alias("src_copies"), *[F.col(c).alias(f"_a_{c}") for c in coords],
-    )
-    squares = sum(((F.col(f"_a_{c}") - F.col(f"_b_{c}")) * (F.col(f"_a_{c}") - F.col(f"_b_{c}")) for c in coords[1:]),
-                  (F.col(f"_a_{coords[0]}") - F.col(f"_b_{coords[0]}")) * (F.col(f"_a_{coords[0]}") - F.col(f"_b_{coords[0]}")))
-    pairs = left.join(right, [*group, *cells]).where("src < dst").withColumn("distance", F.sqrt(squares))
-    return pairs.where(F.col("distance") <= cutoff).select(*group, "src", "dst", "src_copies", "dst_copies", "distance")
+    left = positions.select(*group, F.col("id").alias("src"), F.col("copies").alias("src_copies"), *[F.col(c).alias(f"_a_{c}") for c in coords])
+    right = positions.select(*group, F.col("id").alias("dst"), F.col("copies").alias("dst_copies"), *[F.col(c).alias(f"_b_{c}") for c in coords])
+    pairs = _cell_joined(left, right, group, coords, cutoff, "dst").where("src < dst")
+    return pairs.select(*group, "src", "dst", "src_copies", "dst_copies", "distance")
 
 
 def periodic_neighbours(sites: DataFrame, keys: list[str], cutoff: float = 8.0, image_distance: bool = True) -> DataFrame:
@@ -274,16 +244,31 @@ def periodic_neighbours(sites: DataFrame, keys: list[str], cutoff: float = 8.0,
     return near.select(*keys, "src", "dst", "image", (F.col("_d") if image_distance else cell_d).alias("distance"))
 
 
-def nearest_edges(pairs: DataFrame, group: list[str], k: int) -> DataFrame:
-    """The k nearest neighbours of each site with weight d_min / d; self edges never occur."""
-    both = both_ways(pairs.select(*group, "src", "dst", "distance"))
+def nearest_edges(points: DataFrame, group: list[str], key: str, coords: list[str], cutoff: float, k: int) -> DataFrame:
+    """The k nearest other points of each point within ``cutoff``, ties by key, with weight d_min / d (1 at distance 0).
+
+    Points on one position share their neighbours: a position offers its k + 1 smallest keys, each position keeps the
+    best k + 1 offers, and every point then drops itself. So a pile of copies costs k + 1 keys, not its square.
+    """
+    place = [*group, *coords]
+    offers = points.select(*place, F.col(key).alias("dst"))
+    own = Window.partitionBy(*place).orderBy("dst")
+    offers = offers.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= k + 1)
+    right = offers.groupBy(*place).agg(F.collect_list("dst").alias("_ids"), F.min("dst").alias("_first"))
+    right = right.select(*group, "_ids", "_first", *[F.col(c).alias(f"_b_{c}") for c in coords])
+    left = points.select(*place).distinct().select(*group, *[F.col(c).alias(f"_a_{c}") for c in coords])
+    near = _cell_joined(left, right, group, coords, cutoff, "_first")
+    home = [*group, *[f"_a_{c}" for c in coords]]
+    each = near.select(*home, "distance", F.explode("_ids").alias("dst"))
+    best = each.withColumn("_r", F.row_number().over(Window.partitionBy(*home).orderBy("distance", "dst"))).where(F.col("_r") <= k + 1)
+    sources = points.select(*group, F.col(key).alias("src"), *[F.col(c).alias(f"_a_{c}") for c in coords])
+    met = sources.join(best.drop("_r"), home).where("src <> dst")
     order = Window.partitionBy(*group, "src").orderBy("distance", "dst")
-    # Neighbours of one site within the cutoff: bounded by the local density.
-    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    nearest = ranked.groupBy(*group, "src").agg(F.min("distance").alias("_min"))
-    joined = ranked.join(nearest, [*group, "src"])
-    weight = F.when(F.col("distance") > 0, F.col("_min") / F.col("distance")).otherwise(1.0)
-    return joined.select(*group, "src", "dst", "rank", "distance", weight.alias("weight"))
+    # At most k + 1 rows per point.
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    least = F.min("distance").over(Window.partitionBy(*group, "src"))
+    weight = F.when(F.col("distance") > 0, least / F.col("distance")).otherwise(1.0)
+    return ranked.select(*group, "src", "dst", "rank", "distance", weight.alias("weight"))
 
 
 def kpoint_node_vectors(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import last_per_key
+from .ranking import first_per_key, last_per_key
 
 
 def surrogate_id(*keys: str) -> Column:
@@ -13,10 +13,11 @@ def surrogate_id(*keys: str) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def insert_if_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` plus the rows of ``new`` whose key is not stored yet, one per key."""
-    fresh = new.dropDuplicates(key).join(old.select(*key), key, "left_anti")
-    return old.unionByName(fresh)
+def insert_if_absent(old: DataFrame, new: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``old`` plus the rows of ``new`` whose key is not stored yet, the first one per key (by all columns if no order is given)."""
+    order = order or [F.col(c) for c in new.columns]
+    fresh = first_per_key(new, key, order).join(old.select(*key), key, "left_anti")
+    return old.unionByName(fresh.select(*new.columns))
 
 
 def replace_group(old: DataFrame, new: DataFrame, group: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row with the smallest ``order`` per key, by a map-side combinable aggregate."""
@@ -64,18 +66,24 @@ def next_value(
     return joined.withColumn(out, picked).select(*df.columns, out)
 
 
-def dense_index(values: DataFrame, keys: list[str], column: str, bucket: Column, out: str) -> DataFrame:
+def range_buckets(rows: DataFrame, order: list[str], parts: int | None = None, out: str = "_bucket") -> DataFrame:
+    """``rows`` with the number of their range of ``order``, written once.
+
+    Ranges are cut from a sample of the values, so they hold like numbers of rows whatever the values look like;
+    equal rows of ``order`` share a range.
+    """
+    dealt = rows.repartitionByRange(*([parts] if parts else []), *order)
+    return cut_lineage(dealt.withColumn(out, F.spark_partition_id()))
+
+
+def dense_index(values: DataFrame, keys: list[str], column: str, out: str, parts: int | None = None) -> DataFrame:
     """Position from 0 of each distinct value per key, in value order."""
     distinct = values.where(F.col(column).isNotNull()).select(*keys, column).distinct()
-    ranked = row_numbers(distinct, keys, bucket, [F.col(column)], "_rank")
+    dealt = range_buckets(distinct, [*keys, column], parts, "_range")
+    ranked = row_numbers(dealt, keys, F.col("_range"), [F.col(column)], "_rank")
     return ranked.select(*keys, column, (F.col("_rank") - 1).alias(out))
 
 
-def text_bucket(column: str, width: int = 2) -> Column:
-    """A bucket for text order: its first characters."""
-    return F.substring(F.col(column), 1, width)
-
-
 def stratified_split(
     df: DataFrame, key: str, stratum: str, train: float, validation: float, seed: int, out: str = "split"
 ) -> DataFrame:
@@ -92,21 +100,18 @@ def stratified_split(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], buckets: int = 1024
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles per key, exact, without gathering a group.
 
-    Pass one counts values per equal-width bucket; pass two ranks only the
-    distinct values of the buckets that hold a wanted rank.
+    Distinct values are dealt into ranges of like numbers of them; pass one counts the rows per range, pass two ranks
+    only the values of the ranges that hold a wanted rank. One far value or one common value shifts no range.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_rows"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width <= 0, 0).otherwise(
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
-    )
-    placed = rows.join(span, keys).withColumn("_bucket", bucket.cast("int"))
+    placed = range_buckets(rows, [*keys, "_v"], buckets)
+    sizes = placed.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
+    placed = placed.join(sizes, keys)
     counts = placed.groupBy(*keys, "_bucket", "_rows").agg(F.sum("_n").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0)))

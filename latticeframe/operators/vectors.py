@@ -184,9 +184,12 @@ def vectorize_clouds(long: DataFrame, cloud: str, methods: tuple[str, ...] = ("s
 
 
 def pad(values: Column, width: int = SUMMARY_WIDTH) -> Column:
-    """The array cut or filled with zeros to a fixed width."""
-    filled = F.concat(values, F.array_repeat(F.lit(0.0), width))
-    return F.slice(filled, 1, width)
+    """The array filled with zeros to a fixed width; a longer one is an error."""
+    missing = F.lit(width) - F.size(values)
+    message = F.format_string(f"%d values don't fit a vector of {width}", F.size(values))
+    return F.when(missing >= 0, F.concat(values, F.array_repeat(F.lit(0.0), missing))).otherwise(
+        F.raise_error(message).cast("array<double>")
+    )
 
 
 def named_vector(names: dict[str, Column]) -> Column:
@@ -198,7 +201,7 @@ def named_vector(names: dict[str, Column]) -> Column:
 INVARIANTS = ("Z2w_1", "Z2w_2", "Z2w_3", "Z2", "Z4", "Z4pi", "Z8")
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
 GAP_POINTS = ("Γ", "M", "Z", "R", "X", "A")
-PART_LIMIT = 20
+
 
 
 def invariant_vector(z2: Column, higher: Column) -> Column:
@@ -216,8 +219,8 @@ def electronic_vector(gaps: Column, smallest: Column, soc: Column, fragile: Colu
 
 
 def topology_vector(parts: list[Column], width: int = SUMMARY_WIDTH) -> Column:
-    """The parts, each cut at 20 values, packed and padded."""
-    return pad(F.concat(*[F.slice(p, 1, PART_LIMIT) for p in parts]), width)
+    """The whole parts, packed and padded."""
+    return pad(F.concat(*parts), width)
 
 
 def summary_vector(m: DataFrame, width: int = SUMMARY_WIDTH) -> Column:
@@ -253,26 +256,6 @@ def multi_hot_positions(facts: DataFrame, keys: list[str], vocabulary: DataFrame
     return facts.select(*keys, kind, value).distinct().join(vocabulary, [kind, value]).select(*keys, "idx")
 
 
-MAX_VOCABULARY = 1_000_000
-
-
-def sparse_vectors(facts: DataFrame, keys: list[str], value: str, vocabulary: DataFrame, out: str = "features") -> DataFrame:
-    """Binary ML sparse vectors over a sorted vocabulary.
-
-    The vocabulary (k-points and irreps, thousands of labels) is the model itself; its
-    size is checked before it is read. A vector holds at most that many entries.
-    """
-    from pyspark.ml.feature import CountVectorizerModel
-
-    words = [r[0] for r in vocabulary.select(value).distinct().orderBy(value).limit(MAX_VOCABULARY + 1).collect()]
-    if len(words) > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} labels is no label vocabulary")
-    listed = facts.join(vocabulary.select(value).distinct(), value, "left_semi")
-    listed = listed.groupBy(*keys).agg(F.collect_set(value).alias("_words"))
-    model = CountVectorizerModel.from_vocabulary(words, inputCol="_words", outputCol=out, binary=True)
-    return model.transform(listed).drop("_words")
-
-
 def one_hot_sum(values: Column, vocabulary: list[str]) -> Column:
     """Sum of one-hot codes of the values over a given vocabulary."""
     return F.array(*[F.array_contains(values, v).cast("double") for v in vocabulary])

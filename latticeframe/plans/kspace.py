@@ -22,7 +22,7 @@ class KspaceGraphs:
     physics: DataFrame
 
 
-def kspace_graphs(facts: DataFrame, graph: str = "space_group_number", proximity: bool = True) -> KspaceGraphs:
+def kspace_graphs(facts: DataFrame, graph: str = "space_group_number") -> KspaceGraphs:
     """Vertices, edges, sizes and physics counts, keyed by group; groups without rows do not occur.
 
     ``facts`` holds k_point, irrep_label and what else the join gave: energy, band_index,
@@ -51,8 +51,6 @@ def kspace_graphs(facts: DataFrame, graph: str = "space_group_number", proximity
         edges = edges.unionByName(
             wide(gr.clique_edges(members, keys, "decomposition_index", gr.DECOMPOSITION_WEIGHT, "decomposition"))
         )
-    if proximity:
-        edges = edges.unionByName(wide(gr.proximity_edges(nodes, keys)))
     # The edges decide which graphs need the fallback chain and are counted afterwards.
     edges = cut_lineage(edges)
     edges = edges.unionByName(wide(gr.chain_fallback(nodes, edges, keys)))

@@ -63,9 +63,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before row-local work that costs much more than the read.
-
-    Large inputs already have more splits than cores and stay as they are, without a shuffle.
-    """
+    """Deal narrow rows evenly before row-local work that costs much more than the read (rendered texts and pages)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores)

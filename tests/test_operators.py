@@ -1,6 +1,7 @@
 """Hand-worked fixtures, brute force and invariants for what SQL does not check."""
 
 import os
+import math
 import random
 from collections import Counter
 
@@ -114,24 +115,24 @@ def test_rendered_structure_groups_species(spark):
     assert lines[5] == "Na  Cl" and lines[6] == "2  1" and lines[9].split() == ["0.500000", "0.000000", "0.000000"]
 
 
-DETAIL = """***H2 Sc1***
-Symmetry Group: 123 (P4/mmm)
-Topological Status (Type): TI (NLC)
-Topological indices: Z2w,1 = 1, Z4 = 1, Z2 = 1, Z4π = 3, Z8 = 5
-ICSD: 670212
-Cell Length A 2.6 Cell Length B 2.6 Cell Length C 8.3 Cell Angle α 90 Cell Angle β 90 Cell Angle γ 90 Cell Volume 57.7
+DETAIL = """***Ab3 Xz2***
+Symmetry Group: 47 (Pmmm)
+Topological Status (Type): TI (SEBR)
+Topological indices: Z2w,3 = 1, Z4 = 2, Z2 = 1, Z4π = 1, Z8 = 6
+ICSD: 123456
+Cell Length A 4.5 Cell Length B 5.25 Cell Length C 9.75 Cell Angle α 90 Cell Angle β 95.5 Cell Angle γ 90 Cell Volume 230.3
 With SOC: Yes
-EBR equivalence class 40
+EBR equivalence class 7
 
 Nr. Bands Subclass Γ   M   Z   R   X   A
-4         NLC      7(1) 9(1) - 7 7(1) 9(1)
-                             5(2) 5(2) 6(1) 9(1)
+6         LCEBR    3(2) 4(2) - 8 3(2) 4(2)
+                             1(1) 1(1) 2(1) 6(2)
 
 Transitions upon symmetry lowering
 Symmetry Group      Topological Indices
-1 (P1)
-2 (P-1)             Z2w,1 = 1, Z4 = 1
-free text
+10 (P2/m)           Z2w,3 = 1
+invented remark
+16 (P222)
 
 Minimal subgroups are highlighted
 """
@@ -139,15 +140,15 @@ Minimal subgroups are highlighted
 
 def test_detail_page(spark):
     row = detail.parse_details(spark.createDataFrame([("m", DETAIL)], "k string, t string"), "k", "t").first()
-    assert (row.formula, row.space_group, row.space_group_symbol) == ("H2 Sc1", 123, "P4/mmm")
-    assert row.z2_invariants == {"Z2w_1": 1, "Z2": 1} and row.higher_order_invariants == {"Z4": 1, "Z4pi": 3, "Z8": 5}
-    assert row.smallest_gap is None and row.soc_enabled and row.ebr_class == 40 and row.fragile_bands is None
-    assert row.lattice_params["alpha"] == 90.0 and row.volume == 57.7
+    assert (row.formula, row.space_group, row.space_group_symbol) == ("Ab3 Xz2", 47, "Pmmm")
+    assert row.z2_invariants == {"Z2w_3": 1, "Z2": 1} and row.higher_order_invariants == {"Z4": 2, "Z4pi": 1, "Z8": 6}
+    assert row.smallest_gap is None and row.soc_enabled and row.ebr_class == 7 and row.fragile_bands is None
+    assert row.lattice_params["beta"] == 95.5 and row.volume == 230.3
     (group,) = row.band_groups
     reps = [(r.k_point, r.irrep_label, r.degeneracy) for r in group.reps]
-    assert reps == [("Γ", "7", 1), ("M", "9", 1), ("R", "7", None), ("X", "7", 1), ("A", "9", 1)]
+    assert reps == [("Γ", "3", 2), ("M", "4", 2), ("R", "8", None), ("X", "3", 2), ("A", "4", 2)]
     assert [(t.target_number, dict(t.indices), t.info) for t in row.transitions] == [
-        (1, {}, None), (2, {"Z2w_1": 1, "Z4": 1}, "free text"),
+        (10, {"Z2w_3": 1}, "invented remark"), (16, {}, None),
     ]
 
 
@@ -157,11 +158,11 @@ def test_detail_page_vectors_and_search(spark):
     found = sim.topological_analogues(flat, "material_id", "a", sim.MATERIAL_SPEC, 0.7).collect()
     assert [(r.material_id, r.similarity) for r in found] == [("b", 1.0)]
     vectors = {r.material_id: r.v for r in material.select("material_id", vec.summary_vector(material).alias("v")).collect()}
-    assert len(vectors["a"]) == 128 and vectors["a"][:12] == [1, 1, 0, 0, 1, 3, 5, 123, 40, -1, -1, 1]
-    assert flt.invariant_pattern(material, {"Z2": 1, "Z4": 1}).count() == 2
+    assert len(vectors["a"]) == 128 and vectors["a"][:12] == [1, 0, 0, 1, 2, 1, 6, 47, 7, -1, -1, 1]
+    assert flt.invariant_pattern(material, {"Z2": 1, "Z4": 2}).count() == 2
     assert flt.invariant_pattern(material, {}).count() == 3 and flt.invariant_pattern(material, {}, False).count() == 0
-    assert material.where(flt.has_band_group(F.col("band_groups"), irrep=("R", "7"))).count() == 2
-    assert material.where(flt.has_band_group(F.col("band_groups"), irrep=("R", "7"), min_degeneracy=1)).count() == 0
+    assert material.where(flt.has_band_group(F.col("band_groups"), irrep=("R", "8"))).count() == 2
+    assert material.where(flt.has_band_group(F.col("band_groups"), irrep=("R", "8"), min_degeneracy=1)).count() == 0
     assert sim.internal_transitions(material, "a").count() == 2
 
 
@@ -219,33 +220,72 @@ def test_split_is_exact_per_stratum(spark):
     assert sizes[(1, "train")] == 267 and sizes[(1, "val")] + sizes[(1, "test")] == 67 and len(split) == 1000
 
 
-def test_cliques_keep_every_edge(spark):
+@pytest.mark.parametrize("size", [2, 1000])
+def test_cliques_have_one_form(spark, size):
     members = spark.createDataFrame(
-        [("g", "big", i) for i in range(30)] + [("g", "small", i) for i in range(4)] + [("g", None, 1), ("g", "lone", 9)],
+        [("g", "one", i) for i in range(size)] + [("g", "two", i) for i in range(4)] + [("g", None, 1), ("g", "lone", 9)],
         "graph string, shared string, idx long",
     )
-    edges = gr.clique_edges(members, ["graph"], "shared", 0.8, "symmetry", limit=10)
-    assert edges.where("dst is null").count() == 30 and edges.where("dst is not null").count() == 6
+    edges = gr.clique_edges(members, ["graph"], "shared", 0.8, "symmetry")
+    rows = edges.collect()
+    assert len(rows) == size + 4 and all(r.dst is None and r.members == (size if r.shared == "one" else 4) for r in rows)
     nodes = members.select("graph", "idx").distinct()
-    assert gr.graph_meta(nodes, edges, ["graph"]).first().num_edges == 30 * 29 // 2 + 6
-    ones = gr.adjacency(edges, ["graph"])
-    pairs = {(r.src, r.dst) for r in ones.where("dst is not null").collect()}
-    assert pairs == {(b, a) for a, b in pairs} and len(pairs) == 12
-    assert gr.collapsed(edges, ["graph"]).count() == 36
-
-
-def test_proximity_refuses_large_graphs(spark):
-    nodes = spark.range(10).select(F.lit("g").alias("g"), F.col("id").alias("idx"), F.array(F.col("id").cast("double")).alias("features"))
-    assert gr.proximity_edges(nodes, ["g"]).count() > 0
-    with pytest.raises(Exception, match="more than 4 vertices"):
-        gr.proximity_edges(nodes, ["g"], limit=4).count()
+    assert gr.graph_meta(nodes, edges, ["graph"]).first().num_edges == size * (size - 1) // 2 + 6
+    assert gr.adjacency(edges, ["graph"]).count() == size + 4
+    assert gr.collapsed(edges, ["graph"]).count() == size + 4
+    assert gr.linked_graphs(members, ["graph"], "shared", "idx").count() == 1
 
 
 def test_line_graph_of_a_hub(spark):
     edges = spark.createDataFrame([("g", i, 0) for i in range(1, 6)] + [("g", 0, i) for i in range(6, 10)] + [("g", 9, 11)], "g string, src long, dst long")
-    assert gr.line_graph(edges, ["g"]).where("role = 'link'").count() == 21
-    roles = Counter(r.role for r in gr.line_graph(edges, ["g"], limit=10).collect())
-    assert roles == {"in": 5, "out": 4, "link": 1}
+    roles = Counter((r.via, r.role) for r in gr.line_graph(edges, ["g"]).collect())
+    assert roles == {(0, "in"): 5, (0, "out"): 4, (9, "in"): 1, (9, "out"): 1}
+
+
+def test_nearest_edges_count_copies_as_points(spark):
+    rng = random.Random(3)
+    points = [(i, float(rng.randint(0, 4)), float(rng.randint(0, 4))) for i in range(60)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    got = {}
+    for r in gr.nearest_edges(df, [], "id", ["x", "y"], 1.5, 3).collect():
+        got.setdefault(r.src, []).append((r.rank, r.dst, round(r.distance, 6)))
+    for i, x, y in points:
+        near = sorted((math.dist((x, y), (u, v)), j) for j, u, v in points if j != i and math.dist((x, y), (u, v)) <= 1.5)[:3]
+        assert sorted(got.get(i, [])) == [(k + 1, j, round(d, 6)) for k, (d, j) in enumerate(near)]
+
+
+@pytest.mark.parametrize("values", [[0.0] + [i / 1000 for i in range(3000)] + [1e12], [float(i) for i in range(3000)]])
+def test_ranges_hold_like_numbers(spark, values):
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double").repartition(7)
+    sizes = [r["count"] for r in ranking.range_buckets(df, ["g", "v"], 8).groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 2 * len(values) / 8
+    got = ranking.exact_quantiles(df, ["g"], "v", {"q": 0.37}, 8).first().q
+    assert got == pytest.approx(np.percentile(values, 37))
+
+
+def test_index_of_values_with_one_prefix(spark):
+    names = [f"a common prefix of all {i:05d}" for i in range(2000)]
+    df = spark.createDataFrame([("g", n) for n in names], "g string, v string").repartition(7)
+    sizes = [r["count"] for r in ranking.range_buckets(df, ["g", "v"], 8).groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 2 * len(names) / 8
+    got = {r.v: r.i for r in ranking.dense_index(df, ["g"], "v", "i", 8).collect()}
+    assert [got[n] for n in names] == list(range(2000))
+
+
+def test_groups_with_equal_keys_stay_apart(spark):
+    rng = random.Random(9)
+    points = [(g, i, rng.random() * 30, rng.random() * 30) for g in ("a", "b") for i in range(300)]
+    df = spark.createDataFrame(points, "g string, id long, x double, y double")
+    labels = {(r.g, r.id): r.cluster for r in cl.density_clusters(df, "id", ["x", "y"], 1.5, 4, ["g"]).collect()}
+    for g in ("a", "b"):
+        one = cl.density_clusters(df.where(F.col("g") == g), "id", ["x", "y"], 1.5, 4).collect()
+        assert all(labels[g, r.id] == r.cluster for r in one)
+
+
+def test_difference_of_a_missing_gap(spark):
+    df = spark.createDataFrame([("a", 0.5), ("b", None)], "k string, gap double")
+    shown = sim.with_query(df, "k", "a").select(sim.key_differences([], gap="gap").alias("d"), "k").where("k = 'b'").first()
+    assert shown.d == ["Smallest Gap: 0.500 eV vs N/A"]
 
 
 def brute_force_clusters(points, eps, min_points):
@@ -314,12 +354,6 @@ def test_bag_of_words_shares_sum_to_one(spark):
         assert sum(r.share for r in rows if r.c == c) == pytest.approx(1.0)
 
 
-def test_sparse_vectors(spark):
-    facts = spark.createDataFrame([("a", "X"), ("a", "G"), ("a", "X"), ("b", "M")], "id string, k string")
-    got = {r.id: list(r.features.indices) for r in vec.sparse_vectors(facts, ["id"], "k", facts).collect()}
-    assert got == {"a": [0, 2], "b": [1]}
-
-
 def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([("c", [2.0])] * 4, "c string, v array<double>")
     rows = vec.cloud_histograms(vec.long_points(df, "c", "v"), "c").where("dim = 0").collect()
