@@ -84,17 +84,39 @@ def record_build(t: Tables):
     """,
 )
 def kspace_graphs(t: Tables):
+    return kspace.kspace_graphs(_kspace_facts(t)).meta
+
+
+def _kspace_facts(t: Tables):
     # k-points are months and irreps are flags: both domains stay small at any scale.
     orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("l_orderkey"), (F.col("c_nationkey") + 1).cast("int").alias("space_group_number"),
         F.format_string("M%02d", F.month("o_orderdate")).alias("k_point"), F.col("o_orderpriority").alias("ebr_label"),
     )
-    facts = t.lineitem.join(orders, "l_orderkey").select(
+    return t.lineitem.join(orders, "l_orderkey").select(
         "space_group_number", "k_point", "ebr_label", F.concat("l_returnflag", "l_linestatus").alias("irrep_label"),
         F.col("l_linenumber").cast("string").alias("decomposition_index"), F.lit("A1").alias("branch1_irreps"),
         F.sqrt("l_extendedprice").alias("energy"), F.col("l_linenumber").alias("band_index"),
     )
-    return kspace.kspace_graphs(facts).meta
+
+
+@query(
+    "physics_vectors",
+    "AG11",
+    """
+    select c_nationkey + 1 as g, count(distinct o_orderpriority)::double as ebrs, count(distinct l_returnflag || l_linestatus)::double as irreps,
+           count(distinct l_linenumber)::double as decompositions, count(distinct l_linenumber)::double as bands, 0.0::double as rest, 11::int as width
+    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by c_nationkey
+    """,
+)
+def physics_vectors(t: Tables):
+    rows = kspace.physics_vectors(_kspace_facts(t), ["space_group_number"])
+    v = F.col("physics")
+    rest = F.aggregate(F.slice(v, 3, 7), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        F.col("space_group_number").cast("long").alias("g"), v[0].alias("ebrs"), v[1].alias("irreps"), v[9].alias("decompositions"),
+        v[10].alias("bands"), rest.alias("rest"), F.size(v).alias("width"),
+    )
 
 
 @query(

@@ -213,3 +213,23 @@ def coalesce_sources(t: Tables):
     )
     decoded = decode_structure(rows, STRUCTURE_ENCODINGS, "raw")
     return decoded.select("event_id", "source", F.col("structure_data.frac")[0][0].alias("x"))
+
+
+@query(
+    "summary_vector",
+    "FV13",
+    """
+    select p_partkey::varchar as material_id, (p_partkey % 2)::double as z2, (p_size % 4)::double as z4, p_size::double as space_group,
+           (p_size % 6)::double as fragile, case when p_size % 4 > 0 then ('0.' || (p_size + 100))::double else -1.0 end::double as gap,
+           p_retailprice as a, (p_size * 2 + 0.5)::double as volume, (p_size % 3 + 1)::double as band_groups, 3.0::double as transitions,
+           0.0::double as filled, 128::int as width
+    from part
+    """,
+)
+def summary_vector(t: Tables):
+    from ..operators import vectors as vec
+
+    material = _parsed(t)
+    rows = material.select("material_id", vec.summary_vector(material).alias("v"))
+    places = {"z2": 0, "z4": 4, "space_group": 7, "fragile": 9, "gap": 10, "a": 12, "volume": 15, "band_groups": 16, "transitions": 17, "filled": 18}
+    return rows.select("material_id", *[F.col("v")[i].alias(n) for n, i in places.items()], F.size("v").alias("width"))

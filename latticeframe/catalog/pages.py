@@ -18,17 +18,19 @@ def _row(head: str, cell, n: Column) -> Column:
 
 
 def bandrep_pages(t: Tables):
-    """One page per order with one to three EBR columns; every tenth page holds no table."""
+    """One page per order with one to three EBR columns; every tenth page holds no table, another tenth an odd heading."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     n = (cust % 3 + 1).cast("int")
     form = '<form action="d.pl"><input name="i" value="1"></form>Decomposable'
     table = F.concat(
         F.lit("<html><!-- <table frame='box'> --><table><tr><td>menu</td></tr></table><table frame='box' border=1>"),
-        _row("Wyckoff pos.", lambda i: _text(i, "a(", cust % 11, "/m)"), n),
-        _row("Band-Rep.", lambda i: _text("<b>A", i, "</b>&uarr;G(".replace("&uarr;", "↑"), key % 4 + 1, ")"), n),
-        _row("Decomposable<br>/Indecomposable", lambda i: F.when((key + i) % 2 == 0, form).otherwise("Indecomposable"), n),
-        _row("GM:(0,0,0)", lambda i: _text(" GM", cust % 7, "(1) ⊕ GM", i, "(2) "), n),
-        _row("X:(0,1/2,0)", lambda i: _text("X<sub>", i, "</sub>&nbsp;"), n),
+        F.when(key % 10 == 5, _row("Wyckoff positions", lambda i: _text("odd"), n)).otherwise(
+            _row("Wyckoff pos.", lambda i: _text(i, "a(", cust % 11, "/m)"), n)
+        ),
+        _row("Band-Rep.", lambda i: _text("<b>A", i, "</b>&uarr;G(", key % 4 + 1, ")"), n),
+        _row("Decomposable<br>/Indecomposable", lambda i: F.when((key + i) % 2 == 0, form).otherwise("Indecomposable<table><tr><td>in</td></tr><tr><td>ner</td></tr></table>"), n),
+        _row("GM:(0,0,0)", lambda i: _text(" GM", cust % 7, "(1) &oplus; GM", i, "(2) "), n),
+        _row("&#88;:(0,1/2,0)", lambda i: _text("&#x58;<sub>", i, "</sub>&nbsp;"), n),
         F.lit("</table></html>"),
     )
     html = F.when(key % 10 == 0, "<html><p>No EBR</p></html>").otherwise(table)
@@ -39,7 +41,7 @@ def bandrep_pages(t: Tables):
     "bandrep_html",
     "SC8",
     """
-    select o_orderkey, i::int as ebr_column, i || 'a(' || (o_custkey % 11) || '/m)' as wyckoff,
+    select o_orderkey, i::int as ebr_column, case when o_orderkey % 10 = 5 then '' else i || 'a(' || (o_custkey % 11) || '/m)' end as wyckoff,
            'A' || i || '↑G(' || (o_orderkey % 4 + 1) || ')' as bandrep,
            case when (o_orderkey + i) % 2 = 0 then 'decomposable' else 'indecomposable' end as note,
            'GM' || (o_custkey % 7) || '(1) ⊕ GM' || i || '(2)' as gm, 'X' || i as x, 2::int as points
@@ -133,16 +135,20 @@ def magnetic_index_html(t: Tables):
     """,
 )
 def decomp_html(t: Tables):
+    parsed = pg.decompositions(_decomposition_pages(t), "event_id")
+    branches = F.array_join(F.transform("branches", lambda r: F.array_join(r, ",")), "|")
+    return parsed.select("event_id", "kind", F.coalesce(branches, F.array_join("ebr_list", "|")).alias("content"))
+
+
+def _decomposition_pages(t: Tables):
     kind = F.col("event_id") % 3
     table = _text(
         "<table><tr><th></th><th>Branch 1</th><th>branch 2</th></tr><tr><td>1</td><td>A", F.col("user_id"),
         "</td><td>B1</td></tr><tr><td>2<td>C", F.col("event_id") % 5, "<td> D </table>",
     )
-    plain = _text("<p>As: <b>A1↑G(", F.col("user_id"), ")</b> and <i> ", F.col("event_type"), "↑G </i></p>")
+    plain = _text("<p>As: <b>A1&uarr;G(", F.col("user_id"), ")</b> and <i> ", F.col("event_type"), "&uarr;G </i></p>")
     html = F.when(kind == 0, table).when(kind == 1, plain).otherwise("<p>neither</p>")
-    parsed = pg.decompositions(t.spread("events").select("event_id", html.alias("html")), "event_id")
-    branches = F.array_join(F.transform("branches", lambda r: F.array_join(r, ",")), "|")
-    return parsed.select("event_id", "kind", F.coalesce(branches, F.array_join("ebr_list", "|")).alias("content"))
+    return t.spread("events").select("event_id", html.alias("html"))
 
 
 @query(
@@ -205,3 +211,26 @@ def index_ingest(t: Tables):
     a = indices.agg(F.count("*").alias("n"), F.count("mod_value").alias("filled")).withColumn("target", F.lit("indices"))
     b = values.agg(F.count("*").alias("n"), F.count("value").alias("filled")).withColumn("target", F.lit("irrep_values"))
     return a.unionByName(b).select("target", "n", "filled")
+
+
+@query(
+    "decomp_ingest",
+    "PL3 SC10",
+    """
+    select 'branch' as target, event_id, i::int as decomposition_index, j::int as branch_index,
+           case when i = 1 then case when j = 1 then 'A' || user_id else 'B1' end else case when j = 1 then 'C' || (event_id % 5) else 'D' end end as content
+    from events, (values (1), (2)) a(i), (values (1), (2)) b(j) where event_id % 3 = 0
+    union all select 'ebr', event_id, null, null, 'A1↑G(' || user_id || ')' from events where event_id % 3 = 1
+    union all select 'ebr', event_id, null, null, event_type || '↑G' from events where event_id % 3 = 1
+    """,
+)
+def decomp_ingest(t: Tables):
+    from ..plans.ingest import ingest_decompositions
+
+    items, lists = ingest_decompositions(_decomposition_pages(t), "event_id")
+    none = F.lit(None).cast("int")
+    a = items.select(F.lit("branch").alias("target"), "event_id", "decomposition_index", "branch_index", F.col("irreps_string").alias("content"))
+    b = lists.select(
+        F.lit("ebr").alias("target"), "event_id", none.alias("decomposition_index"), none.alias("branch_index"), F.col("decomposes_into").alias("content")
+    )
+    return a.unionByName(b)

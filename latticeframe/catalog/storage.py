@@ -1,10 +1,12 @@
-"""Source and sink queries that write and read back, and store listings."""
+"""Source and sink queries: what is written is read back and compared."""
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import scratch_path
-from ..sources import catalogue, sinks
+from ..operators import graphs as gr
+from ..plans import ingest
+from ..sources import catalogue, sinks, tables
 from .registry import Tables, query
 
 
@@ -41,7 +43,7 @@ def scan_catalogue(t: Tables):
 
 @query(
     "json_props_scan",
-    "SC5 SC12",
+    "SC5",
     r"select event_id, regexp_extract(props, '(\d+)', 1)::int as k, event_id % 7 = 0 as nan_gap, value from events",
 )
 def json_props_scan(t: Tables):
@@ -85,7 +87,7 @@ def metadata_round_trip(t: Tables):
 
 @query(
     "master_index",
-    "SK2 SK7 SK8",
+    "SK2 SK7",
     """
     select event_id, '{"user":' || user_id || ',"kind":"' || event_type || '"}' as origin, '["' || event_type || '"]' as tags,
            value from events
@@ -102,11 +104,101 @@ def master_index(t: Tables):
     return t.spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{path}/csv")
 
 
-@query("artefact_index", "SK10")
-def artefact_index(t: Tables):
-    return sinks.artefact_index(t.spark, t.folder, "*.parquet")
+@query(
+    "bulk_properties",
+    "SC12",
+    """
+    select 'J-' || p_partkey as jid, p_name as formula, p_size::int as spg_number, p_retailprice as formation_energy_peratom,
+           p_partkey % 7 = 0 as nan_gap, case when p_partkey % 3 > 0 then p_size / 2 end::double as density from part
+    """,
+)
+def bulk_properties(t: Tables):
+    path = scratch_path(t.spark, "bulk")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    # A key is left out of every third line; a gap of every seventh is not a number.
+    text = F.concat(
+        F.lit('{"jid": "J-'), key.cast("string"), F.lit('", "formula": '), F.to_json(F.struct("p_name")).substr(F.lit(11), F.length("p_name") + 2),
+        F.lit(', "spg_number": '), size.cast("string"), F.lit(', "optb88vdw_bandgap": '), F.when(key % 7 == 0, "NaN").otherwise("0.5"),
+        F.when(key % 3 > 0, F.concat(F.lit(', "density": '), (size / 2).cast("string"))).otherwise(""),
+        F.lit(', "formation_energy_peratom": '), F.col("p_retailprice").cast("string"), F.lit("}"),
+    )
+    t.part.select(text.alias("value")).write.text(path)
+    rows = tables.read_properties(t.spark, path)
+    return rows.select("jid", "formula", "spg_number", "formation_energy_peratom", F.isnan("optb88vdw_bandgap").alias("nan_gap"), "density")
+
+
+@query(
+    "vector_store",
+    "SK6",
+    "select vec_id::varchar as material_id, label % 2 as method, round(list_sum(embedding::double[]), 3) as total, 64::int as width from embeddings",
+)
+def vector_store(t: Tables):
+    path = scratch_path(t.spark, "vectors")
+    vectors = t.embeddings.select(
+        F.col("vec_id").cast("string").alias("material_id"), (F.col("label") % 2).alias("method"), F.col("embedding").cast("array<double>").alias("v")
+    )
+    sinks.write_vectors(vectors, path)
+    stored = t.spark.read.schema("material_id STRING, v STRING, method BIGINT").option("header", True).csv(path)
+    values = F.transform(F.split("v", " "), lambda x: x.cast("double"))
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return stored.select("material_id", "method", F.round(total, 3).alias("total"), F.size(values).alias("width"))
+
+
+@query(
+    "result_rows",
+    "SK8",
+    """
+    select fmt, c_custkey, c_name, c_acctbal from customer, (values ('csv'), ('json')) v(fmt)
+    """,
+)
+def result_rows(t: Tables):
+    path = scratch_path(t.spark, "results")
+    rows = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    # An empty result writes nothing, and what is there already stays.
+    assert sinks.write_rows(rows, path) and not sinks.write_rows(rows.where("false"), path)
+    csv = t.spark.read.schema(rows.schema).option("header", True).csv(f"{path}/csv")
+    json = t.spark.read.schema(rows.schema).json(f"{path}/json")
+    return csv.select(F.lit("csv").alias("fmt"), "*").unionByName(json.select(F.lit("json").alias("fmt"), "*"))
+
+
+@query(
+    "graph_store",
+    "SK9 GR10",
+    """
+    with m as (select distinct l_orderkey % 100 as g, l_partkey as shared, l_suppkey as idx from lineitem),
+    s as (select g, shared, count(*) as k from m group by all having count(*) > 1)
+    select n.g, n.nodes as num_nodes, coalesce(e.edges, 0)::bigint as num_edges, coalesce(e.members, 0)::bigint as member_rows,
+           coalesce(e.total, 0)::bigint as idx_total
+    from (select g, count(distinct idx) as nodes from m group by g) n
+    left join (select s.g, sum(idx) as total, count(*) as members, (sum(k - 1) // 2) as edges
+               from s join m on m.g = s.g and m.shared = s.shared group by s.g) e on e.g = n.g
+    """,
+)
+def graph_store(t: Tables):
+    path = scratch_path(t.spark, "graphs")
+    members = t.lineitem.select((F.col("l_orderkey") % 100).alias("g"), F.col("l_partkey").alias("shared"), F.col("l_suppkey").alias("idx"))
+    nodes = members.select("g", "idx").distinct()
+    edges = gr.clique_edges(members, ["g"], "shared", gr.DECOMPOSITION_WEIGHT, "decomposition")
+    sinks.write_graphs(nodes, edges, gr.graph_meta(nodes, edges, ["g"]), path, "g")
+    stored = t.spark.read.parquet(f"{path}/edges").groupBy("g").agg(F.count("*").alias("member_rows"), F.sum("src").alias("idx_total"))
+    sizes = tables.shared_graph_sizes(t.spark, path).join(stored, "g", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return sizes.select(F.col("g").cast("long").alias("g"), "num_nodes", "num_edges", zero("member_rows"), zero("idx_total"))
 
 
-@query("store_inspect", "SK11")
-def store_inspect(t: Tables):
-    return sinks.inspect_store(t.spark, t.folder)
+@query(
+    "group_tables",
+    "PL3 TB2",
+    """
+    select c_custkey, case when c_nationkey % 3 = 0 then 'new' else 'old' end as origin, c_nationkey from customer
+    where c_nationkey % 3 > 0 or c_acctbal > 0
+    """,
+)
+def group_tables(t: Tables):
+    path = scratch_path(t.spark, "groups")
+    rows = t.customer.select("c_custkey", F.lit("old").alias("origin"), "c_nationkey", "c_acctbal")
+    ingest.write_group_tables(rows, path, "c_nationkey")
+    # The second run replaces the groups it holds and leaves the others.
+    again = rows.where("c_nationkey % 3 = 0 and c_acctbal > 0").withColumn("origin", F.lit("new"))
+    ingest.write_group_tables(again, path, "c_nationkey")
+    return t.spark.read.parquet(path).select("c_custkey", "origin", F.col("c_nationkey").cast("long").alias("c_nationkey"))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import maintenance as mt
 from ..operators import ranking
+from ..session import scratch_path
+from ..sources import sinks
 from .registry import Tables, query
 
 
@@ -216,5 +218,20 @@ def dedupe(t: Tables):
     """,
 )
 def stratified_split(t: Tables):
-    split = ranking.stratified_split(t.labels, "doc_id", "quality", 0.8, 0.1, 42)
-    return split.groupBy("quality", "split").agg(F.count("*").alias("n"))
+    path = scratch_path(t.spark, "splits")
+    sinks.write_splits(ranking.stratified_split(t.labels, "doc_id", "quality", 0.8, 0.1, 42), path)
+    return t.spark.read.parquet(path).groupBy("quality", "split").agg(F.count("*").alias("n"))
+
+
+@query(
+    "next_unprocessed",
+    "TB9",
+    """
+    select p_partkey, p_name from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)
+    order by p_retailprice, p_partkey limit 1
+    """,
+)
+def next_unprocessed(t: Tables):
+    done = t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    position = F.struct("p_retailprice", "p_partkey")
+    return mt.next_unprocessed(t.part, done, ["p_partkey"], position).select("p_partkey", "p_name")

@@ -296,3 +296,33 @@ def node_vector(t: Tables):
         "user_id", v[0].alias("x"), v[1].alias("y"), v[2].alias("z"),
         *[v[3 + i].alias(f"i_{e}") for i, e in enumerate(EVENT_TYPES)], F.size(v).alias("width"),
     )
+
+
+@query(
+    "fallback_vector",
+    "FV14",
+    """
+    select p_partkey, p_size::double as a, 90.0::double as alpha, p_retailprice as volume, (p_partkey % 9)::double as z_std, 0.0::double as filled,
+           128::int as width from part
+    """,
+)
+def fallback_vector(t: Tables):
+    size, spread = F.col("p_size"), F.col("p_partkey") % 9
+    cell = {"a": size, "b": size, "c": size, "alpha": F.lit(90), "beta": F.lit(90), "gamma": F.lit(90), "volume": F.col("p_retailprice"), "density": F.lit(1)}
+    atoms = {"n_elements": F.lit(2), "n_atoms": size, "z_mean": size, "z_std": spread, "z_min": F.lit(1), "z_max": size}
+    rows = t.part.select("p_partkey", *[c.alias(n) for n, c in (cell | atoms).items()])
+    rows = rows.select("p_partkey", vec.structure_fallback_vector().alias("v"))
+    picked = {"a": 0, "alpha": 3, "volume": 6, "z_std": 11, "filled": 14}
+    return rows.select("p_partkey", *[F.col("v")[i].alias(n) for n, i in picked.items()], F.size("v").alias("width"))
+
+
+@query(
+    "category_numbers",
+    "FL15",
+    "select p_partkey, p_size % 2 = 0 as missing, case when p_size % 2 = 0 then -1 else p_size end::double as number from part",
+)
+def category_numbers(t: Tables):
+    from ..functions import topology as topo
+
+    number = topo.category_number(F.when(F.col("p_size") % 2 == 1, F.col("p_size")))
+    return t.part.select("p_partkey", F.isnan(number).alias("missing"), F.nanvl(number, F.lit(-1.0)).alias("number"))

@@ -1,17 +1,22 @@
 """HTML pages to table cells with JVM regular expressions, one page per row.
 
 Rows and cells are cut at their opening tags, so unclosed ``<tr>`` and ``<td>``
-read the same as closed ones.
+read the same as closed ones. In pages with nested tables the table tags carry their depth, so that
+rows and cells end at tags of their own table only.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Entities that occur in the source pages.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 TAG = r"<[^>]*>"
+ENTITY = r"&(#[xX]?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+TABLE_TAG = r"(?i)</?t(?:able|r|d|h)(?=[\s>/])[^>]*>"
+# What may follow a tag's name; the depth mark of a nested table's tag may not.
+END = r"(?=[\s>/])"
 
 
 def cleaned(html: Column) -> Column:
@@ -19,34 +24,81 @@ def cleaned(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; NULL for no such one."""
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def _decoded(name: Column) -> Column:
+    """The character that an entity's name or number stands for; the entity itself if it is unknown."""
+    named = F.create_map(*[F.lit(x) for k, v in sorted(name2codepoint.items()) for x in (k, chr(v) if k != "nbsp" else " ")])
+    number = F.when(F.lower(name).startswith("#x"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+    found = F.when(name.startswith("#"), _character(number.try_cast("long"))).otherwise(F.try_element_at(named, name))
+    return F.coalesce(found, F.concat(F.lit("&"), name, F.lit(";")))
+
+
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named, decimal and hexadecimal entities to characters, in one pass; a no-break space becomes a space."""
+    between = F.split(text, ENTITY, -1)
+    names = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
+    tail = F.zip_with(names, F.slice(between, 2, F.size(names)), lambda n, s: F.concat(_decoded(n), s))
+    return F.when(F.contains(text, F.lit("&")), F.concat(between[0], F.array_join(tail, ""))).otherwise(text)
 
 
 def text_of(fragment: Column) -> Column:
     """Text of a fragment: each text node trimmed, then joined."""
     bare = F.regexp_replace(fragment, rf"(?s)\s*{TAG}\s*", "")
-    return F.regexp_replace(unescape(bare), r"^[\s ]+|[\s ]+$", "")
+    return F.regexp_replace(unescape(bare), r"^[\s ]+|[\s ]+$", "")
 
 
 def elements(html: Column, tag: str) -> Column:
     """Inner HTML of each ``<tag>``, cut at the next opening or closing one."""
-    pattern = rf"(?is)<{tag}\b[^>]*>(.*?)(?=<{tag}\b|</{tag}\s*>|$)"
+    pattern = rf"(?is)<{tag}{END}[^>]*>(.*?)(?=<{tag}{END}|</{tag}\s*>|$)"
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
+def _with_depths(page: Column) -> Column:
+    """The page with the number of open tables in the name of each table tag: ``<td#2 ...>``."""
+    tags = F.regexp_extract_all(page, F.lit(TABLE_TAG), F.lit(0))
+    between = F.split(page, TABLE_TAG, -1)
+
+    def step(state: Column, tag: Column) -> Column:
+        opens, closes = tag.rlike(r"(?i)^<table"), tag.rlike(r"(?i)^</table")
+        depth = state["depth"] + opens.cast("int")
+        shown = F.regexp_replace(tag, F.lit(r"(?i)^(</?t(?:able|r|d|h))"), F.concat(F.lit("$1#"), depth.cast("string")))
+        return F.struct(
+            F.greatest(depth - closes.cast("int"), F.lit(0)).alias("depth"), F.concat(state["tags"], F.array(shown)).alias("tags")
+        )
+
+    empty = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("tags"))
+    marked = F.aggregate(tags, empty, step, lambda s: s["tags"])
+    tail = F.zip_with(marked, F.slice(between, 2, F.size(tags)), lambda a, b: F.concat(a, b))
+    return F.concat(between[0], F.array_join(tail, ""))
+
+
+def _nested_tables(page: Column, extra: str) -> Column:
+    marked = _with_depths(page)
+    # A look-ahead takes no text, so a table inside another one is found too.
+    pattern = F.lit(rf"(?is)(?=<table#(\d+)\b{extra}[^>]*>(.*?)(?:</table#\1\b|$))")
+    depths, bodies = (F.regexp_extract_all(marked, pattern, F.lit(i)) for i in (1, 2))
+    own = lambda d, b: F.regexp_replace(b, F.concat(F.lit("(?i)(</?t(?:able|r|d|h))#"), d, F.lit(r"\b")), F.lit("$1"))
+    return F.zip_with(depths, bodies, own)
+
+
 def tables(html: Column, attribute: str = "") -> Column:
-    """Inner HTML of each table, or of those whose tag holds ``attribute``."""
+    """Inner HTML of each table in page order, or of those whose tag holds ``attribute``; nested tables too."""
     extra = rf"[^>]*{attribute}" if attribute else ""
-    return F.regexp_extract_all(cleaned(html), F.lit(rf"(?is)<table\b{extra}[^>]*>(.*?)(?=</table\s*>|$)"), F.lit(1))
+    page = cleaned(html)
+    nested = F.exists(F.split(page, r"(?i)</table"), lambda s: s.rlike(r"(?is)<table\b.*<table\b"))
+    flat = F.regexp_extract_all(page, F.lit(rf"(?is)<table\b{extra}[^>]*>(.*?)(?=</table\s*>|$)"), F.lit(1))
+    return F.when(nested, _nested_tables(page, extra)).otherwise(flat)
 
 
 def row_cells(row: Column) -> Column:
     """Inner HTML of each cell of a row."""
     return F.regexp_extract_all(
-        row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]\s*>|</tr\s*>|$)"), F.lit(1)
+        row, F.lit(rf"(?is)<t[dh]{END}[^>]*>(.*?)(?=<t[dh]{END}|</t[dh]\s*>|</tr\s*>|$)"), F.lit(1)
     )
 
 

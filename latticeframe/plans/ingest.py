@@ -14,8 +14,9 @@ from ..sources.sinks import rebalanced
 
 def ingest_bandreps(pages: DataFrame, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages to (ebrs, irreps, failures); ids are hashes of (group, column), so a rerun gives the same rows."""
-    # Parsing costs most here, and both tables come from it: it runs once, into a staging table.
-    columns = cut_lineage(pg.bandrep_columns(pages, group))
+    # Parsing costs most here, and all three tables come from it: it runs once, into a staging table.
+    parsed = cut_lineage(pg.parsed_bandreps(pages, group))
+    columns = parsed.where(F.col("ebr_column").isNotNull())
     parents, children = mt.parents_and_children(columns, [group, "ebr_column"], "kpoints")
     ebrs = parents.select(
         F.col("ebr_id").alias("id"), group, labels.wyckoff("wyckoff").alias("w"), labels.orbital("bandrep").alias("o"),
@@ -25,12 +26,12 @@ def ingest_bandreps(pages: DataFrame, group: str) -> tuple[DataFrame, DataFrame,
         F.xxhash64("ebr_id", "k_point").alias("id"), "ebr_id", "k_point", labels.irrep_label("cell").alias("irrep_label"),
         labels.multiplicity("cell").alias("multiplicity"),
     )
-    return ebrs, irreps, pg.failed_pages(pages, group)
+    return ebrs, irreps, pg.failures(parsed, group)
 
 
 def ingest_decompositions(pages: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Decomposition pages to (branch rows, decomposition-into-EBR rows)."""
-    parsed = pg.decompositions(pages, key)
+    parsed = cut_lineage(pg.decompositions(pages, key))
     items = mt.decomposition_items(parsed.where("kind = 'branches'"), [key], "branches")
     lists = parsed.where("kind = 'ebr_list'").select(key, F.explode("ebr_list").alias("decomposes_into"))
     return items, lists
@@ -39,7 +40,7 @@ def ingest_decompositions(pages: DataFrame, key: str) -> tuple[DataFrame, DataFr
 def ingest_indices(pages: DataFrame, group: str, magnetic: bool = False) -> tuple[DataFrame, DataFrame]:
     """Index pages to (indices, irrep values); a page without a table gives no row."""
     rows = pg.magnetic_index_tables(pages, group) if magnetic else pg.index_tables(pages, group)
-    keyed = rows.withColumn("id", F.xxhash64(group, "index_name"))
+    keyed = cut_lineage(rows.withColumn("id", F.xxhash64(group, "index_name")))
     indices = keyed.select("id", group, "index_name", "mod_value")
     values = keyed.select(F.col("id").alias("topo_index_id"), F.explode("irreps").alias("irrep_name", "value"))
     return indices, values

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import graphs as gr
-from ..operators import joins as jn
 from ..operators import vectors as vec
 from ..session import cut_lineage
 
@@ -76,8 +75,3 @@ def physics_vectors(facts: DataFrame, keys: list[str]) -> DataFrame:
     values |= {c: F.col(c) if c in joined.columns else F.lit(None).cast("double") for c in PHYSICS_INDICES}
     values |= {f"n_{c}": F.col(f"n_{c}") for c in ("decomposition_index", "band_index")}
     return joined.select(*keys, vec.named_vector(values).alias("physics"))
-
-
-def kspace_graphs_from_tables(irreps: DataFrame, ebrs: DataFrame, groups: DataFrame, branches: DataFrame) -> KspaceGraphs:
-    """The join of the four stored tables, then the graphs of every group."""
-    return kspace_graphs(jn.kspace_rows(irreps, ebrs, groups, branches))

@@ -27,11 +27,12 @@ def _at(row: Column, i: Column, name: str, default) -> Column:
     return F.coalesce(F.get(row, i)[name], F.lit(default))
 
 
-def bandrep_columns(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+def parsed_bandreps(pages: DataFrame, key: str, html: str = "html", outer: bool = True) -> DataFrame:
     """One row per page and EBR column: Wyckoff and band-rep cell, note, k-point map.
 
-    The boxed table is read inside its row, so nothing is shuffled. A page
-    without such a table gives no row; see ``failed_pages``.
+    The boxed table is read inside its row, so nothing is shuffled. A page has columns when its boxed table has a row of
+    two cells or more; a missing heading leaves its text empty. Any other page is one row with NULL ``ebr_column`` (left out
+    unless ``outer``).
     """
     boxed = F.get(h.tables(F.col(html), r"\bframe\s*=\s*[\"']?box"), F.lit(0))
     is_k = lambda r: F.contains(_first_text(r), F.lit(":"))
@@ -49,8 +50,8 @@ def bandrep_columns(pages: DataFrame, key: str, html: str = "html") -> DataFrame
     page = page.select(
         key, "width", "krows", named(WYCKOFF_ROW).alias("w"), named(BANDREP_ROW).alias("b"), named(DECOMPOSABLE_ROW).alias("d"),
     )
-    columns = F.when(F.col("w").isNotNull() & (F.col("width") > 1), F.sequence(F.lit(1), F.col("width") - 1))
-    column = page.select("*", F.explode(columns).alias("ebr_column"))
+    columns = F.when(F.col("width") > 1, F.sequence(F.lit(1), F.col("width") - 1))
+    column = page.select("*", (F.explode_outer if outer else F.explode)(columns).alias("ebr_column"))
     i = F.col("ebr_column")
     points = F.transform(
         F.filter("krows", lambda r: F.size(r) > i),
@@ -63,11 +64,19 @@ def bandrep_columns(pages: DataFrame, key: str, html: str = "html") -> DataFrame
     )
 
 
+def bandrep_columns(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """The EBR columns of all pages that have some."""
+    return parsed_bandreps(pages, key, html, outer=False)
+
+
+def failures(parsed: DataFrame, key: str) -> DataFrame:
+    """Of ``parsed_bandreps``, the pages without an EBR column."""
+    return parsed.where(F.col("ebr_column").isNull()).select(key, F.lit("no main table").alias("reason"))
+
+
 def failed_pages(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Pages without a boxed band-representation table."""
-    boxed = F.get(h.tables(F.col(html), r"\bframe\s*=\s*[\"']?box"), F.lit(0))
-    missing = boxed.isNull() | ~F.contains(boxed, F.lit("Wyckoff pos"))
-    return pages.where(missing).select(key, F.lit("no main table").alias("reason"))
+    """Pages without an EBR column, so that every page is either here or in ``bandrep_columns``."""
+    return failures(parsed_bandreps(pages, key, html), key)
 
 
 def index_tables(pages: DataFrame, key: str, html: str = "html", header_row: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticeframe.functions import detail, formulas, labels
+from latticeframe.functions import detail, formulas, html, labels
 from latticeframe.functions import sections as sec
 from latticeframe.operators import aggregates as agg
 from latticeframe.operators import clustering as cl
@@ -431,3 +431,29 @@ def test_property_dump(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"jid": "a", "density": NaN}\n{"jid": "b", "kv": 1.5}\n')
     rows = {r.jid: r for r in tables.read_properties(spark, str(tmp_path / "p.json")).collect()}
     assert rows["a"].density != rows["a"].density and rows["a"].kv is None and rows["b"].kv == 1.5
+
+
+def test_entities_of_all_kinds(spark):
+    df = spark.createDataFrame([("A1&uarr;G(2) &#915;&#x3B1; &bogus; &amp;lt; 5 & 6;",), ("none",), (None,)], "t string")
+    assert [r[0] for r in df.select(html.unescape(F.col("t"))).collect()] == ["A1↑G(2) Γα &bogus; &lt; 5 & 6;", "none", None]
+
+
+def test_nested_tables_keep_their_rows_apart(spark):
+    page = "<table><tr><td>o1<table><tr><td>i1<td>i2</tr></table>t<td>o2<tr><td>r2</table><TABLE><TR><TH>z</TABLE>"
+    rows = spark.createDataFrame([(page,)], "t string").select(F.transform(html.tables(F.col("t")), html.grid).alias("g")).first().g
+    assert [[[c.text for c in row] for row in t] for t in rows] == [[["o1i1i2t", "o2"], ["r2"]], [["i1", "i2"]], [["z"]]]
+
+
+def test_every_page_is_in_one_output(spark):
+    boxed = "<table frame=box><tr><td>{}</td><td>1a</td></tr></table>"
+    pages = [("a", boxed.format("Wyckoff pos.")), ("b", boxed.format("Wyckoff positions")), ("c", "<table frame=box><tr><td>x</table>"), ("d", None), ("e", "")]
+    df = spark.createDataFrame(pages, "k string, html string")
+    good = {r.k: r.wyckoff for r in pg.bandrep_columns(df, "k").collect()}
+    assert good == {"a": "1a", "b": ""} and {r.k for r in pg.failed_pages(df, "k").collect()} == {"c", "d", "e"}
+
+
+def test_structures_of_one_text_in_linear_time(spark):
+    one = "x\n1.0\n1 0 0\n0 1 0\n0 0 1\nNa\n1\nDirect\n0 0 0\n"
+    df = spark.createDataFrame([(n, one * n) for n in (1, 3000)], "n int, value string")
+    got = poscar.split_structures(df).groupBy("n").agg(F.count("*").alias("c"), F.max("structure_idx").alias("m")).collect()
+    assert {(r.n, r.c, r.m) for r in got} == {(1, 1, 0), (3000, 3000, 2999)}
