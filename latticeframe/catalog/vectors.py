@@ -71,13 +71,32 @@ def cloud_moments(t: Tables):
     return _round(vec.cloud_moments(_points(t), "label"), ("label", "dim"), 6)
 
 
-@query("cloud_pca", "FV5")
-def cloud_pca(t: Tables):
-    return _round_array(vec.cloud_pca(t.embeddings, "label", "embedding", 64), "features")
+COVARIANCE_SQL = """
+    with p as (select label, vec_id, unnest(generate_series(0, 63))::int as dim, unnest(embedding)::double as v from embeddings),
+    m as (select label, dim, avg(v) as mu from p group by all),
+    z as (select p.label, p.vec_id, p.dim, v - mu as v from p join m on p.label = m.label and p.dim = m.dim),
+    c as (select a.label, a.dim as i, b.dim as j, sum(a.v * b.v) / count(*) as c from z a join z b on a.label = b.label and a.vec_id = b.vec_id group by all),
+    k as (select label, least(count(*), 64)::int - 1 as k from embeddings group by label)
+"""
 
 
-def _round_array(df, name):
-    return df.withColumn(name, F.transform(name, lambda x: F.round(x, 5)))
+@query(
+    "cloud_pca",
+    "FV5",
+    COVARIANCE_SQL
+    + """select c.label, k.k * 3 as width, round(sum(case when i = j then c end), 4) as trace, round(sum(c * c), 4) as norm2,
+                1.0::double as ratio from c join k on c.label = k.label group by c.label, k.k""",
+)
+def cloud_pca(t: Tables):
+    # All components at once: their variances must give the covariance's trace, and their squares its squared norm.
+    rows = vec.cloud_pca(t.embeddings, "label", "embedding", 64, components=64)
+    n = (F.size("features") / 3).cast("int")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    variances = F.transform(F.slice("features", n + 1, n), lambda s: s * s)
+    return rows.select(
+        "label", F.size("features").alias("width"), F.round(total(variances), 4).alias("trace"),
+        F.round(total(F.transform(variances, lambda x: x * x)), 4).alias("norm2"), F.round(total(F.slice("features", n * 2 + 1, n)), 6).alias("ratio"),
+    )
 
 
 @query(
@@ -93,9 +112,21 @@ def cloud_pool(t: Tables):
     return _round(vec.cloud_pooling(_points(t), "label"), ("label", "dim"))
 
 
-@query("bag_of_words", "FV7")
+@query(
+    "bag_of_words",
+    "FV7",
+    """
+    with w as (select row_number() over (order by vec_id) - 1 as word, embedding as e from (select * from embeddings order by vec_id limit 8)),
+    d as (select label, vec_id, word, list_distance(embedding::double[], e::double[]) as d from embeddings, w),
+    n as (select label, vec_id, min_by(word, (d, word)) as word from d group by all)
+    select label, word::int as word, round(count(*) / sum(count(*)) over (partition by label), 6) as share from n group by label, word
+    """,
+)
 def bag_of_words(t: Tables):
-    return vec.bag_of_words(t.embeddings, "label", "embedding")
+    # A given codebook of eight words, so that SQL can assign the points too.
+    words = t.embeddings.orderBy("vec_id").limit(8).select("embedding").collect()
+    shares = vec.bag_of_words(t.embeddings, "label", "embedding", codebook=[list(r[0]) for r in words])
+    return shares.withColumn("share", F.round("share", 6))
 
 
 @query(
@@ -103,20 +134,39 @@ def bag_of_words(t: Tables):
     "FV8",
     POINTS_SQL
     + """
-    select label, method, count(*) as width, max(pos)::bigint as last_pos from (
-      select distinct label, 'statistical' as method, dim + 64 * b as pos from p, (values (0), (1), (2), (3), (4)) v(b)
-      union all select distinct label, 'statistical', 320 + i from p, (values (0), (1), (2), (3)) v(i)
-      union all select distinct label, 'statistical', 324 + dim * 2 + i from p, (values (0), (1)) v(i)
-      union all select distinct label, 'histogram', dim * 10 + i from p, (select unnest(generate_series(0, 9)) as i)
-      union all select distinct label, 'histogram', 640 + i from p, (select unnest(generate_series(0, 9)) as i)
-      union all select distinct label, 'moment', dim + 64 * b from p, (values (0), (1), (2), (3)) v(b)
-      union all select distinct label, 'pool', dim + 64 * b from p, (values (0), (1), (2), (3), (4), (5)) v(b))
-    group by all
+    , m as (select label, dim, avg(v) as mu from o group by all),
+    s as (select o.label, o.dim, avg((v - mu)**2) as m2, avg((v - mu)**3) as m3, avg((v - mu)**4) as m4
+          from o join m on o.label = m.label and o.dim = m.dim group by all),
+    b as (select label, dim, avg(v) as mean, stddev_pop(v) as std, min(v) as lo, max(v) as hi, median(v) as mid, sqrt(sum(v * v)) as l2, count(*) as n
+          from o group by all),
+    e as (select o.label, o.dim, count(*) as n, b.hi - b.lo as span from o join b on o.label = b.label and o.dim = b.dim group by all)
+    select b.label, 'statistical' as method, 452::bigint as width, 451::bigint as last_pos,
+           round(sum(mean + std + lo + hi + case when b.dim >= 0 then mid + m3 / m2**1.5 + m4 / (m2 * m2) - 3 else 0 end), 3) as total
+    from b join s on b.label = s.label and b.dim = s.dim group by b.label
+    union all select label, 'histogram', 650, 649, round(sum(10 / span), 3) from e group by label
+    union all select label, 'moment', 256, 255, round(sum(m2 + m3 + m4), 3) from s where dim >= 0 group by label
+    union all select label, 'pool', 384, 383, round(sum(mean + hi + lo + mid + l2 + hi - lo), 3) from b where dim >= 0 group by label
     """,
 )
 def cloud_all(t: Tables):
-    rows = vec.vectorize_clouds(_points(t), "label").where(F.col("value").isNotNull())
-    return rows.groupBy("label", "method").agg(F.count_distinct("pos").alias("width"), F.max("pos").alias("last_pos"))
+    rows = vec.vectorize_long(_points(t), "label", ("statistical", "histogram", "moment", "pool")).where(F.col("value").isNotNull())
+    return rows.groupBy("label", "method").agg(
+        F.count_distinct("pos").alias("width"), F.max("pos").alias("last_pos"), F.round(F.sum("value"), 3).alias("total")
+    )
+
+
+@query(
+    "cloud_methods",
+    "FV8",
+    """
+    with k as (select label, least(10, least(count(*), 64) - 1) as k from embeddings group by label)
+    select label, unnest(['statistical', 'pca', 'histogram', 'moment', 'pool']) as method,
+           unnest([452, 3 * k, 650, 256, 384])::bigint as width from k
+    """,
+)
+def cloud_methods(t: Tables):
+    rows = vec.vectorize_clouds(t.embeddings, "label", "embedding", 64).where(F.col("value").isNotNull())
+    return rows.groupBy("label", "method").agg(F.count("*").alias("width"))
 
 
 @query(

@@ -124,21 +124,46 @@ def cloud_pca(df: DataFrame, cloud: str, vector: str, width: int, components: in
     return sums.groupBy(cloud).applyInPandas(solve, f"{cloud} {key_type}, features array<double>")
 
 
-def bag_of_words(df: DataFrame, cloud: str, vector: str, clusters: int = 50, seed: int = 42) -> DataFrame:
-    """Share of each cloud's points per word of one codebook, learned over all clouds."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def bag_of_words(
+    df: DataFrame, cloud: str, vector: str, clusters: int = 50, seed: int = 42, codebook: list[list[float]] | None = None
+) -> DataFrame:
+    """Share of each cloud's points per word of one codebook: the given one, or one learned over all clouds.
 
-    points = df.select(cloud, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=clusters, seed=seed, initMode="k-means||").fit(points)
-    counted = model.transform(points).groupBy(cloud, F.col("prediction").alias("word")).agg(F.count(F.lit(1)).alias("_c"))
-    # At most ``clusters`` rows per cloud.
+    A point belongs to its nearest word, of equally near ones to the first.
+    """
+    if codebook is None:
+        codebook = learned_codebook(df, vector, clusters, seed)
+    words = F.array(*[F.array(*[F.lit(float(x)) for x in word]) for word in codebook])
+    point = F.col(vector).cast("array<double>")
+    square = lambda word: F.aggregate(F.zip_with(point, word, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    far = F.transform(words, square)
+    counted = df.select(cloud, far.alias("_far")).select(cloud, (F.array_position("_far", F.array_min("_far")) - 1).cast("int").alias("word"))
+    counted = counted.groupBy(cloud, "word").agg(F.count(F.lit(1)).alias("_c"))
+    # At most one row per word and cloud.
     total = F.sum("_c").over(Window.partitionBy(cloud))
     return counted.select(cloud, "word", (F.col("_c") / total).alias("share"))
 
 
-def vectorize_clouds(long: DataFrame, cloud: str, methods: tuple[str, ...] = ("statistical", "histogram", "moment", "pool")) -> DataFrame:
-    """Chosen methods as long rows (cloud, method, pos, value) in each method's own order."""
+def learned_codebook(df: DataFrame, vector: str, clusters: int, seed: int = 42) -> list[list[float]]:
+    """The centres of ``clusters`` clusters of all points: the model, of that size only."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    points = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    return [c.tolist() for c in KMeans(k=clusters, seed=seed, initMode="k-means||").fit(points).clusterCenters()]
+
+
+METHODS = ("statistical", "pca", "histogram", "moment", "pool")
+
+
+def vectorize_clouds(df: DataFrame, cloud: str, vector: str, width: int, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """Chosen methods over the points of each cloud as long rows (cloud, method, pos, value), in each method's own order."""
+    long = long_points(df, cloud, vector, width)
+    return vectorize_long(long, cloud, methods, cloud_pca(df, cloud, vector, width) if "pca" in methods else None)
+
+
+def vectorize_long(long: DataFrame, cloud: str, methods: tuple[str, ...], pca: DataFrame | None = None) -> DataFrame:
+    """As ``vectorize_clouds``, from points in long form; PCA features are given, as they need whole points."""
     parts = []
     width = F.col("_width")
     dims = long.groupBy(cloud).agg((F.max("dim") + 1).alias("_width"))
@@ -164,6 +189,10 @@ def vectorize_clouds(long: DataFrame, cloud: str, methods: tuple[str, ...] = ("s
                 cloud, F.lit("statistical").alias("method"), F.col("e.pos").cast("long").alias("pos"), "e.value"
             )
         )
+    if pca is not None and "pca" in methods:
+        parts.append(pca.select(cloud, F.posexplode("features").alias("pos", "value")).select(
+            cloud, F.lit("pca").alias("method"), F.col("pos").cast("long").alias("pos"), "value"
+        ))
     if "histogram" in methods:
         hist = cloud_histograms(long, cloud).join(dims, cloud)
         slot = F.when(F.col("dim") == OVERALL, width).otherwise(F.col("dim"))
