@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -46,10 +46,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 )
             ).alias("o")
         ).select("o.*")
-        moved = cut_lineage(offers.groupBy("node").agg(F.min("to").alias("parent"), F.max("was").alias("_was")))
+        moved = offers.groupBy("node").agg(F.min("to").alias("parent"), F.max("was").alias("_was"))
         above = moved.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        state = cut_lineage(moved.join(above, "parent"))
-        if state.where(F.col("_was") != F.col("grand")).isEmpty():
+        # One write per round; it also counts the grandparents that changed.
+        watch = Observation()
+        changed = F.count_if(F.col("_was") != F.col("grand")).alias("changed")
+        state = cut_lineage(moved.join(above, "parent").observe(watch, changed))
+        if not watch.get["changed"]:
             return state.select("node", F.col("grand").alias("component"))
         state = state.select("node", "parent", "grand")
 

@@ -46,9 +46,20 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder below the shared one."""
+    return f"{shared_root(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the run's folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all that this run has staged. To be called when its results are written: lazy ones still read their stages."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

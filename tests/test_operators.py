@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from latticeframe import session
 from latticeframe.functions import detail, formulas, html, labels
 from latticeframe.functions import sections as sec
 from latticeframe.operators import aggregates as agg
@@ -457,3 +458,11 @@ def test_structures_of_one_text_in_linear_time(spark):
     df = spark.createDataFrame([(n, one * n) for n in (1, 3000)], "n int, value string")
     got = poscar.split_structures(df).groupBy("n").agg(F.count("*").alias("c"), F.max("structure_idx").alias("m")).collect()
     assert {(r.n, r.c, r.m) for r in got} == {(1, 1, 0), (3000, 3000, 2999)}
+
+
+def test_stages_are_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda s: str(tmp_path))
+    staged = session.cut_lineage(spark.range(5).toDF("id"))
+    assert staged.count() == 5 and os.listdir(tmp_path)
+    session.drop_stages(spark)
+    assert not os.listdir(tmp_path)
