@@ -219,8 +219,8 @@ def component_curves(points: DataFrame, cloud: str, key: str, coords: list[str],
     """Number of connected components per cloud when points up to each threshold are joined.
 
     Thresholds run evenly from 0 to ``reach``. Clouds up to 512 positions, the usual
-    structures, are solved one by one inside tasks; each larger cloud goes through the grid of
-    ``density_clusters`` once per threshold, so no cloud is gathered.
+    structures, are solved one by one inside tasks; larger ones go through the grid of
+    ``density_clusters``, all thresholds at once, so no cloud is gathered.
     """
     positions = points.groupBy(cloud, *coords).agg(F.min(key).alias(key))
     sizes = positions.groupBy(cloud).agg(F.count(F.lit(1)).alias("_n"))
@@ -262,10 +262,14 @@ def component_curves(points: DataFrame, cloud: str, key: str, coords: list[str],
     parts = big.groupBy(cloud).agg(F.count(F.lit(1)).alias("components")).select(
         cloud, F.lit(0).alias("bin"), F.lit(0.0).alias("threshold"), "components"
     )
-    for i in range(1, bins):
-        labels = density_clusters(big, key, coords, float(grid[i]), 1, [cloud])
-        counted = labels.groupBy(cloud).agg(F.count_distinct("cluster").alias("components"))
-        parts = parts.unionByName(counted.select(cloud, F.lit(i).alias("bin"), F.lit(float(grid[i])).alias("threshold"), "components"))
+    # All thresholds in one run: a cloud at a threshold is a group of its own, scaled so that the radius is 1.
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(grid[i])).alias("threshold")) for i in range(1, bins)]))
+    scaled = big.select(cloud, key, *coords, levels.alias("l")).select(
+        cloud, key, F.col("l.bin").alias("bin"), F.col("l.threshold").alias("threshold"), *[(F.col(c) / F.col("l.threshold")).alias(c) for c in coords]
+    )
+    labels = density_clusters(scaled, key, coords, 1.0, 1, [cloud, "bin", "threshold"])
+    counted = labels.groupBy(cloud, "bin", "threshold").agg(F.count_distinct("cluster").alias("components"))
+    parts = parts.unionByName(counted.select(cloud, "bin", "threshold", "components"))
     return curves.unionByName(parts)
 
 

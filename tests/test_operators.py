@@ -466,3 +466,13 @@ def test_stages_are_dropped(spark, tmp_path, monkeypatch):
     assert staged.count() == 5 and os.listdir(tmp_path)
     session.drop_stages(spark)
     assert not os.listdir(tmp_path)
+
+
+def test_curves_agree_for_small_and_large_clouds(spark, monkeypatch):
+    rng = random.Random(12)
+    points = [(c, i, rng.random() * 40, rng.random() * 40) for c in ("a", "b") for i in range(150)]
+    df = spark.createDataFrame(points, "c string, id long, x double, y double")
+    small = {(r.c, r.bin): r.components for r in cl.component_curves(df, "c", "id", ["x", "y"]).collect()}
+    monkeypatch.setattr(cl, "SMALL_CLOUD", 0)
+    large = {(r.c, r.bin): r.components for r in cl.component_curves(df, "c", "id", ["x", "y"]).collect()}
+    assert len(small) == 40 and large == small
