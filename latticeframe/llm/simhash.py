@@ -6,7 +6,7 @@ than any text has. Fingerprints close to each other are found by permuted block
 blocks than the radius, so near fingerprints agree on some choice of blocks, and each choice keys one table.
 
 Defined results: NULL and empty texts have no votes and the fingerprint 0; a bit without majority is 0; equal texts have
-equal fingerprints; rows stand in order of falling identifier (NULL last), ties by text hash and place; a single row is
+equal fingerprints; rows stand in order of falling identifier (NULL last), ties by falling text hash and place; a single row is
 its own successor; an empty table gives no rows.
 """
 
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .exact_dedup import located
-from .text import SPACES, ascii_lower, broadcast_if_small
+from .text import SPACES, ascii_lower
 
 BITS = 64
 HALF = BITS // 2
 LANES = 1 << HALF | 1
 HEAVIEST = 3
+MAX_BUCKETS = 1 << 16
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -79,37 +80,60 @@ def hamming_neighbours(found: DataFrame, radius: int = 3, blocks: int = 6) -> Da
     return each.groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
 
 
-def in_falling_order(rows: DataFrame) -> DataFrame:
-    """(file, row, rank long): places from 0 of located rows by falling id, dealt by ranges of the order."""
-    order = [F.col("id").desc_nulls_last(), F.col("tie"), F.col("file"), F.col("row")]
-    narrow = rows.select("id", "file", "row", F.xxhash64("text").alias("tie")).repartitionByRange(*order)
-    dealt = cut_lineage(narrow.withColumn("range", F.spark_partition_id()))
-    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range.
-    starts = F.broadcast(sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
-    inside = Window.partitionBy("range").orderBy(*order)
-    ranked = dealt.withColumn("i", F.row_number().over(inside) - 1).join(starts, "range")
-    return ranked.select("id", "file", "row", (F.col("start") + F.col("i")).cast("long").alias("rank"))
+def _order(rows: DataFrame) -> DataFrame:
+    """Located rows with ``place``: rows in order of falling place are in order of falling id (NULL last)."""
+    place = F.struct("id", F.xxhash64("text").alias("tie"), F.xxhash64("file").alias("file"), F.col("row").alias("row"))
+    return rows.select("id", "text", place.alias("place"))
 
 
-def with_successors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text with its edited form: (id, rank, next_rank, n_chars, text, edited).
+def _edges(rows: DataFrame, bucket_bytes: int) -> tuple[Column, int]:
+    """The first place of each bucket in falling order, as one constant array, and the number of buckets.
 
-    The last third of the text gives way to as much of the beginning of the next one. Only that much of the next
-    text is sent to meet it.
+    Buckets are ranges of the order with like numbers of rows, about ``bucket_bytes`` of text each, or more of it where that
+    would give more than ``MAX_BUCKETS``; so the array is bounded.
     """
-    rows = located(docs, key, text)
-    ranked = cut_lineage(in_falling_order(rows))
-    n = ranked.count()
-    placed = rows.drop("id").join(broadcast_if_small(ranked, n), ["file", "row"])
-    placed = placed.select("id", "rank", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    cut = rows.join(broadcast_if_small(ranked, n), ["file", "row"]).select("rank", F.floor(F.length(F.coalesce("text", F.lit(""))) / 3).alias("third"))
-    wanted = cut_lineage(cut.select(F.pmod(F.col("rank") + 1, F.lit(max(n, 1))).alias("rank"), F.col("rank").alias("for"), "third"))
-    head = placed.join(broadcast_if_small(wanted, n), "rank").select(F.col("for").alias("rank"), F.substring("text", F.lit(1), F.col("third").cast("int")).alias("head"))
-    met = placed.join(head, "rank")
-    body = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
-    return met.select("id", "rank", F.pmod(F.col("rank") + 1, F.lit(max(n, 1))).alias("next_rank"), "n_chars", "text", F.concat(body, "head").alias("edited"))
+    narrow = cut_lineage(rows.select("place", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")))
+    size = narrow.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    count = max(1, min(-(-(size["bytes"] or 0) // bucket_bytes), size["n"], MAX_BUCKETS))
+    dealt = narrow.repartitionByRange(count, F.col("place").desc())
+    firsts = cut_lineage(dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.max("place").alias("place")))
+    found = firsts.agg(F.to_json(F.sort_array(F.collect_list("place"), asc=False)).alias("edges"), F.count(F.lit(1)).alias("n")).first()
+    kind = f"array<{narrow.schema['place'].dataType.simpleString()}>"
+    return F.from_json(F.lit(found["edges"] or "[]"), kind), found["n"]
+
+
+def _bucket(edges: Column, count: int) -> Column:
+    """The last of the falling ``edges`` (from 0) that isn't below the row's place, by binary search."""
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"] + 1) / 2).cast("int")
+        reached = F.get(edges, middle) >= F.col("place")
+        return F.struct(F.when(reached, middle).otherwise(state["lo"]).alias("lo"), F.when(reached, state["hi"]).otherwise(middle - 1).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(max(count - 1, 0)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(count, 1).bit_length())), start, halve, lambda s: s["lo"])
+
+
+def with_successors(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
+    """Each text with its edited form: (id, at, next_at, n_chars, text, edited), ``at`` being the row's unique place.
+
+    The last third of a text gives way to as much of the beginning of the next one. Texts are shuffled once, into buckets of
+    neighbours; the first text of each bucket also goes to the bucket before it, the very first one to the last bucket.
+    """
+    rows = _order(located(docs, key, text))
+    edges, count = _edges(rows, bucket_bytes)
+    dealt = rows.withColumn("bucket", _bucket(edges, count))
+    first = F.get(edges, F.col("bucket")) == F.col("place")
+    twice = F.when(first, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    dealt = dealt.withColumn("guest", F.explode(twice))
+    dealt = dealt.withColumn("bucket", F.when(F.col("guest"), F.pmod(F.col("bucket") - 1, F.lit(max(count, 1)))).otherwise(F.col("bucket")))
+    near = Window.partitionBy("bucket").orderBy("guest", F.col("place").desc())
+    named = dealt.select("id", "bucket", "guest", "place", F.struct("place.file", "place.row").alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+    met = named.select("*", F.lead("at").over(near).alias("next_at"), F.lead("text").over(near).alias("next")).where(~F.col("guest"))
+    sized = met.withColumn("n_chars", F.length("text").cast("long")).withColumn("third", F.floor(F.col("n_chars") / 3).cast("int"))
+    body = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("third")).cast("int"))
+    edited = F.concat(body, F.substring("next", F.lit(1), F.col("third")))
+    return sized.select("id", "at", "next_at", "n_chars", "text", edited.alias("edited"))
 
 
 def hex_digits(fingerprint: Column) -> Column:
@@ -123,16 +147,16 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", rad
         F.struct(F.lit(0).alias("form"), F.col("text").alias("body"), F.lit(None).cast("string").alias("sha")),
         F.struct(F.lit(1).alias("form"), F.col("edited").alias("body"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha")),
     )).alias("x")
-    forms = both.select("id", "rank", "next_rank", "n_chars", two).select("id", "rank", "next_rank", "n_chars", "x.*")
-    keys = ["id", "rank", "next_rank", "n_chars", "form", "sha"]
+    forms = both.select("id", "at", "next_at", "n_chars", two).select("id", "at", "next_at", "n_chars", "x.*")
+    keys = ["id", "at", "next_at", "n_chars", "form", "sha"]
     found = cut_lineage(fingerprints(forms, keys, "body"))
-    own = found.where("form = 0").select("id", "rank", "next_rank", "n_chars", "fingerprint")
-    edited = found.where("form = 1").select("rank", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
-    after = own.select(F.col("rank").alias("next_rank"), F.col("fingerprint").alias("next_fingerprint"))
+    own = found.where("form = 0").select("id", "at", "next_at", "n_chars", "fingerprint")
+    edited = found.where("form = 1").select("at", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
+    after = own.select(F.col("at").alias("next_at"), F.col("fingerprint").alias("next_fingerprint"))
     near = hamming_neighbours(own.select("fingerprint"), radius)
     copies = own.groupBy("fingerprint").agg((F.count(F.lit(1)) - 1).alias("equal"))
     counted = copies.join(near, "fingerprint", "left").select("fingerprint", (F.col("equal") + F.coalesce("n_near", F.lit(0))).alias("n_near"))
-    joined = own.join(edited, "rank").join(after, "next_rank").join(counted, "fingerprint")
+    joined = own.join(edited, "at").join(after, "next_at").join(counted, "fingerprint")
     like = lambda a, b: 1 - distance(F.col(a), F.col(b)) / BITS
     return joined.select(
         "id", "n_chars", "edited_sha256", hex_digits(F.col("fingerprint")).alias("fingerprint"),

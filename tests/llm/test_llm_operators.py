@@ -460,6 +460,26 @@ def test_edited_texts(spark):
     assert len({got[i]["fingerprint"] for i in range(200, 209)} | {got[3]["fingerprint"]}) == 1
 
 
+def test_neighbours_across_buckets(spark, odd):
+    rows = [r for r in odd_rows() if r[0] is not None and r[0] < 307]
+    order = plain_order(rows)
+    for size in (500, 5000, 1 << 30):
+        got = {r["id"]: r for r in simhash.with_successors(spark.createDataFrame(rows, SCHEMA).repartition(3), bucket_bytes=size).collect()}
+        assert len(got) == len(rows)
+        for here, after in zip(order, order[1:] + order[:1]):
+            text = here[1] or ""
+            third = len(text) // 3
+            assert got[here[0]]["edited"] == text[: len(text) - third] + (after[1] or "")[:third]
+            assert got[here[0]]["next_at"] == got[after[0]]["at"]
+    # NULL and repeated identifiers are in the ring too.
+    ring = {r["at"]: r["next_at"] for r in simhash.with_successors(odd, bucket_bytes=3000).collect()}
+    at, seen = next(iter(ring)), set()
+    while at not in seen:
+        seen.add(at)
+        at = ring[at]
+    assert len(seen) == len(odd_rows())
+
+
 def test_fingerprints_count_votes(spark):
     texts = ["a bb ccc dddd a bb", "word", "x " * 5000 + "longest words here"]
     terms = [(a, b) for t in texts for w in [t.split()] for a, b in zip(w, [*w[1:], ""])]
