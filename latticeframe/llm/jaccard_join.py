@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators.clustering import connected_components
 from ..session import cut_lineage
 from .exact_dedup import addressed, located, readdressed, without
-from .text import broadcast_if_small, hashes, slices, token_codes
+from .text import broadcast_if_small, frugal, hashes, release, slices, small_batches, token_codes
 
 HASHES, BAND = 128, 4
 BANDS = HASHES // BAND
@@ -75,7 +75,7 @@ def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch):
                 values, begin, ends, word = shingles(part.column("text"), width)
                 signed = signatures(values, begin)
                 digest = [xxhash.xxh3_128_digest(word[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
@@ -177,6 +177,8 @@ def _compare(width: int, threshold: float, tolerance: float):
             on = links > 0
             found.append((nodes[on], links[on].astype(np.int64), _local_roots(nodes, a, b)[on]))
         parts = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 3)]
+        del sets, values, sig, table
+        release()
         return pa.table({"node": pa.array(parts[0], pa.int64()), "links": pa.array(parts[1], pa.int64()), "root": pa.array(parts[2], pa.int64())})
 
     return run
@@ -192,8 +194,9 @@ def near_duplicates(
     above, copies included; group_id: the smallest identifier that is reached by links; stays: true on one row of each group.
     """
     rows = located(docs, key, text) if rows is None else rows
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    signed = rows.mapInArrow(_sign(width), f"id {kind}, file string, row long, digest binary, sig binary, bytes long")
+    signed = rows.mapInArrow(frugal(_sign(width)), f"id {kind}, file string, row long, digest binary, sig binary, bytes long")
     signed = cut_lineage(signed)
     name = F.struct(F.col("id").isNull().alias("no"), "id", "file", "row", "sig", "bytes")
     classes = signed.groupBy("digest").agg(F.min(name).alias("rep"), F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ empty table gives no rows; a piece of full length is a sequence by itself.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,13 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import filled, slices
+from .text import filled, release, slices, small_batches
 
 END_ID = 1
 # Words whose ids a task remembers; the memory starts anew beyond it.
-REMEMBER = 400_000
+REMEMBER = 200_000
 PARTS = 64
-SLICE_BYTES = 4 << 20
 
 
 class Encoder:
@@ -39,6 +39,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Spark runs a worker per core already; threads of its own would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,7 +51,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.begin, self.used = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int64), 0
+        self.flat, self.begin, self.used = np.zeros(1 << 19, np.int32), np.zeros(1 << 18, np.int64), 0
 
     def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.known), len(words)
@@ -70,16 +72,18 @@ class Encoder:
         plain = [w for w in new if w.isalpha()]
         lines = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         rest = [w for w in new if not w.isalpha()]
-        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(found.ids, np.int32)
+        for line in lines:
+            # One line at a time: an encoding is many times larger than its ids.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(line) and ends[-1] == len(ids):
                 self._add(line, ids, np.diff(ends, prepend=0))
             else:
                 rest += line
-        if rest:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            self._add(rest, np.fromiter((i for x in each for i in x), np.int32), np.fromiter(map(len, each), np.int64, len(each)))
+        for i in range(0, len(rest), 1000):
+            some = rest[i : i + 1000]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.fromiter((i for x in each for i in x), np.int32), np.fromiter(map(len, each), np.int64, len(each)))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text ends."""
@@ -103,24 +107,15 @@ class Encoder:
         return self.flat[index], np.concatenate([[0], ends])[per_text[1:]]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """The encoder of this Python worker, which goes on remembering from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece int, start long, length long, ids_crc32 long) of whole texts with the end token."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path)
+        encoder = Encoder(tokenizer_path)
         for batch in batches:
-            for part in slices(batch, limit=SLICE_BYTES):
+            for part in slices(batch):
                 flat, ends = encoder.ids(part.column("text"))
                 flat = flat.astype("<u4")
                 rows, piece, start, length, crc = [], [], [], [], []
@@ -138,6 +133,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096)
                 columns = [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
                 columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            release()
+        del encoder
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import slices
+from .text import frugal, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -217,8 +217,9 @@ def bootstrap(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, confident
 def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, base, added) of each row of ``docs`` (doc_id, text): arrays of (kind, start, end), code points, end exclusive."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_at"))
-    found = cut_lineage(rows.mapInArrow(_find, f"doc_id {kind}, _at long, base {BASE_DDL}, items {ITEMS_DDL}"))
+    found = cut_lineage(rows.mapInArrow(frugal(_find), f"doc_id {kind}, _at long, base {BASE_DDL}, items {ITEMS_DDL}"))
     items = found.select("_at", F.explode("items").alias("i"))
     seed = F.when(~F.col("i.kind").startswith("?"), F.col("i.kind"))
     edges = items.select(F.explode("i.patterns").alias("pattern"), F.col("i.value").alias("value"), seed.alias("seed"))

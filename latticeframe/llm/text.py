@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Separators of tokens: space and U+0009 to U+000D.
 SPACES = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+BATCH_ROWS = 2000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -40,6 +43,34 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's limit of rows per Arrow batch: whole texts are long, and both sides hold a batch at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on from task to task, beside others on their machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # no such call on this system
+
+
+def frugal(run):
+    """A function on Arrow batches that gives its memory back after each batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(iter([batch]))
+            release()
+
+    return wrapped
+
+
 def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "")
 

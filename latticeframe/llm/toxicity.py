@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import filled, slices, token_codes
+from .text import filled, frugal, slices, small_batches, token_codes, unit_hash
 
 # A sentence ends with a token that ends so, or with its line.
 ENDS = (".", "!", "?")
@@ -154,11 +154,14 @@ def fit_toxicity(
     than clean documents have. Weights come from full gradients, one small Spark job per round.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("long")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # Few more keys than wanted pass by their hash, so that no task sends its own ``max_rows`` to be merged.
+    share = min(1.0, 1.5 * max_rows / max(known.count(), 1))
+    chosen = known.where(unit_hash(0, F.col("doc_id")) <= share).orderBy(unit_hash(0, F.col("doc_id")), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    counted = rows.mapInArrow(_count_features, "feature string, hot long, cold long")
+    counted = rows.mapInArrow(frugal(_count_features), "feature string, hot long, cold long")
     counted = counted.groupBy("feature").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
     size = rows.agg(F.sum("toxic").alias("hot"), F.count("toxic").alias("n")).first()
     n, n_hot = size["n"] or 0, size["hot"] or 0
@@ -170,7 +173,7 @@ def fit_toxicity(
     picked = counted.where((F.col("hot") >= least_docs) & (z >= least_z) & (high >= least_lift * low))
     names = [r["feature"] for r in picked.orderBy(z.desc(), "feature").limit(max_features).select("feature").collect()]
     index = {f: i for i, f in enumerate(names)}
-    bags = cut_lineage(rows.mapInArrow(_bags(index), "toxic long, bag array<long>").coalesce(max(1, spark.sparkContext.defaultParallelism)))
+    bags = cut_lineage(rows.mapInArrow(frugal(_bags(index)), "toxic long, bag array<long>").coalesce(max(1, spark.sparkContext.defaultParallelism)))
     theta = np.concatenate([[-2.0, -4.0], np.zeros(len(names))])
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
@@ -215,6 +218,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", p
 
 def _scored(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float) -> DataFrame:
     """``keep`` columns, renamed to _0, _1, ..., with score, predicted and offending."""
+    small_batches(docs.sparkSession)
     names = [f"_{i}" for i in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keep, names)], F.col("text").alias("text"))
     index = {f: i for i, f in enumerate(model.weights)}
@@ -244,7 +248,7 @@ def _scored(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: f
                 yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted", "offending"])
 
     schema = ", ".join(f"{a} {docs.schema[c].dataType.simpleString()}" for c, a in zip(keep, names))
-    return source.mapInArrow(run, f"{schema}{', ' if schema else ''}score double, predicted int, offending {SPANS}")
+    return source.mapInArrow(frugal(run), f"{schema}{', ' if schema else ''}score double, predicted int, offending {SPANS}")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
