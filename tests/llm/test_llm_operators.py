@@ -270,6 +270,54 @@ def test_suffix_tree_without_texts(spark, odd, empty):
     assert suffix_tree.score_texts(empty, tree).count() == 0
 
 
+def plain_tree(texts, least=5, prior=20.0):
+    """The tree of contexts of up to two words in plain Python: a function that scores a text."""
+    seqs = [[*WORD.findall(low(t)), ""] for t in texts]
+    count = collections.Counter(tuple(s[i : i + n]) for s in seqs for n in (1, 2, 3) for i in range(len(s) - n + 1))
+    tokens, distinct = sum(map(len, seqs)), len({w for s in seqs for w in s})
+    states = {}
+
+    def prob(context, word):
+        p = (count[(word,)] + 0.1) / (tokens + 0.1 * (distinct + 1))
+        for c in (context[len(context) - k :] for k in range(1, len(context) + 1)):
+            if c in states:
+                n = count[(*c, word)]
+                p = ((n if n >= least else 0) + states[c] * p) / (count[c] + prior)
+        return p
+
+    for length in (1, 2):
+        follow = collections.defaultdict(dict)
+        for s, n in count.items():
+            if len(s) == length + 1 and n >= least:
+                follow[s[:-1]][s[-1]] = n
+        new = {}
+        for c, nexts in follow.items():
+            lower = {w: prob(c[1:], w) for w in nexts}
+            rest, other = 1 - sum(nexts.values()) / count[c], max(1 - sum(lower.values()), 1e-12)
+            gain = sum(n / count[c] * math.log(n / count[c] / lower[w]) for w, n in nexts.items()) + (rest * math.log(rest / other) if rest > 0 else 0)
+            if count[c] * gain > 0.5 * len(nexts) * math.log(max(count[c], 2)):
+                new[c] = rest * count[c] + prior
+        states |= new
+    score = lambda t: sum(math.log10(prob(tuple(s[max(0, i - 2) : i]), w)) for s in [[*WORD.findall(low(t)), ""]] for i, w in enumerate(s))
+    return score, [sum(len(c) == n for c in states) for n in (1, 2)]
+
+
+def test_rare_strings_count_in_large_corpora(spark):
+    rng = random.Random(6)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    # Each phrase stands 8 times among 700,000 tokens: a share of 1e-5.
+    texts = [" ".join(rng.choice(common) for _ in range(1700)) + f" rare{i % 50} north{i % 7} wind{i % 50} end{i % 50}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    asked = spark.createDataFrame([(i, f"rare{i} north{i % 7} wind{i} end{i} rare{i} unheard") for i in range(50)] + [(99, None)], "doc_id long, text string")
+    score, sizes = plain_tree(texts)
+    assert min(sizes) >= 50
+    for options in ({}, {"local_strings": 60, "local_words": 20}, {"local_strings": 0, "local_words": 0}):
+        tree = suffix_tree.fit_suffix_tree(docs, **options)
+        assert [t[0].count() for t in tree.tables] == sizes
+        for r in suffix_tree.score_texts(asked, tree, keep=["doc_id", "text"]).collect():
+            assert r["score"] == pytest.approx(score(r["text"]), abs=1e-6)
+
+
 # Wrapper induction
 
 
