@@ -2,10 +2,10 @@
 
 Forms give the base spans: email, ip, card, phone. They seed the bootstrapping: the words around a seed make lexical
 patterns; tokens that look like identifiers but have no form are instances, tied to the patterns of their surroundings.
-On that graph a pattern's confidence for a kind is the belief in its instances, weighed against all it meets; an instance is
-believed by the noisy-or of its patterns. A few rounds later instances of high belief, met in patterns of high confidence, are
-added as spans of their kind where they look like one. Patterns and instances are Spark tables; hot patterns are counted
-before they are shuffled.
+On that graph a pattern's confidence for a kind is the belief in its instances, weighed against those of other kinds and those
+that don't look like it; an instance is believed by the noisy-or of its patterns. Instances of high belief count like seeds
+towards further patterns, round by round until none is new, and are added as spans of their kind where they look like one.
+Patterns and instances are Spark tables; hot patterns are counted before they are shuffled.
 
 Defined results: NULL and empty texts have no spans; base spans of a kind don't overlap, those of different kinds may;
 added spans overlap no base span; repeated rows have the same spans; an empty table gives no rows. Counts n_* cover base and
@@ -188,30 +188,43 @@ BASE_DDL = "array<struct<kind:string,start:long,end:long>>"
 ITEMS_DDL = "array<struct<kind:string,start:long,end:long,value:long,patterns:array<string>>>"
 
 
-def bootstrap(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, confident: float = 0.8, believed: float = 0.8) -> DataFrame:
-    """(value, kind): instances of high belief from ``edges`` (pattern, value, seed), seed being the kind or NULL.
+def bootstrap(edges: DataFrame, rounds: int | None = None, least_seeds: int = 3, confident: float = 0.8, believed: float = 0.8) -> DataFrame:
+    """(value, kind, belief): instances of high belief from ``edges`` (pattern, value, seed, fits).
 
-    Confidence of a pattern for a kind: belief summed over its distinct values, over their number plus one; only
-    patterns with ``least_seeds`` distinct seeds of the kind count. Belief of a value: noisy-or over its confident patterns.
+    ``seed``: the kind of a seed, else NULL; ``fits``: the kinds that another value looks like, with commas. Confidence of
+    a pattern for a kind: belief summed over its distinct values, over that sum, 0.5 and the number of values of other
+    kinds or that don't look like the kind; values that do and aren't known yet don't count. Only patterns with
+    ``least_seeds`` distinct known values of the kind count. Belief of a value: noisy-or over its confident patterns. Values
+    believed in count as known from the next round on, until a round (or the last of ``rounds``) finds none.
     """
     edges = cut_lineage(edges.distinct())
-    belief = edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
-    size = edges.groupBy("pattern").agg(F.countDistinct("value").alias("met"))
-    pairs = edges.select("pattern", "value").distinct()
-    seeds = edges.where("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(F.countDistinct("value").alias("seeds"))
-    known = cut_lineage(seeds.where(F.col("seeds") >= least_seeds).join(size, "pattern"))
-    # Only what hangs on a pattern with enough seeds can change.
-    live = cut_lineage(pairs.join(known.select("pattern").distinct(), "pattern", "left_semi"))
-    open_ = live.join(belief.select("value").distinct(), "value", "left_anti")
-    found = None
-    for _ in range(rounds):
-        sums = live.join(belief, "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("sum"))
-        scored = known.join(sums, ["pattern", "kind"]).withColumn("score", F.col("sum") / (F.col("met") + 1))
-        good = scored.where(F.col("score") >= confident).select("pattern", "kind", "score")
-        offered = open_.join(good, "pattern").groupBy("value", "kind")
-        found = cut_lineage(offered.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-12)))))).alias("belief")))
-        belief = belief.where(F.col("belief") >= 1.0).unionByName(found)
-    return found.where(F.col("belief") >= believed).select("value", "kind", "belief")
+    pairs = cut_lineage(edges.select("pattern", "value").distinct())
+    met = cut_lineage(pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("met")))
+    known = cut_lineage(edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct())
+    seeds = known.select("value").distinct()
+    fits = edges.where("seed IS NULL").select("value", F.explode(F.split("fits", ",")).alias("kind")).distinct()
+    fits = cut_lineage(fits.join(seeds, "value", "left_anti"))
+    found = known.where(F.lit(False))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    done = 0
+    while rounds is None or done < rounds:
+        open_ = fits.join(known.select("value").distinct(), "value", "left_anti")
+        sums = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("sum"), F.count(F.lit(1)).alias("of"))
+        sums = sums.where(F.col("of") >= least_seeds).join(met, "pattern")
+        likely = pairs.join(open_, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("likely"))
+        against = F.col("met") - F.col("of") - F.coalesce("likely", F.lit(0))
+        score = F.col("sum") / (F.col("sum") + against + 0.5)
+        good = sums.join(likely, ["pattern", "kind"], "left").select("pattern", "kind", score.alias("score")).where(F.col("score") >= confident)
+        offered = pairs.join(good, "pattern").join(open_, ["value", "kind"]).groupBy("value", "kind")
+        belief = offered.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-12)))))).alias("belief"))
+        # One kind per value: the one most believed in, ties in the order of kinds.
+        best = belief.where(F.col("belief") >= believed).groupBy("value").agg(F.min_by(F.struct("kind", "belief"), F.struct(-F.col("belief"), rank)).alias("b"))
+        new = cut_lineage(best.select("value", "b.kind", "b.belief"))
+        done += 1
+        if new.isEmpty():
+            break
+        found, known = cut_lineage(found.unionByName(new)), cut_lineage(known.unionByName(new))
+    return found.select("value", "kind", "belief")
 
 
 def find_personal_data(docs: DataFrame, **options) -> DataFrame:
@@ -222,7 +235,8 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     found = cut_lineage(rows.mapInArrow(frugal(_find), f"doc_id {kind}, _at long, base {BASE_DDL}, items {ITEMS_DDL}"))
     items = found.select("_at", F.explode("items").alias("i"))
     seed = F.when(~F.col("i.kind").startswith("?"), F.col("i.kind"))
-    edges = items.select(F.explode("i.patterns").alias("pattern"), F.col("i.value").alias("value"), seed.alias("seed"))
+    fits = F.when(F.col("i.kind").startswith("?"), F.substr(F.col("i.kind"), F.lit(2)))
+    edges = items.select(F.explode("i.patterns").alias("pattern"), F.col("i.value").alias("value"), seed.alias("seed"), fits.alias("fits"))
     trusted = bootstrap(edges, **options)
     likely = items.where(F.col("i.kind").startswith("?")).select("_at", "i.kind", "i.start", "i.end", "i.value")
     shape = F.array_contains(F.split(F.substr(F.col("l.kind"), F.lit(2)), ","), F.col("t.kind"))

@@ -222,6 +222,20 @@ def test_personal_data_odd_rows(spark, odd):
     assert found.count() == odd.count()
 
 
+def test_found_values_lead_to_further_patterns(spark):
+    number = lambda i: f"555-010-{i:04d}"
+    # Three seeds and as many unseen values: two of them lead on to other patterns, round after round.
+    rows = [f"hello please ring me on +1 555 010 {i:04d} before noon" for i in range(3)] + [f"hello please ring me on {number(i)} before noon" for i in range(3)]
+    rows += [f"our front desk has {number(i)} all week" for i in range(6)] + [f"fax machine answers {number(i)} at night" for i in range(3, 8)]
+    # As many addresses of machines as numbers: no pattern of phones.
+    rows += [f"the log says +1 555 010 {i:04d} was seen" for i in range(3)] + [f"the log says 10.0.0.{i} was seen" for i in range(3)] + ["the log says 555-010-9999 was seen"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in personal_data.find_personal_data(docs).collect()}
+    for i, text in enumerate(rows):
+        m = re.search("555-010-[0-9]{4}", text)
+        assert got[i] == ([("phone", *m.span())] if m and m[0] != number(9999) else []), text
+
+
 # Suffix tree
 
 
