@@ -36,6 +36,7 @@ DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 EDGE = ".,;:!?\"'()[]{}<>*#%&$|=~`"
+BESIDE = EDGE + " \t\n\x0b\f\r"
 # What an unseen identifier of a kind looks like: looser than its form.
 SHAPES = {
     "email": re.compile(r"[^\s@]+(?:@|\(at\)|\[at\])[^\s@]+", re.I),
@@ -44,6 +45,11 @@ SHAPES = {
     "phone": re.compile(r"\(?[0-9](?:[-._/()]?[0-9]){6,14}"),
 }
 
+# Numbers written in groups: digits with single separators, spaces and brackets among them. Each step ends with a digit, so no
+# text is passed over more than once.
+GROUPS = re.compile(r"\+?[(\[]?[0-9](?:[)\]]?[-\x20._/]?[(\[]?[0-9])*+")
+GROUPED = {"card": (11, 21), "phone": (7, 15)}
+
 
 def _emails(text: str) -> list[tuple[int, int]]:
     out, pos, at = [], 0, text.find("@")
@@ -155,10 +161,34 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MARK = re.compile(r"[0-9@]|\(at\)|\[at\]", re.I)
 
 
+def _groups(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, kinds) of the numbers in groups that stand alone and have as many digits as a kind."""
+    out = []
+    for m in GROUPS.finditer(text):
+        a, b = m.span()
+        n = len(NOT_DIGIT.sub("", m[0]))
+        kinds = [k for k, (low, high) in GROUPED.items() if low <= n <= high]
+        if not kinds or (a and text[a - 1] not in BESIDE) or (b < len(text) and text[b] not in BESIDE):
+            continue
+        # A bracket around the number is not part of it.
+        while text[a] in "([" and not any(x in text[a:b] for x in ")]"):
+            a += 1
+        out.append((a, b, kinds))
+    return out
+
+
 def _candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Tokens that look like a kind without being of its form, clear of all base spans."""
-    out, at, i = [], 0, 0
-    ordered = sorted((a, b) for _, a, b in base)
+    """Tokens and numbers in groups that look like a kind without being of its form, clear of all base spans and each other."""
+    spans: dict[tuple[int, int], list[str]] = {}
+    taken = sorted((a, b) for _, a, b in base)
+    i = 0
+    for a, b, kinds in _groups(text):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
+            spans[a, b] = kinds
+    ordered = sorted([*taken, *spans])
+    at, i = 0, 0
     while m := MARK.search(text, at):
         begin = m.start()
         while begin > at and text[begin - 1] not in " \t\n\x0b\f\r":
@@ -168,13 +198,14 @@ def _candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
         a, b = _trim(text, begin, at)
         while i < len(ordered) and ordered[i][1] <= a:
             i += 1
-        if b - a < 5 or (i < len(ordered) and ordered[i][0] < b):
+        if b - a < 5 or (i < len(ordered) and ordered[i][0] < b and (a, b) not in spans):
             continue
-        token = text[a:b]
-        kinds = [k for k in KINDS if SHAPES[k].fullmatch(token)]
+        kinds = [k for k in KINDS if SHAPES[k].fullmatch(text[a:b]) or k in spans.get((a, b), [])]
         if kinds:
-            out.append({"kind": "?" + ",".join(kinds), "start": a, "end": b, "value": _digest(token), "patterns": _surroundings(text, a, b)})
-    return out
+            spans[a, b] = kinds
+    return [
+        {"kind": "?" + ",".join(kinds), "start": a, "end": b, "value": _digest(text[a:b]), "patterns": _surroundings(text, a, b)} for (a, b), kinds in sorted(spans.items())
+    ]
 
 
 def _digest(value: str) -> int:

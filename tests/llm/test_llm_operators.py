@@ -236,6 +236,30 @@ def test_found_values_lead_to_further_patterns(spark):
         assert got[i] == ([("phone", *m.span())] if m and m[0] != number(9999) else []), text
 
 
+def test_identifiers_written_in_groups(spark):
+    unseen = {"phone": ["555 010 7777", "0044 20 7946 0958", "(212) 555-0187", "[020] 7946 0958", "555-010-7777"], "card": ["4111 1111 1111 1112"]}
+    rows = [f"please call me at +1 555 010 {i:04d} any time" for i in range(4)]
+    rows += [f"please charge my card {n} right now" for n in ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004")]
+    want = [[]] * len(rows)
+    for kind, frame in (("phone", "please call me at {} any time"), ("card", "please charge my card {} right now")):
+        for value in unseen[kind]:
+            rows.append(frame.format(value))
+            want.append([(kind, rows[-1].index(value), rows[-1].index(value) + len(value))])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in personal_data.find_personal_data(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_candidates_are_apart_and_take_linear_time():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("a@.-+1 2(9_b5)[] 34") for _ in range(rng.randint(0, 60)))
+        base = personal_data.base_spans(text)
+        found = [(c["start"], c["end"]) for c in personal_data._candidates(text, base)]
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:])) and not any(a < y and x < b for a, b in found for _, x, y in base)
+    assert personal_data._candidates("1 " * 300_000, []) == [] and personal_data._candidates("(" * 300_000 + "1", []) == []
+
+
 # Suffix tree
 
 
