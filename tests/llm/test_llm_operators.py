@@ -378,6 +378,16 @@ def test_pages(spark):
     assert wrapper.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_layout_boxes_and_link_lists_stay():
+    text = lambda page: wrapper.main_text(wrapper.parse(page), set())
+    article = "<article><h1>Head</h1><p>Body text</p><ul><li><a href=x>First source</a><li><a href=y>Second source</a></ul></article>"
+    for box in ("post has-sidebar", "layout no-sidebar", "site-content share-enabled", "sidebar", "page has-header", "social"):
+        assert text(f"<body><div class='{box}'>{article}</div></body>") == "Head Body text First source Second source", box
+    assert text(f"<form><div>{article}</div></form>") == "Head Body text First source Second source"
+    assert text("<main><div class='post has-comments'>Body</div><div class='cookie-notice'>no</div><div class='related'><article>card</article></div></main>") == "Body"
+    assert text("<div class=related><article>card</article></div><main>Body</main>") == "Body"
+
+
 def test_given_pages_are_whole(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(pages).collect()}
