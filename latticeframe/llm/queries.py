@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .jaccard_join import near_duplicates
+from .manifest import dataset_manifest, hashed_fields
 from .mixing import mix_sources
 from .packing import pack, tokenized_pieces
 from .personal_data import KINDS, find_personal_data, ordered_spans, span_text
@@ -115,5 +116,66 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_personal_data": op3_personal_data, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest by sources; every second row (by hash of its key) is checked with its line ends deleted."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    found = F.when(fold_of("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    leaf, changed = hashed_fields(*fields, F.col("text")), hashed_fields(*fields, found)
+    return dataset_manifest(docs, leaf=leaf, changed=changed).withColumnRenamed("key", "doc_id")
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+# Levels come one after another until every group has one node; a row keeps its place, its value if changed, and its siblings.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {" || ".join(field_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, text,
+    CASE WHEN {crc32_sql("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found FROM documents),
+l AS (SELECT doc_id, source, sha256(head || {field_sql("text")}) AS leaf, sha256(head || {field_sql("found")}) AS changed FROM d),
+start AS (SELECT doc_id, source, leaf, changed, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+up AS (
+  SELECT source, pos, leaf AS node, 0 AS level, count(*) OVER (PARTITION BY source) AS n FROM start
+  UNION ALL
+  SELECT source, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), level + 1, (n + 2) // 3 FROM up WHERE n > 1 GROUP BY source, pos // 3, level, n),
+subs AS (SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM up WHERE n = 1),
+roots AS (
+  SELECT pos, node, 0 AS level, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT pos // 3, sha256(string_agg(node, '' ORDER BY pos)), level + 1, (n + 2) // 3 FROM roots WHERE n > 1 GROUP BY pos // 3, level, n),
+runs AS (SELECT source, level, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM up WHERE n > 1 GROUP BY source, level, pos // 3),
+root_runs AS (SELECT level, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM roots WHERE n > 1 GROUP BY level, pos // 3),
+inside AS (
+  SELECT doc_id, source, leaf, pos AS place, pos, 0 AS level, changed AS value, '' AS siblings FROM start
+  UNION ALL
+  SELECT doc_id, i.source, leaf, place, pos // 3, i.level + 1,
+    sha256(array_to_string(list_transform(nodes, lambda x, k: CASE WHEN k = pos % 3 + 1 THEN value ELSE x END), '')),
+    siblings || array_to_string(list_filter(nodes, lambda x, k: k <> pos % 3 + 1), '')
+  FROM inside i JOIN runs r ON i.source IS NOT DISTINCT FROM r.source AND r.level = i.level AND r.run = i.pos // 3),
+met AS (
+  SELECT i.doc_id, i.source, i.leaf, i.place, i.value, i.siblings, s.node AS subroot, s.pos FROM inside i
+  JOIN (SELECT source, max(level) AS level FROM up GROUP BY source) t ON i.source IS NOT DISTINCT FROM t.source AND i.level = t.level
+  JOIN subs s ON i.source IS NOT DISTINCT FROM s.source),
+above AS (
+  SELECT doc_id, source, leaf, place, subroot, pos, 0 AS level, value, siblings FROM met
+  UNION ALL
+  SELECT doc_id, source, leaf, place, subroot, pos // 3, i.level + 1,
+    sha256(array_to_string(list_transform(nodes, lambda x, k: CASE WHEN k = pos % 3 + 1 THEN value ELSE x END), '')),
+    siblings || array_to_string(list_filter(nodes, lambda x, k: k <> pos % 3 + 1), '')
+  FROM above i JOIN root_runs r ON r.level = i.level AND r.run = i.pos // 3)
+SELECT a.doc_id, a.leaf, a.subroot, r.node AS root, sha256(a.siblings) AS proof_sha256, a.value AS folded_root, a.value = r.node AS verified
+FROM above a JOIN (SELECT node, level FROM roots WHERE n = 1) r ON a.level = r.level
+"""
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_personal_data": op3_personal_data, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op12_manifest": op12_manifest}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op12_manifest": OP12_SQL}

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 # Separators of tokens: space and U+0009 to U+000D.
 SPACES = "\\x20\\x09-\\x0D"
@@ -43,6 +44,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+def keyed(schema: str, **columns: DataType) -> StructType:
+    """A schema of the given columns, whatever their types and field names, followed by those of a DDL string."""
+    return StructType([StructField(c, t) for c, t in columns.items()] + StructType.fromDDL(schema).fields)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's limit of rows per Arrow batch: whole texts are long, and both sides hold a batch at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
