@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import conversation_key, repair_conversations
 from .exact_dedup import exact_groups
 from .jaccard_join import near_duplicates
 from .manifest import dataset_manifest, hashed_fields
@@ -125,6 +128,27 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(docs, leaf=leaf, changed=changed).withColumnRenamed("key", "doc_id")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults by crc32 of ``conv_id:turn``: dropped, emptied, unfinished, repeated rows and wrong roles."""
+    filled = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(filled["conv_id"], F.lit(":"), filled["turn"]).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(filled["text"], ".!?", "")).otherwise(filled["text"])
+    role = F.when(kind == 4, "user").otherwise(filled["role"])
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("_time")).drop("_time")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations set right by the cheapest edits; one row per conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    repaired = repair_conversations(damaged(rows))
+    found = repaired.summary().drop("conv").join(repaired.digests(), "grp")
+    every = rows.select("conv_id").distinct().withColumn("grp", conversation_key(F.col("conv_id")))
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    none = hashlib.sha256().hexdigest()
+    return every.join(found, "grp", "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(none)).alias("repaired_sha256"))
+
+
 def crc32_sql(text: str) -> str:
     """Unsigned crc32 of an ASCII text."""
     bits = "list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
@@ -177,5 +201,5 @@ FROM above a JOIN (SELECT node, level FROM roots WHERE n = 1) r ON a.level = r.l
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_personal_data": op3_personal_data, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op12_manifest": op12_manifest}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_personal_data": op3_personal_data, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op12_manifest": op12_manifest, "op13_repair": op13_repair}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op12_manifest": OP12_SQL}
