@@ -14,6 +14,7 @@ from .manifest import dataset_manifest, hashed_fields
 from .mixing import mix_sources
 from .packing import pack, tokenized_pieces
 from .personal_data import KINDS, find_personal_data, ordered_spans, span_text
+from .repeats import repeated_passages
 from .sharding import shuffle_into_shards
 from .simhash import compare_edited
 from .suffix_tree import fit_suffix_tree, score_texts
@@ -119,6 +120,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 13 that documents of smaller identifiers hold."""
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS node, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+w AS (
+  SELECT node, doc_id, p, array_to_string(list_slice(words, p, p + 12), ' ') AS words
+  FROM (SELECT node, doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM d)),
+f AS (SELECT words, min(doc_id) AS first FROM w GROUP BY words),
+r AS (SELECT node, unnest(range(p, p + 13)) AS place FROM w JOIN f USING (words) WHERE coalesce(doc_id > first, doc_id IS NULL AND first IS NOT NULL)),
+g AS (SELECT node, list(DISTINCT place) AS gone FROM r GROUP BY node)
+SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (node)
+"""
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest by sources; every second row (by hash of its key) is checked with its line ends deleted."""
     docs = table(spark, sf_dir, "documents")
@@ -201,5 +222,5 @@ FROM above a JOIN (SELECT node, level FROM roots WHERE n = 1) r ON a.level = r.l
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_personal_data": op3_personal_data, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op12_manifest": op12_manifest, "op13_repair": op13_repair}
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op12_manifest": OP12_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_personal_data": op3_personal_data, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op11_repeats": op11_repeats, "op12_manifest": op12_manifest, "op13_repair": op13_repair}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_repeats": OP11_SQL, "op12_manifest": OP12_SQL}
