@@ -22,39 +22,75 @@ NOISE = "-1"
 CELL_PART = 20_000
 
 
+def _rooted(hooks: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, parent), by pointer doubling; roots themselves have no row.
+
+    Each round is a written table, so both sides of the join are plain scans and a parent with many children is split.
+    """
+    state = cut_lineage(hooks.select("node", "parent"))
+    while True:
+        above = state.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
+        watch = Observation()
+        moved = state.join(above, "parent", "left").observe(watch, F.count("_up").alias("moved"))
+        state = cut_lineage(moved.select("node", F.coalesce("_up", "parent").alias("parent")))
+        if not watch.get["moved"]:
+            return state.withColumnRenamed("parent", "root")
+
+
+def _relabelled(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    named = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    return rows.join(named, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
+
+
+def _flat(maps: list[DataFrame], nodes: DataFrame) -> DataFrame:
+    """(node, component) from the rounds' maps: a node is hooked in one round at most, so they are one forest."""
+    if not maps:
+        return nodes.select("node", F.col("node").alias("component"))
+    forest = maps[0]
+    for m in maps[1:]:
+        forest = forest.unionByName(m)
+    roots = _rooted(forest.withColumnRenamed("root", "parent")) if len(maps) > 1 else forest
+    return _relabelled(nodes.select("node", F.col("node").alias("component")), "component", roots)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node as the component's name.
 
-    Every node points to a parent. In each round a node looks at the grandparents of its
-    neighbours; the smallest one becomes a candidate for the node and for its parent, and
-    paths are halved. Rounds (about the logarithm of the size) end when no grandparent
-    changes; each round's state is a written table.
+    In each round every component hooks to its smallest neighbour, if that is smaller; the trees that result
+    are contracted, and only distinct edges between different components go on. Components that have a smaller
+    neighbour disappear, so the rounds are about the logarithm of the size.
     """
     flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = cut_lineage(edges.select("src", "dst").unionByName(flipped).distinct())
-    state = cut_lineage(nodes.select("node", F.col("node").alias("parent"), F.col("node").alias("grand")))
+    live = cut_lineage(edges.select("src", "dst").unionByName(flipped).where(F.col("src") != F.col("dst")).distinct())
+    maps = []
     while True:
-        around = both.join(state.select(F.col("node").alias("dst"), F.col("grand").alias("_g")), "dst")
-        least = around.groupBy(F.col("src").alias("node")).agg(F.min("_g").alias("_g"))
-        seen = state.join(least, "node", "left").withColumn("_g", F.coalesce("_g", "grand"))
-        # Candidates for the node itself and, in the same aggregate, for its parent.
-        offers = seen.select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("node"), F.least("parent", "grand", "_g").alias("to"), F.col("grand").alias("was")),
-                    F.struct(F.col("parent").alias("node"), F.col("_g").alias("to"), F.lit(None).cast(nodes.schema["node"].dataType).alias("was")),
-                )
-            ).alias("o")
-        ).select("o.*")
-        moved = offers.groupBy("node").agg(F.min("to").alias("parent"), F.max("was").alias("_was"))
-        above = moved.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        # One write per round; it also counts the grandparents that changed.
-        watch = Observation()
-        changed = F.count_if(F.col("_was") != F.col("grand")).alias("changed")
-        state = cut_lineage(moved.join(above, "parent").observe(watch, changed))
-        if not watch.get["changed"]:
-            return state.select("node", F.col("grand").alias("component"))
-        state = state.select("node", "parent", "grand")
+        least = live.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent"))
+        hooks = cut_lineage(least.where(F.col("parent") < F.col("node")))
+        if hooks.isEmpty():
+            return _flat(maps, nodes)
+        maps.append(_rooted(hooks))
+        moved = _relabelled(_relabelled(live, "src", maps[-1]), "dst", maps[-1])
+        live = cut_lineage(moved.where(F.col("src") != F.col("dst")).distinct())
+
+
+def components_by_key(members: DataFrame) -> DataFrame:
+    """(node, component) of nodes that hang together by shared keys (node, key), without a table of edges.
+
+    Rounds as in ``connected_components``: a component hooks to the smallest one that any of its keys holds. Keys whose
+    members are in one component are done and leave; members are one row per component and open key.
+    """
+    nodes = members.select("node").distinct()
+    live = cut_lineage(members.select("node", "key").distinct())
+    maps = []
+    while True:
+        heads = live.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"))
+        heads = cut_lineage(heads.where(F.col("_lo") < F.col("_hi")).select("key", "_lo"))
+        if heads.isEmpty():
+            return _flat(maps, nodes)
+        open_ = cut_lineage(live.join(heads, "key"))
+        least = open_.groupBy("node").agg(F.min("_lo").alias("parent"))
+        maps.append(_rooted(least.where(F.col("parent") < F.col("node"))))
+        live = cut_lineage(_relabelled(open_.select("node", "key"), "node", maps[-1]).distinct())
 
 
 def _cells(coords: list[str], side: float) -> Column:
