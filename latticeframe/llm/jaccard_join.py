@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.clustering import connected_components
+from ..operators.clustering import components_by_key, connected_components
 from ..session import cut_lineage
 from .exact_dedup import addressed, located, readdressed, without
-from .text import broadcast_if_small, frugal, hashes, release, slices, small_batches, token_codes
+from .text import broadcast_if_small, frugal, hashes, keyed, release, slices, small_batches, token_codes
 
 HASHES, BAND = 128, 4
 BANDS = HASHES // BAND
@@ -103,17 +103,14 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def linked_pairs(sig_a, sig_b, sets_a, sets_b, same: bool, threshold: float, need: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of all pairs of the two blocks at ``threshold`` or above; within one block each pair once."""
-    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def surviving_pairs(sig_a, sig_b, same: bool, need: dict[int, int], fits=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of the pairs of two blocks that no step drops, piece by piece; within one block each pair once."""
     first = STEPS[0]
     for lo in range(0, len(sig_a), 64):
         chunk = sig_a[lo : lo + 64]
         matches = (chunk[:, None, :first] == sig_b[None, :, :first]).sum(-1)
-        # No pair whose sizes differ too much can reach the threshold.
-        small, large = np.minimum.outer(size_a[lo : lo + 64], size_b), np.maximum.outer(size_a[lo : lo + 64], size_b)
-        a, b = np.nonzero((matches >= need[first]) & (small >= threshold * large))
+        on = matches >= need[first]
+        a, b = np.nonzero(on if fits is None else on & fits(lo, lo + 64))
         if same:
             up = b > a + lo
             a, b = a[up], b[up]
@@ -122,9 +119,22 @@ def linked_pairs(sig_a, sig_b, sets_a, sets_b, same: bool, threshold: float, nee
             seen = seen + (chunk[a, start:stop] == sig_b[b, start:stop]).sum(-1)
             on = seen >= need[stop]
             a, b, seen = a[on], b[on], seen[on]
+        yield a + lo, b
+
+
+def linked_pairs(sig_a, sig_b, sets_a, sets_b, same: bool, threshold: float, need: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of all pairs of the two blocks at ``threshold`` or above; within one block each pair once."""
+    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def fits(lo: int, hi: int) -> np.ndarray:
+        """No pair whose sizes differ too much can reach the threshold."""
+        return np.minimum.outer(size_a[lo:hi], size_b) >= threshold * np.maximum.outer(size_a[lo:hi], size_b)
+
+    for a, b in surviving_pairs(sig_a, sig_b, same, need, fits):
         for x in np.unique(a):
             partners = b[a == x]
-            own = sets_a[lo + x]
+            own = sets_a[x]
             if not len(own):
                 continue
             for i in range(0, len(partners), 256):
@@ -134,7 +144,7 @@ def linked_pairs(sig_a, sig_b, sets_a, sets_b, same: bool, threshold: float, nee
                 at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
                 both = np.add.reduceat((own[at] == joined).astype(np.int64), begin)
                 on = both >= threshold * (len(own) + size_b[some] - both) - 1e-9
-                out_a.append(np.full(on.sum(), lo + x))
+                out_a.append(np.full(on.sum(), x))
                 out_b.append(some[on])
     return np.concatenate(out_a), np.concatenate(out_b)
 
@@ -195,18 +205,17 @@ def near_duplicates(
     """
     rows = located(docs, key, text) if rows is None else rows
     small_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    signed = rows.mapInArrow(frugal(_sign(width)), f"id {kind}, file string, row long, digest binary, sig binary, bytes long")
+    schema = keyed("file string, row long, digest binary, sig binary, bytes long", id=docs.schema[key].dataType)
+    signed = rows.mapInArrow(frugal(_sign(width)), schema)
     signed = cut_lineage(signed)
     name = F.struct(F.col("id").isNull().alias("no"), "id", "file", "row", "sig", "bytes")
     classes = signed.groupBy("digest").agg(F.min(name).alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = cut_lineage(classes.select("digest", "rep.id", "rep.file", "rep.row", "rep.sig", "rep.bytes", "n", F.monotonically_increasing_id().alias("node")))
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.col("sig").substr(b * (2 * BAND) + 1, F.lit(2 * BAND)))))
     bands = classes.select("node", band.alias("key"))
-    heads = bands.groupBy("key").agg(F.min("node").alias("lo"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    near = cut_lineage(bands.join(heads, "key").where("node <> lo").select(F.col("node").alias("src"), F.col("lo").alias("dst")).distinct())
-    ends = near.select(F.col("src").alias("node")).union(near.select("dst")).distinct()
-    groups = cut_lineage(connected_components(ends, near))
+    heads = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    groups = cut_lineage(components_by_key(bands.join(cut_lineage(heads), "key")))
+    groups = _refined(classes, groups, threshold, tolerance)
     linked = _verified(rows, classes, groups, width, threshold, tolerance)
     per = linked.groupBy("node").agg(F.sum("links").alias("links"))
     touching = linked.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")).distinct()
@@ -223,6 +232,55 @@ def near_duplicates(
     return met.select("id", "file", "row", "class_id", "class_size", "n_links", "group_id", stays.alias("stays"))
 
 
+def _survivors(threshold: float, tolerance: float):
+    """Per block pair of one band, each class with the smallest one that it hangs together with by surviving pairs."""
+    need = least_matches(threshold, tolerance)
+
+    def run(table: pa.Table) -> pa.Table:
+        column = {c: table.column(c).to_numpy() for c in ("node", "slot", "i", "j", "band")}
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        i, j, band = column["i"][0], column["j"][0], column["band"][0]
+        left, right = np.flatnonzero(column["slot"] == i), np.flatnonzero(column["slot"] == j)
+        ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in surviving_pairs(sig[left], sig[right], i == j, need):
+            a, b = left[a], right[b]
+            # The first band that a pair shares is the one that counts it.
+            shared = (sig[a].reshape(-1, BANDS, BAND) == sig[b].reshape(-1, BANDS, BAND)).all(-1)
+            on = shared.argmax(1) == band
+            ends_a.append(a[on])
+            ends_b.append(b[on])
+        roots = _local_roots(column["node"], np.concatenate(ends_a), np.concatenate(ends_b))
+        on = roots != column["node"]
+        return pa.table({"src": pa.array(column["node"][on], pa.int64()), "dst": pa.array(roots[on], pa.int64())})
+
+    return run
+
+
+def _refined(classes: DataFrame, groups: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Groups of more than a block cut down to what hangs together by pairs that outlive the comparison of signatures.
+
+    A common passage can chain a large part of a corpus. Only classes of one band meet here, by their signatures alone;
+    a group of one block is compared whole later on.
+    """
+    size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
+    large = cut_lineage(size.where(F.col("rows") > BLOCK_ROWS).select("component"))
+    if large.isEmpty():
+        return groups
+    inside = groups.join(large, "component", "left_semi").select("node")
+    sig = classes.join(inside, "node").select("node", "sig")
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.col("sig").substr(b * (2 * BAND) + 1, F.lit(2 * BAND))))).alias("band", "key")
+    bands = cut_lineage(sig.select("node", band))
+    full = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    full = cut_lineage(full.withColumn("k", F.ceil(F.col("m") / BLOCK_ROWS).cast("long")).drop("m"))
+    placed = bands.join(full, ["band", "key"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("k")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    placed = placed.select("node", "band", "key", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+    held = cut_lineage(placed).join(sig, "node")
+    found = cut_lineage(held.groupBy("band", "key", "i", "j").applyInArrow(_survivors(threshold, tolerance), "src long, dst long").distinct())
+    cut = connected_components(inside, found)
+    return cut_lineage(groups.join(large, "component", "left_anti").select("node", "component").unionByName(cut.select("node", "component")))
+
+
 def _verified(rows: DataFrame, classes: DataFrame, groups: DataFrame, width: int, threshold: float, tolerance: float) -> DataFrame:
     """(node, links, root) of every block pair, written."""
     active = cut_lineage(classes.join(groups, "node").select("node", "component", "file", "row", "sig", "bytes", "n"))
