@@ -220,15 +220,13 @@ def broadcast_default(t: Tables):
       from m),
     f as (select path, split_part(path, '/', -1) as base, case when contains(path, '/') then 1 else 0 end as depth
           from files where contains(path, 'POSCAR')),
-    word as (select path, base, depth, regexp_replace(regexp_replace(base, '_?POSCAR(_2$)?_?', ''), '^(old_|x_)|[.]vasp$', '', 'g') as w,
-                    starts_with(base, 'POSCAR') as tail, regexp_matches(base, '^(old|x)_') as inner_word from f),
-    best_id as (select w, min(depth) as d, min((depth, case when tail then 3 when inner_word then 1 else 0 end, path)) as b
-                from word where starts_with(w, 'JVASP') group by w),
-    best_formula as (select w, min((depth, case when tail then 4 else 2 end, path)) as b from word
-                     where not starts_with(w, 'JVASP') group by w),
-    hit as (select material_id, case when i.b is null then g.b when g.b is null then i.b else least(i.b, g.b) end as b
-            from m left join best_id i on i.w = material_id left join best_formula g on g.w = formula)
-    select material_id, b[3] as path, b[2]::int as pattern_rank from hit where b is not null
+    hit as (
+      select material_id, path, depth, case when base like material_id || '%POSCAR%' then 0 when base like '%' || material_id || '%POSCAR%' then 1
+          when base like '%' || formula || '%POSCAR%' then 2 when base like 'POSCAR%' || material_id || '%' then 3
+          when base like 'POSCAR%' || formula || '%' then 4 end as pattern_rank
+      from m join f on contains(base, material_id) or contains(base, formula)),
+    best as (select material_id, min((depth, pattern_rank, path)) as b from hit where pattern_rank is not null group by material_id)
+    select material_id, b[3] as path, b[2]::int as pattern_rank from best
     """,
 )
 def ranked_like(t: Tables):

@@ -66,8 +66,8 @@ def bandrep_html(t: Tables):
     """,
 )
 def html_cells(t: Tables):
-    found = t.pages.select("page_id", F.explode(h.links(F.col("html"))).alias("c"))
-    return found.groupBy("page_id", F.col("c.href").alias("href"), F.col("c.text").alias("text")).agg(F.count("*").alias("n"))
+    found = h.links(t.pages, "page_id")
+    return found.groupBy("page_id", "href", "text").agg(F.count("*").alias("n"))
 
 
 def index_pages(t: Tables):

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..operators import vectors as vec
+from ..operators import vocabulary as vocab
+from ..session import scratch_path
 from .registry import Tables, query
 
 POINTS_SQL = """
@@ -123,12 +125,38 @@ def cloud_pool(t: Tables):
     """,
 )
 def bag_of_words(t: Tables):
-    # A given codebook of eight words, so that SQL can assign the points too.
+    # A given codebook, so that SQL can assign the points too; ``learned_words`` learns one.
     words = t.embeddings.orderBy("vec_id").limit(8).select("embedding").collect()
     shares = vec.bag_of_words(t.embeddings, "label", "embedding", codebook=[list(r[0]) for r in words])
     return shares.withColumn("share", F.round("share", 6))
 
 
+LEARNING_ROUNDS = 3
+
+
+def learned_sql(words: int, rounds: int) -> str:
+    """Lloyd's rounds one after another, from the points of the smallest keys."""
+    nearest = "select p.label, p.vec_id, p.e, min_by(c.word, (list_distance(p.e, c.c), c.word)) as word from p, c{} c group by all"
+    sql = f"""
+    with p as (select label, vec_id, embedding::double[] as e from embeddings),
+    c0 as (select row_number() over (order by vec_id) - 1 as word, e as c from (select * from p order by vec_id limit {words}))"""
+    for k in range(rounds):
+        sql += f""",
+    a{k} as materialized ({nearest.format(k)}),
+    m{k} as (select word, pos, avg(x) as x from (select word, unnest(e) as x, unnest(generate_series(1, len(e))) as pos from a{k}) group by all),
+    n{k} as (select word, list(x order by pos) as c from m{k} group by word),
+    c{k + 1} as materialized (select o.word, coalesce(n.c, o.c) as c from c{k} o left join n{k} n on n.word = o.word)"""
+    return sql + f""", l as ({nearest.format(rounds)})
+    select label, word::int as word, round(count(*) / sum(count(*)) over (partition by label), 6) as share from l group by label, word"""
+
+
+@query("learned_words", "FV7", learned_sql(50, LEARNING_ROUNDS))
+def learned_words(t: Tables):
+    book = vec.learned_codebook(t.embeddings, "embedding", "vec_id", 50, LEARNING_ROUNDS)
+    shares = vec.bag_of_words(t.embeddings, "label", "embedding", codebook=book)
+    return shares.withColumn("share", F.round("share", 6))
+
+
 @query(
     "cloud_all",
     "FV8",
@@ -216,6 +244,48 @@ def one_hot(t: Tables):
     return coded.select("user_id", *[F.col("v")[i].alias(f"is_{e}") for i, e in enumerate(EVENT_TYPES)])
 
 
+GROWN_SQL = """
+    with first as (select 'brand' as kind, p_brand as label from part union select 'word', unnest(string_split(p_type, ' ')) from part),
+    second as (select 'brand' as kind, p_brand as label from part union select 'word', unnest(string_split(p_name, ' ')) from part
+               union select 'segment', c_mktsegment from customer),
+    v1 as (select kind, label, row_number() over (partition by kind order by label) - 1 as idx, 1 as version from first),
+    v2 as (select kind, label, row_number() over (partition by kind order by label) - 1
+                  + coalesce((select count(*) from v1 where v1.kind = s.kind), 0) as idx, 2 as version
+           from second s where (kind, label) not in (select (kind, label) from v1)),
+    v as (select * from v1 union all select * from v2)
+"""
+
+
+def _grown(t: Tables):
+    """A vocabulary after two runs, with words and a kind that the first one did not know."""
+    words = lambda c: t.part.select(F.lit("word").alias("kind"), F.explode(F.split(c, " ")).alias("label"))
+    brands = t.part.select(F.lit("brand").alias("kind"), F.col("p_brand").alias("label"))
+    segments = t.customer.select(F.lit("segment").alias("kind"), F.col("c_mktsegment").alias("label"))
+    store = scratch_path(t.spark, "vocabulary")
+    vocab.append_labels(t.spark, store, brands.union(words("p_type")))
+    return vocab.append_labels(t.spark, store, brands.union(words("p_name")).union(segments))
+
+
+@query("grown_vocabulary", "FN23", GROWN_SQL + "select kind, label, idx, version from v")
+def grown_vocabulary(t: Tables):
+    return _grown(t)
+
+
+@query(
+    "grown_codes",
+    "FN23 FV17",
+    GROWN_SQL
+    + """, f as (select distinct p_partkey, unnest(string_split(p_name || ' ' || p_type, ' ')) as label from part)
+    select p_partkey, string_agg(idx::varchar, ',' order by idx) as codes, (select count(*) from v where kind = 'word') as width
+    from f join v on v.kind = 'word' and v.label = f.label group by p_partkey""",
+)
+def grown_codes(t: Tables):
+    words = F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("label")
+    facts = t.part.select("p_partkey", F.lit("word").alias("kind"), words)
+    coded = vocab.codes(facts, ["p_partkey"], _grown(t))
+    return coded.select("p_partkey", F.array_join(F.col("indexes").cast("array<string>"), ",").alias("codes"), F.col("size").alias("width"))
+
+
 @query(
     "fixed_vector",
     "FV9 FV10 FV11",

@@ -1,131 +1,177 @@
-"""HTML pages to table cells with JVM regular expressions, one page per row.
+"""HTML pages to table cells, links and texts: each page is read once, with a stack of its open tables.
 
-Rows and cells are cut at their opening tags, so unclosed ``<tr>`` and ``<td>``
-read the same as closed ones. In pages with nested tables the table tags carry their depth, so that
-rows and cells end at tags of their own table only.
+A new row or cell ends the one before it, so unclosed ``<tr>`` and ``<td>`` read the same as closed ones. Tags belong to the
+innermost open table; the text, forms and links of a table inside a cell count for that cell as well. Comments, scripts and styles
+are left out. All HTML 5 character references are decoded, those without a semicolon too.
+
+Pages are read by ``mapInArrow``: a filter on what was read is never pushed below the reader, which would read pages twice.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import re
+from collections.abc import Iterator
+from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-TAG = r"<[^>]*>"
-ENTITY = r"&(#[xX]?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
-TABLE_TAG = r"(?i)</?t(?:able|r|d|h)(?=[\s>/])[^>]*>"
-# What may follow a tag's name; the depth mark of a nested table's tag may not.
-END = r"(?=[\s>/])"
-
-
-def cleaned(html: Column) -> Column:
-    """The page without comments, scripts and styles."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-
-
-def _character(code: Column) -> Column:
-    """The character of a code point; NULL for no such one."""
-    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-
-
-def _decoded(name: Column) -> Column:
-    """The character that an entity's name or number stands for; the entity itself if it is unknown."""
-    named = F.create_map(*[F.lit(x) for k, v in sorted(name2codepoint.items()) for x in (k, chr(v) if k != "nbsp" else " ")])
-    number = F.when(F.lower(name).startswith("#x"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
-    found = F.when(name.startswith("#"), _character(number.try_cast("long"))).otherwise(F.try_element_at(named, name))
-    return F.coalesce(found, F.concat(F.lit("&"), name, F.lit(";")))
-
-
-def unescape(text: Column) -> Column:
-    """Named, decimal and hexadecimal entities to characters, in one pass; a no-break space becomes a space."""
-    between = F.split(text, ENTITY, -1)
-    names = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
-    tail = F.zip_with(names, F.slice(between, 2, F.size(names)), lambda n, s: F.concat(_decoded(n), s))
-    return F.when(F.contains(text, F.lit("&")), F.concat(between[0], F.array_join(tail, ""))).otherwise(text)
-
-
-def text_of(fragment: Column) -> Column:
-    """Text of a fragment: each text node trimmed, then joined."""
-    bare = F.regexp_replace(fragment, rf"(?s)\s*{TAG}\s*", "")
-    return F.regexp_replace(unescape(bare), r"^[\s ]+|[\s ]+$", "")
-
-
-def elements(html: Column, tag: str) -> Column:
-    """Inner HTML of each ``<tag>``, cut at the next opening or closing one."""
-    pattern = rf"(?is)<{tag}{END}[^>]*>(.*?)(?=<{tag}{END}|</{tag}\s*>|$)"
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-
-
-def _with_depths(page: Column) -> Column:
-    """The page with the number of open tables in the name of each table tag: ``<td#2 ...>``."""
-    tags = F.regexp_extract_all(page, F.lit(TABLE_TAG), F.lit(0))
-    between = F.split(page, TABLE_TAG, -1)
-
-    def step(state: Column, tag: Column) -> Column:
-        opens, closes = tag.rlike(r"(?i)^<table"), tag.rlike(r"(?i)^</table")
-        depth = state["depth"] + opens.cast("int")
-        shown = F.regexp_replace(tag, F.lit(r"(?i)^(</?t(?:able|r|d|h))"), F.concat(F.lit("$1#"), depth.cast("string")))
-        return F.struct(
-            F.greatest(depth - closes.cast("int"), F.lit(0)).alias("depth"), F.concat(state["tags"], F.array(shown)).alias("tags")
-        )
-
-    empty = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("tags"))
-    marked = F.aggregate(tags, empty, step, lambda s: s["tags"])
-    tail = F.zip_with(marked, F.slice(between, 2, F.size(tags)), lambda a, b: F.concat(a, b))
-    return F.concat(between[0], F.array_join(tail, ""))
-
-
-def _nested_tables(page: Column, extra: str) -> Column:
-    marked = _with_depths(page)
-    # A look-ahead takes no text, so a table inside another one is found too.
-    pattern = F.lit(rf"(?is)(?=<table#(\d+)\b{extra}[^>]*>(.*?)(?:</table#\1\b|$))")
-    depths, bodies = (F.regexp_extract_all(marked, pattern, F.lit(i)) for i in (1, 2))
-    own = lambda d, b: F.regexp_replace(b, F.concat(F.lit("(?i)(</?t(?:able|r|d|h))#"), d, F.lit(r"\b")), F.lit("$1"))
-    return F.zip_with(depths, bodies, own)
-
-
-def tables(html: Column, attribute: str = "") -> Column:
-    """Inner HTML of each table in page order, or of those whose tag holds ``attribute``; nested tables too."""
-    extra = rf"[^>]*{attribute}" if attribute else ""
-    page = cleaned(html)
-    nested = F.exists(F.split(page, r"(?i)</table"), lambda s: s.rlike(r"(?is)<table\b.*<table\b"))
-    flat = F.regexp_extract_all(page, F.lit(rf"(?is)<table\b{extra}[^>]*>(.*?)(?=</table\s*>|$)"), F.lit(1))
-    return F.when(nested, _nested_tables(page, extra)).otherwise(flat)
-
-
-def row_cells(row: Column) -> Column:
-    """Inner HTML of each cell of a row."""
-    return F.regexp_extract_all(
-        row, F.lit(rf"(?is)<t[dh]{END}[^>]*>(.*?)(?=<t[dh]{END}|</t[dh]\s*>|</tr\s*>|$)"), F.lit(1)
-    )
-
-
-def cell(fragment: Column) -> Column:
-    return F.struct(
-        text_of(fragment).alias("text"),
-        fragment.rlike(r"(?i)<form\b").alias("has_form"),
-        F.nullif(F.regexp_extract(fragment, r"(?i)href\s*=\s*[\"']([^\"']*)", 1), F.lit("")).alias("href"),
-    )
-
-
-def grid(table: Column) -> Column:
-    """A table as ``array<array<cell>>``; rows without cells are left out."""
-    rows = F.transform(elements(table, "tr"), lambda r: F.transform(row_cells(r), cell))
-    return F.filter(rows, lambda r: F.size(r) > 0)
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
+
+CELL = "struct<text: string, has_form: boolean, href: string>"
+PARTS = {
+    "tables": f"array<struct<attributes: string, rows: array<array<{CELL}>>>>",
+    "links": f"array<{CELL}>",
+    "texts": "array<string>",
+}
+_MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)?([^>]*)>", re.S | re.I)
+_HREF = re.compile(r"href\s*=\s*[\"']([^\"']*)", re.I)
+
+
+class _Fragment:
+    """What a cell or a link holds."""
+
+    __slots__ = ("parts", "has_form", "href")
+
+    def __init__(self):
+        self.parts, self.has_form, self.href = [], False, None
+
+    def cell(self) -> dict:
+        return {"text": decoded("".join(self.parts)).strip(), "has_form": self.has_form, "href": self.href or None}
+
+
+class _Table:
+    """An open table: its rows, and the row and the cell that are open."""
+
+    __slots__ = ("attributes", "rows", "row", "cell")
+
+    def __init__(self, attributes: str):
+        self.attributes, self.rows, self.row, self.cell = attributes, [], None, None
+
+    def end_cell(self):
+        if self.cell is not None:
+            self.row.append(self.cell.cell())
+            self.cell = None
+
+    def end_row(self):
+        self.end_cell()
+        if self.row:
+            self.rows.append(self.row)
+        self.row = None
+
+
+def decoded(text: str) -> str:
+    """Character references to characters; a no-break space becomes a space."""
+    return unescape(text).replace("\xa0", " ") if "&" in text else text.replace("\xa0", " ")
+
+
+def read_page(html: str) -> dict[str, list]:
+    """Tables in page order (nested ones too), links, and text nodes of one page."""
+    tables: list[_Table] = []
+    open_: list[_Table] = []
+    links: list[dict] = []
+    texts: list[str] = []
+    link = None
+    pending: list[str] = []
+    at = 0
+
+    def fragments():
+        if link is not None:
+            yield link
+        for table in open_:
+            if table.cell is not None:
+                yield table.cell
+
+    def flush():
+        node = "".join(pending).strip()
+        pending.clear()
+        if node:
+            texts.append(node)
+            for f in fragments():
+                f.parts.append(node)
+
+    for tag in _MARKUP.finditer(html):
+        pending.append(html[at : tag.start()])
+        at = tag.end()
+        closes, name, attributes = tag.group(2), tag.group(3), tag.group(4)
+        if attributes is None:
+            continue
+        flush()
+        name = (name or "").lower()
+        top = open_[-1] if open_ else None
+        if name == "a" and not closes and link is None:
+            link = _Fragment()
+        elif name == "table":
+            if not closes:
+                tables.append(_Table(attributes))
+                open_.append(tables[-1])
+            elif top:
+                top.end_row()
+                open_.pop()
+        elif top and name == "tr":
+            top.end_row()
+            if not closes:
+                top.row = []
+        elif top and name in ("td", "th") and top.row is not None:
+            top.end_cell()
+            if not closes:
+                top.cell = _Fragment()
+        if not closes and (name == "form" or "href" in attributes.lower()):
+            href = _HREF.search(attributes)
+            for f in fragments():
+                f.has_form = f.has_form or name == "form"
+                if href and f.href is None:
+                    f.href = href.group(1)
+        if name == "a" and closes and link is not None:
+            links.append(link.cell())
+            link = None
+    pending.append(html[at:])
+    flush()
+    for table in reversed(open_):
+        table.end_row()
+    if link is not None:
+        links.append(link.cell())
+    return {
+        "tables": [{"attributes": t.attributes, "rows": t.rows} for t in tables],
+        "links": links,
+        "texts": [decoded(t).strip() for t in texts],
+    }
+
+
+def _reader(parts: list[str], kinds: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if h is None else read_page(h) for h in batch.column(1).to_pylist()]
+            columns = [pa.array([f and f[p] for f in found], k) for p, k in zip(parts, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_key", *parts])
+
+    return run
+
+
+def read_pages(pages: DataFrame, key: str, html: str = "html", parts: str = "tables") -> DataFrame:
+    """``key`` and parts of each page, out of ``tables``, ``links`` and ``texts``; NULL for a NULL page."""
+    names = parts.split()
+    kinds = StructType.fromDDL(", ".join(f"{p} {PARTS[p]}" for p in names)).fields
+    schema = StructType([StructField("_key", pages.schema[key].dataType), *kinds])
+    rows = pages.select(F.col(key).alias("_key"), F.col(html).cast("string").alias("_html"))
+    return rows.mapInArrow(_reader(names, [to_arrow_type(k.dataType) for k in kinds]), schema).withColumnRenamed("_key", key)
+
+
+def grids(tables: Column) -> Column:
+    """The tables' rows of cells; rows without cells are left out."""
+    return F.transform(tables, lambda t: t["rows"])
 
 
 def cells(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Long table of cells: key, table, row and column index from 0, text, form flag and link."""
-    t = pages.select(key, F.posexplode(tables(F.col(html))).alias("table_idx", "_t"))
-    r = t.select(key, "table_idx", F.posexplode(grid(F.col("_t"))).alias("row_idx", "_r"))
+    t = read_pages(pages, key, html).select(key, F.posexplode("tables").alias("table_idx", "_t"))
+    r = t.select(key, "table_idx", F.posexplode("_t.rows").alias("row_idx", "_r"))
     return r.select(key, "table_idx", "row_idx", F.posexplode("_r").alias("col_idx", "_c")).select(
         key, "table_idx", "row_idx", "col_idx", "_c.*"
     )
 
 
-def links(html: Column) -> Column:
-    """Each anchor as a cell with its text and link."""
-    found = F.regexp_extract_all(cleaned(html), F.lit(r"(?is)(<a\b[^>]*>.*?)(?=</a\s*>|$)"), F.lit(1))
-    return F.transform(found, cell)
+def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """One row per anchor: key, text, form flag and link."""
+    return read_pages(pages, key, html, "links").select(key, F.explode("links").alias("_c")).select(key, "_c.*")

@@ -11,11 +11,14 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
+from .vectors import cloud_covariance
 
 NOISE = "-1"
 # Positions of one cell that one task compares; fuller cells are split into salted parts.
@@ -246,75 +249,213 @@ def density_clusters(
     return points.join(found.select(*group, *coords, label.alias("cluster")), [*group, *coords]).select(key, *group, *coords, "cluster")
 
 
-SMALL_CLOUD = 512
 CURVE_POINTS = 20
 CURVE_REACH = 10.0
+# Factor from one search radius to the next.
+GROWTH = 4.0
 
 
-def component_curves(points: DataFrame, cloud: str, key: str, coords: list[str], bins: int = CURVE_POINTS, reach: float = CURVE_REACH) -> DataFrame:
-    """Number of connected components per cloud when points up to each threshold are joined.
+# Edges that one task spans at once; a cloud of more is dealt into blocks.
+BLOCK_EDGES = 100_000
 
-    Thresholds run evenly from 0 to ``reach``. Clouds up to 512 positions, the usual
-    structures, are solved one by one inside tasks; larger ones go through the grid of
-    ``density_clusters``, all thresholds at once, so no cloud is gathered.
+
+def _span(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning forest of a block: places of its edges, and (node, root) of all nodes; all graphs of the block at once."""
+    order = np.lexsort((b, a, w))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = ends[: len(a)][order], ends[len(a) :][order]
+    comp, place, taken = np.arange(len(nodes)), order, []
+    while True:
+        x, y = comp[left], comp[right]
+        apart = x != y
+        left, right, place, x, y = left[apart], right[apart], place[apart], x[apart], y[apart]
+        if not len(x):
+            break
+        # Edges are in order, so the first one of a component is its least.
+        both = np.stack([x, y], 1).ravel()
+        who, first = np.unique(both, return_index=True)
+        parent = np.arange(len(nodes))
+        parent[who] = np.stack([y, x], 1).ravel()[first]
+        mutual = who[(parent[parent[who]] == who) & (who < parent[who])]
+        parent[mutual] = mutual
+        taken.append(np.unique(place[first // 2]))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        comp = parent[comp]
+    edges = np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, comp, nodes)
+    return edges, nodes, least[comp]
+
+
+def _span_blocks(table: pa.Table) -> pa.Table:
+    """Of whole clouds one row per node that is no root (node, root, length of one edge); of other blocks the edges that may stay."""
+    table = table.combine_chunks()
+    out = []
+    for whole in (True, False):
+        part = table.filter(pc.equal(table.column("whole"), whole))
+        if not part.num_rows:
+            continue
+        a, b, w = (part.column(c).to_numpy() for c in ("a", "b", "w"))
+        edges, nodes, roots = _span(a, b, w)
+        if not whole:
+            out.append(part.take(pa.array(edges)).select(["cloud", "a", "b", "w", "whole"]))
+            continue
+        # A tree has one edge less than nodes: its edges stand beside its nodes but the root.
+        inner = np.flatnonzero(nodes != roots)
+        root_of = dict(zip(nodes.tolist(), roots.tolist()))
+        tree = np.fromiter((root_of[n] for n in a[edges].tolist()), np.int64, len(edges))
+        edges = edges[np.argsort(tree, kind="stable")]
+        inner = inner[np.argsort(roots[inner], kind="stable")]
+        cloud = part.column("cloud").take(pa.array(edges))
+        out.append(pa.table({"cloud": cloud, "a": pa.array(nodes[inner]), "b": pa.array(roots[inner]), "w": pa.array(w[edges]), "whole": pa.array(np.ones(len(edges), bool))}))
+    return pa.concat_tables(out)
+
+
+def _forest(edges: DataFrame, group: str) -> tuple[DataFrame, DataFrame] | None:
+    """Minimum spanning forest of edges (group, a, b, w) with a < b: ((group, w) of its edges, (node, root) of its trees).
+
+    Blocks of edges are spanned in tasks first, as an edge that closes a circle inside a block is no part of the forest. A
+    cloud of one block is done then. In each of the rounds that follow every component takes its least outgoing edge (ties by its
+    two ends, so no circle but of two that choose each other); the trees are contracted and only the least edge between each
+    two components goes on.
     """
-    positions = points.groupBy(cloud, *coords).agg(F.min(key).alias(key))
-    sizes = positions.groupBy(cloud).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > SMALL_CLOUD).select(cloud)
-    small = positions.join(sizes.where(F.col("_n") <= SMALL_CLOUD).select(cloud), cloud)
-    grid = np.linspace(0.0, reach, bins)
-
-    def merges(x: np.ndarray) -> np.ndarray:
-        """Edge lengths of the minimum spanning tree."""
-        n = len(x)
-        best = np.linalg.norm(x - x[0], axis=1)
-        left = np.ones(n, dtype=bool)
-        left[0] = False
-        lengths = []
-        for _ in range(n - 1):
-            i = int(np.argmin(np.where(left, best, np.inf)))
-            lengths.append(best[i])
-            left[i] = False
-            best = np.minimum(best, np.linalg.norm(x - x[i], axis=1))
-        return np.sort(np.array(lengths))
-
-    @F.pandas_udf("array<long>")
-    def curve(clouds: pd.Series) -> pd.Series:
-        def one(cloud_points):
-            x = np.array([list(p) for p in cloud_points], dtype="float64")
-            return len(x) - np.searchsorted(merges(x), grid, side="right")
-
-        return clouds.map(one)
-
-    # At most 512 positions per row after the size check above.
-    gathered = small.groupBy(cloud).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in coords])).alias("_x"))
-    curves = gathered.select(cloud, F.posexplode(curve("_x")).alias("bin", "components")).select(
-        cloud, "bin", (F.col("bin") * F.lit(reach / (bins - 1))).alias("threshold"), "components"
-    )
-    if large.isEmpty():
-        return curves
-    big = cut_lineage(positions.join(large, cloud))
-    # Threshold 0 joins nothing: every distinct position is its own component.
-    parts = big.groupBy(cloud).agg(F.count(F.lit(1)).alias("components")).select(
-        cloud, F.lit(0).alias("bin"), F.lit(0.0).alias("threshold"), "components"
-    )
-    # All thresholds in one run: a cloud at a threshold is a group of its own, scaled so that the radius is 1.
-    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(grid[i])).alias("threshold")) for i in range(1, bins)]))
-    scaled = big.select(cloud, key, *coords, levels.alias("l")).select(
-        cloud, key, F.col("l.bin").alias("bin"), F.col("l.threshold").alias("threshold"), *[(F.col(c) / F.col("l.threshold")).alias(c) for c in coords]
-    )
-    labels = density_clusters(scaled, key, coords, 1.0, 1, [cloud, "bin", "threshold"])
-    counted = labels.groupBy(cloud, "bin", "threshold").agg(F.count_distinct("cluster").alias("components"))
-    parts = parts.unionByName(counted.select(cloud, "bin", "threshold", "components"))
-    return curves.unionByName(parts)
+    live = cut_lineage(edges.groupBy(group, "a", "b").agg(F.min("w").alias("w")))
+    sizes = live.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_EDGES).cast("int").alias("_k"))
+    total = live.count()
+    if not total:
+        return None
+    baskets = max(1, -(-total // BLOCK_EDGES), live.sparkSession.sparkContext.defaultParallelism)
+    basket = F.when(F.col("_k") == 1, F.pmod(F.xxhash64(group), F.lit(baskets))).otherwise(F.xxhash64(group, F.pmod(F.xxhash64("a", "b"), F.col("_k"))))
+    dealt = live.join(sizes, group).select(F.col(group).alias("cloud"), "a", "b", "w", (F.col("_k") == 1).alias("whole"), basket.alias("basket"))
+    fields = [StructField("cloud", edges.schema[group].dataType), *StructType.fromDDL("a long, b long, w double, whole boolean").fields]
+    spanned = cut_lineage(dealt.groupBy("basket").applyInArrow(_span_blocks, StructType(fields)).withColumnRenamed("cloud", group))
+    done = spanned.where("whole")
+    live = spanned.where("not whole").drop("whole")
+    taken, maps = [done.select(group, "w")], [done.select(F.col("a").alias("node"), F.col("b").alias("root"))]
+    while not live.isEmpty():
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("parent")), F.struct(F.col("b").alias("node"), F.col("a").alias("parent")))).alias("e")
+        order = F.struct("w", F.least("node", "parent").alias("lo"), F.greatest("node", "parent").alias("hi"), "parent", group)
+        pick = live.select(group, "w", ends).select(group, "w", "e.*").groupBy("node").agg(F.min(order).alias("m"))
+        pick = cut_lineage(pick.select("node", "m.parent", "m.w", f"m.{group}"))
+        back = pick.select(F.col("node").alias("parent"), F.col("parent").alias("_back"))
+        mutual = (F.col("_back") == F.col("node")) & (F.col("node") < F.col("parent"))
+        hooks = cut_lineage(pick.join(back, "parent").where(~mutual).select("node", "parent", "w", group))
+        taken.append(hooks.select(group, "w"))
+        maps.append(_rooted(hooks))
+        moved = _relabelled(_relabelled(live, "a", maps[-1]), "b", maps[-1]).where(F.col("a") != F.col("b"))
+        moved = moved.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
+        live = cut_lineage(moved.groupBy(group, "a", "b").agg(F.min("w").alias("w")))
+    forest, lengths = maps[0], taken[0]
+    for m, t in zip(maps[1:], taken[1:]):
+        forest, lengths = forest.unionByName(m), lengths.unionByName(t)
+    # Later rounds hook the roots of earlier ones; whole clouds have no later round.
+    return lengths, _rooted(forest.withColumnRenamed("root", "parent")) if len(maps) > 2 else forest
+
 
+def _between(open_: DataFrame, cloud: str, coords: list[str]) -> DataFrame:
+    """Edges (cloud, a, b, w) within the radius ``_r`` of each cloud, between points of different components.
+
+    Points whose neighbouring cells hold their own component only meet nobody.
+    """
+    placed = open_.withColumn("cell", F.array(*[F.floor(F.col(c) / F.col("_r")) for c in coords]))
+    around = list(itertools.product((-1, 0, 1), repeat=len(coords)))
+    spans = placed.groupBy(cloud, "cell").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    seen = spans.select(cloud, F.explode(_shifted(around)).alias("cell"), "_lo", "_hi").groupBy(cloud, "cell").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    mixed = cut_lineage(seen.where(F.col("_lo") != F.col("_hi")).select(cloud, "cell"))
+    live = cut_lineage(placed.join(mixed, [cloud, "cell"], "left_semi"))
+    half = [o for o in around if o >= tuple([0] * len(coords))]
+    left = live.select(cloud, "_r", F.col("pid").alias("p"), F.col("comp").alias("_c"), F.col("cell").alias("home"), F.explode(_shifted(half)).alias("cell"), *[F.col(c).alias(f"a_{c}") for c in coords])
+    right = live.select(cloud, "cell", F.col("pid").alias("q"), F.col("comp").alias("_d"), *[F.col(c).alias(f"b_{c}") for c in coords])
+    length = F.sqrt(_distance2("a_", "b_", coords)).alias("w")
+    # Pairs inside a cell once, by their numbers.
+    once = (F.col("home") != F.col("cell")) | (F.col("p") < F.col("q"))
+    pairs = left.join(right, [cloud, "cell"]).where(once & (F.col("_c") != F.col("_d"))).select(cloud, F.least("_c", "_d").alias("a"), F.greatest("_c", "_d").alias("b"), length, "_r")
+    return pairs.where(F.col("w") <= F.col("_r")).drop("_r")
+
+
+def bar_lengths(points: DataFrame, cloud: str, coords: list[str], reach: float = CURVE_REACH) -> tuple[DataFrame, DataFrame]:
+    """((cloud, length) of the bars of dimension 0 that end within ``reach``, (cloud, n) positions of each cloud).
+
+    The bars' lengths are those of the minimum spanning tree. Its edges are found by length: pairs within a radius that
+    follows from the cloud's density, then within a ``GROWTH`` times larger one among what is still apart. One path for clouds of any size.
+    """
+    distinct = points.select(cloud, *[F.col(c).cast("double").alias(c) for c in coords]).distinct()
+    positions = cut_lineage(distinct.withColumn("pid", F.monotonically_increasing_id()))
+    extent = F.greatest(*[F.max(c) - F.min(c) for c in coords]) if len(coords) > 1 else F.max(coords[0]) - F.min(coords[0])
+    sizes = cut_lineage(positions.groupBy(cloud).agg(F.count(F.lit(1)).alias("n"), extent.alias("_extent")))
+    start = F.least(F.lit(reach), 2 * F.col("_extent") / F.pow("n", F.lit(1 / len(coords))))
+    state = cut_lineage(positions.join(sizes.where("n > 1").select(cloud, start.alias("_r")), cloud).withColumn("comp", F.col("pid")))
+    bars = None
+    while True:
+        made = _forest(_between(state, cloud, coords), cloud)
+        if made is not None:
+            lengths, roots = made
+            bars = lengths if bars is None else bars.unionByName(lengths)
+            state = _relabelled(state, "comp", roots)
+        apart = state.groupBy(cloud).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.first("_r").alias("_was"))
+        apart = apart.where((F.col("_lo") != F.col("_hi")) & (F.col("_was") < reach))
+        apart = cut_lineage(apart.select(cloud, F.least(F.lit(reach), F.col("_was") * GROWTH).alias("_r")))
+        if apart.isEmpty():
+            none = sizes.where("false").select(cloud, F.lit(0.0).alias("w"))
+            return (none if bars is None else bars).select(cloud, F.col("w").alias("length")), sizes.select(cloud, "n")
+        state = cut_lineage(state.drop("_r").join(apart, cloud))
+
+
+def component_curves(points: DataFrame, cloud: str, coords: list[str], bins: int = CURVE_POINTS, reach: float = CURVE_REACH) -> DataFrame:
+    """Per cloud the number of connected components when points up to each threshold are joined, and the entropy of the bars.
+
+    Thresholds run evenly from 0 to ``reach``. Entropy is that of the lengths' shares, in bits; a bar that outlives
+    ``reach`` counts as that long, and the one that never ends is left out. A cloud of one position has entropy 0.
+    """
+    step = reach / (bins - 1)
+    lengths, sizes = bar_lengths(points, cloud, coords, reach)
+    ends = lengths.select(cloud, F.ceil(F.col("length") / F.lit(step)).cast("int").alias("bin"), F.col("length"))
+    per = ends.groupBy(cloud, "bin").agg(F.count(F.lit(1)).alias("m"), F.sum("length").alias("s"), F.sum(F.col("length") * F.log2("length")).alias("sl"))
+    every = per.groupBy(cloud).agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("sl").alias("sl"), F.map_from_entries(F.collect_list(F.struct("bin", "m"))).alias("ended"))
+    met = sizes.join(every, cloud, "left")
+    left = F.col("n") - 1 - F.coalesce("m", F.lit(0))
+    total = F.coalesce("s", F.lit(0.0)) + left * reach
+    logs = F.coalesce("sl", F.lit(0.0)) + left * (reach * math.log2(reach))
+    entropy = F.when(total > 0, F.greatest(F.log2(total) - logs / total, F.lit(0.0))).otherwise(0.0)
+    gone = F.aggregate(F.sequence(F.lit(0), F.col("bin")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("ended", i), F.lit(0)))
+    out = met.select(cloud, "n", "ended", entropy.alias("entropy"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return out.select(cloud, "bin", (F.col("bin") * F.lit(step)).alias("threshold"), (F.col("n") - F.when(F.col("ended").isNull(), 0).otherwise(gone)).alias("components"), "entropy")
+
+
+def projected(df: DataFrame, key: str, vector: str, rounds: int = 200) -> DataFrame:
+    """Each vector on the two principal axes (x, y); one pass gives the covariance, one the projection.
+
+    Axes come from the covariance matrix by block power iteration; an axis points to where its largest element is positive.
+    """
+    width = df.select(F.max(F.size(vector))).first()[0] or 0
+    sums = cloud_covariance(df.select(F.lit(0).alias("_all"), F.col(vector).cast("array<double>").alias("_v")), "_all", "_v", width)
+    # One number per element of the matrix.
+    total = np.zeros(1 + width + width * width)
+    for r in sums.select("pos", "total").collect():
+        total[r["pos"]] = r["total"]
+    axes = principal_axes(total, width, 2, rounds)
+    point = F.col(vector).cast("array<double>")
+    along = [F.aggregate(F.zip_with(point, F.lit(axis), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for axis in axes.tolist()]
+    return df.select(key, along[0].alias("x"), along[1].alias("y"))
+
+
+def principal_axes(total: np.ndarray, width: int, count: int, rounds: int) -> np.ndarray:
+    """Leading eigenvectors of the covariance of summed (rows, vectors, outer products), by block power iteration."""
+    n = max(total[0], 1)
+    mean = total[1 : width + 1] / n
+    covariance = total[width + 1 :].reshape(width, width) / n - np.outer(mean, mean)
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(width, min(width, count + 6))))[0]
+    for _ in range(rounds):
+        moved = np.linalg.qr(covariance @ block)[0]
+        done = np.allclose(np.abs((moved * block).sum(0)[:count]), 1, atol=1e-15)
+        block = moved
+        if done:
+            break
+    # Inside the block the axes follow exactly.
+    values, turn = np.linalg.eigh(block.T @ covariance @ block)
+    axes = (block @ turn[:, np.argsort(values)[::-1]]).T[:count]
+    axes = np.vstack([axes, np.zeros((count - len(axes), width))]) if len(axes) < count else axes
+    return axes * np.sign(np.take_along_axis(axes, np.abs(axes).argmax(1)[:, None], 1)) if width else axes
 
-def projected(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Two principal components of each vector."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows)
-    out = model.transform(rows).select(key, vector_to_array("_p").alias("_p"))
-    return out.select(key, F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))

@@ -66,49 +66,55 @@ def with_default(facts: DataFrame, lookup: DataFrame, key: list[str], defaults:
     return joined
 
 
+MARKER = "POSCAR"
+# Longest n-gram of the index of file names.
+GRAM = 8
+
+
 def ranked_file_match(materials: DataFrame, files: DataFrame) -> DataFrame:
     """Best structure file per material, by the priority of five name patterns, flat before nested.
 
-    ``files`` holds (path, base, depth). A name pattern is an ordered pair of a word and a
-    marker; both are turned into join keys by cutting the base name at the marker,
-    so the match is an equi join on words rather than a pattern test per pair.
+    ``files`` holds (path, base, depth). A term is the material's id or formula and may stand anywhere in a name. Names are
+    indexed by their n-grams of the lengths that terms end in (at most ``GRAM``); a term meets the names that hold its last n-gram,
+    and only those are checked against the patterns. The best file of a term is picked before materials meet terms.
+    NULL and empty terms match nothing.
     """
-    marker = "POSCAR"
-    before = F.substring_index("base", marker, 1)
-    after = F.expr(f"substring(base, instr(base, '{marker}') + {len(marker)})")
-    named = files.where(F.contains("base", F.lit(marker)))
-    words = r"[A-Za-z0-9]+(?:-[0-9]+)?"
-    tokens = named.select(
-        "path", "depth", F.explode(
-            F.concat(
-                F.transform(F.regexp_extract_all(before, F.lit(words), F.lit(0)),
-                            lambda w: F.struct(w.alias("word"), F.lit(1).alias("side"), F.startswith(F.col("base"), w).alias("leads"))),
-                F.transform(F.regexp_extract_all(after, F.lit(words), F.lit(0)),
-                            lambda w: F.struct(w.alias("word"), F.lit(2).alias("side"), F.lit(False).alias("leads"))),
-            )
-        ).alias("t"),
-        F.startswith(F.col("base"), F.lit(marker)).alias("marker_first"),
-    ).select("path", "depth", "marker_first", "t.*").distinct()
-    keys = materials.select(
+    terms = materials.select(
         "material_id",
-        F.explode(F.array(F.struct(F.col("material_id").alias("word"), F.lit(True).alias("is_id")),
-                          F.struct(F.col("formula").alias("word"), F.lit(False).alias("is_id")))).alias("k"),
-    ).select("material_id", "k.*")
-    tokens = tokens.withColumn("is_id", F.explode(F.array(F.lit(True), F.lit(False))))
-    before_marker = F.col("side") == 1
-    rank = (
-        F.when(before_marker & F.col("is_id") & F.col("leads"), 0)
-        .when(before_marker & F.col("is_id"), 1)
-        .when(before_marker, 2)
-        .when(F.col("marker_first") & F.col("is_id"), 3)
-        .when(F.col("marker_first"), 4)
-    )
+        F.explode(F.array(F.struct(F.col("material_id").alias("term"), F.lit(True).alias("is_id")),
+                          F.struct(F.col("formula").alias("term"), F.lit(False).alias("is_id")))).alias("k"),
+    ).select("material_id", "k.*").where(F.length("term") > 0)
+    distinct = terms.select("term", "is_id").distinct().withColumn("gram", F.right("term", F.lit(GRAM)))
+    # At most GRAM lengths.
+    lengths = [r[0] for r in distinct.select(F.length("gram")).distinct().collect()]
+    if not lengths:
+        lengths = [GRAM]
+    named = files.where(F.contains("base", F.lit(MARKER))).select("path", "depth", "base")
+    grams = F.array_distinct(F.concat(*[_grams("base", n) for n in lengths]))
+    index = named.select("*", F.explode(grams).alias("gram"))
+    hits = index.join(distinct, "gram").withColumn("pattern_rank", _pattern_rank()).where(F.col("pattern_rank").isNotNull())
     order = [F.least(F.col("depth"), F.lit(1)), F.col("pattern_rank"), F.col("path")]
-    ranked = tokens.withColumn("pattern_rank", rank).where(F.col("pattern_rank").isNotNull())
-    # The best file per word is picked before the join, so a word shared by many stays one row.
-    best = first_per_key(ranked.select("word", "is_id", "path", "depth", "pattern_rank"), ["word", "is_id"], order)
-    hits = keys.join(best, ["word", "is_id"])
-    return first_per_key(hits.select("material_id", "path", "depth", "pattern_rank"), ["material_id"], order)
+    best = first_per_key(hits.select("term", "is_id", "path", "depth", "pattern_rank"), ["term", "is_id"], order)
+    met = terms.join(best, ["term", "is_id"])
+    return first_per_key(met.select("material_id", "path", "depth", "pattern_rank"), ["material_id"], order)
+
+
+def _grams(column: str, n: int) -> Column:
+    """All substrings of n characters."""
+    found = F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda i: F.substr(column, i, F.lit(n)))
+    return F.when(F.length(column) >= n, found).otherwise(F.array().cast("array<string>"))
+
+
+def _pattern_rank() -> Column:
+    """Which of the five patterns the name ``base`` fits for ``term``: 0 to 4, NULL for none."""
+    inside = lambda word, start: F.expr(f"locate({word}, base, {start})")
+    first = inside("term", 1)
+    marked = (first > 0) & (inside(f"'{MARKER}'", "locate(term, base, 1) + length(term)") > 0)
+    trailing = F.startswith("base", F.lit(MARKER)) & (inside("term", len(MARKER) + 1) > 0)
+    return (
+        F.when(marked & F.col("is_id") & (first == 1), 0).when(marked & F.col("is_id"), 1).when(marked, 2)
+        .when(trailing & F.col("is_id"), 3).when(trailing, 4)
+    )
 
 
 def missing_numbers(table: DataFrame, column: str, last: int = 230) -> DataFrame:

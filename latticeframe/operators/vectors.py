@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .ranking import exact_quantiles
 
@@ -124,33 +126,67 @@ def cloud_pca(df: DataFrame, cloud: str, vector: str, width: int, components: in
     return sums.groupBy(cloud).applyInPandas(solve, f"{cloud} {key_type}, features array<double>")
 
 
-def bag_of_words(
-    df: DataFrame, cloud: str, vector: str, clusters: int = 50, seed: int = 42, codebook: list[list[float]] | None = None
-) -> DataFrame:
-    """Share of each cloud's points per word of one codebook: the given one, or one learned over all clouds.
+def _nearest(points: np.ndarray, codebook: np.ndarray) -> np.ndarray:
+    """The nearest word of each point, of equally near ones the first; in slices, so that no large table is made."""
+    out = [((points[i : i + 1024, None, :] - codebook[None]) ** 2).sum(-1).argmin(1) for i in range(0, len(points), 1024)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    A point belongs to its nearest word, of equally near ones to the first.
+
+def _points_of(values: pa.Array) -> np.ndarray:
+    return values.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(values), -1)
+
+
+def bag_of_words(df: DataFrame, cloud: str, vector: str, codebook: list[list[float]]) -> DataFrame:
+    """Share of each cloud's points per word of a codebook (see ``learned_codebook``).
+
+    A point belongs to its nearest word, of equally near ones to the first; NULL vectors to none.
     """
-    if codebook is None:
-        codebook = learned_codebook(df, vector, clusters, seed)
-    words = F.array(*[F.array(*[F.lit(float(x)) for x in word]) for word in codebook])
-    point = F.col(vector).cast("array<double>")
-    square = lambda word: F.aggregate(F.zip_with(point, word, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    far = F.transform(words, square)
-    counted = df.select(cloud, far.alias("_far")).select(cloud, (F.array_position("_far", F.array_min("_far")) - 1).cast("int").alias("word"))
-    counted = counted.groupBy(cloud, "word").agg(F.count(F.lit(1)).alias("_c"))
+    book = np.array(codebook, dtype="float64")
+
+    def assign(batches):
+        for batch in batches:
+            word = _nearest(_points_of(batch.column(1)), book).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(word)], ["cloud", "word"])
+
+    schema = StructType([StructField("cloud", df.schema[cloud].dataType), StructField("word", IntegerType())])
+    words = df.where(F.col(vector).isNotNull()).select(cloud, F.col(vector).cast("array<double>")).mapInArrow(assign, schema)
+    counted = words.withColumnRenamed("cloud", cloud).groupBy(cloud, "word").agg(F.count(F.lit(1)).alias("_c"))
     # At most one row per word and cloud.
     total = F.sum("_c").over(Window.partitionBy(cloud))
     return counted.select(cloud, "word", (F.col("_c") / total).alias("share"))
 
 
-def learned_codebook(df: DataFrame, vector: str, clusters: int, seed: int = 42) -> list[list[float]]:
-    """The centres of ``clusters`` clusters of all points: the model, of that size only."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def learned_codebook(df: DataFrame, vector: str, key: str, clusters: int = 50, rounds: int = 20) -> list[list[float]]:
+    """The centres of ``clusters`` clusters of all points, by Lloyd's rounds from the points of the smallest keys.
 
-    points = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    return [c.tolist() for c in KMeans(k=clusters, seed=seed, initMode="k-means||").fit(points).clusterCenters()]
+    A round is one aggregate: each Arrow batch sends the number and the sum of its points per word. A word without
+    points stays where it is; rounds end early when no centre moves. The driver holds the codebook only.
+    """
+    points = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"), F.col(key).alias("k"))
+    book = np.array([r["v"] for r in points.orderBy("k").limit(clusters).collect()], dtype="float64")
+    for _ in range(rounds if len(book) else 0):
+        current = book
+
+        def partial(batches, current=current):
+            for batch in batches:
+                x = _points_of(batch.column(0))
+                word = _nearest(x, current)
+                sums = np.zeros((len(current), current.shape[1] + 1))
+                np.add.at(sums[:, 1:], word, x)
+                sums[:, 0] = np.bincount(word, minlength=len(current))
+                on = np.flatnonzero(sums[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(list(sums[on]), pa.list_(pa.float64()))], ["word", "s"])
+
+        parts = points.select("v").mapInArrow(partial, "word int, s array<double>").select("word", F.posexplode("s").alias("pos", "x"))
+        sums = np.zeros((len(book), book.shape[1] + 1))
+        for r in parts.groupBy("word", "pos").agg(F.sum("x").alias("x")).collect():
+            sums[r["word"], r["pos"]] = r["x"]
+        full = sums[:, 0] > 0
+        book = current.copy()
+        book[full] = sums[full, 1:] / sums[full, :1]
+        if np.array_equal(book, current):
+            break
+    return book.tolist()
 
 
 METHODS = ("statistical", "pca", "histogram", "moment", "pool")

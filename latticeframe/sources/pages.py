@@ -13,6 +13,8 @@ from ..functions.topology import detail_id
 WYCKOFF_ROW = "wyckoff pos"
 BANDREP_ROW = "band-rep"
 DECOMPOSABLE_ROW = "decomposableindecomposable"
+# Fixed value: what marks the table of band representations.
+BOXED = r"(?i)\bframe\s*=\s*[\"']?box"
 
 
 def _first_text(row: Column) -> Column:
@@ -34,14 +36,12 @@ def parsed_bandreps(pages: DataFrame, key: str, html: str = "html", outer: bool
     two cells or more; a missing heading leaves its text empty. Any other page is one row with NULL ``ebr_column`` (left out
     unless ``outer``).
     """
-    boxed = F.get(h.tables(F.col(html), r"\bframe\s*=\s*[\"']?box"), F.lit(0))
+    boxed = F.get(F.filter("tables", lambda t: t["attributes"].rlike(BOXED)), F.lit(0))["rows"]
     is_k = lambda r: F.contains(_first_text(r), F.lit(":"))
     named = lambda name: F.try_element_at(
         F.filter("heads", lambda r: _row_key(r) == name), F.lit(-1)
     )
-    # Pages without rows end in the explode of a NULL sequence: a filter on the parsed
-    # rows would be pushed below the parse and run it twice.
-    page = pages.select(key, h.grid(boxed).alias("rows")).select(
+    page = h.read_pages(pages, key, html).select(key, boxed.alias("rows")).select(
         key,
         F.array_max(F.transform("rows", lambda r: F.size(r))).alias("width"),
         F.filter("rows", is_k).alias("krows"),
@@ -84,7 +84,7 @@ def index_tables(pages: DataFrame, key: str, html: str = "html", header_row: int
 
     ``header_row`` 1 is the non-magnetic layout, whose second row names the irreps.
     """
-    rows = pages.select(key, F.explode(F.transform(h.tables(F.col(html)), h.grid)).alias("rows"))
+    rows = h.read_pages(pages, key, html).select(key, F.explode(h.grids(F.col("tables"))).alias("rows"))
     rows = rows.where(F.size("rows") >= 2).select(
         key, F.transform(F.col("rows")[header_row], lambda c: c["text"]).alias("names"),
         F.posexplode(F.slice("rows", header_row + 2, F.greatest(F.size("rows"), F.lit(1)))).alias("position", "row"),
@@ -102,7 +102,7 @@ def index_tables(pages: DataFrame, key: str, html: str = "html", header_row: int
 
 def magnetic_index_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Magnetic layout: the header is the first row that looks like one; empty cells and the modulus are left out."""
-    rows = pages.select(key, F.explode(F.transform(h.tables(F.col(html)), h.grid)).alias("rows"))
+    rows = h.read_pages(pages, key, html).select(key, F.explode(h.grids(F.col("tables"))).alias("rows"))
     texts = rows.where(F.size("rows") >= 2).select(
         key, F.transform("rows", lambda r: F.transform(r, lambda c: c["text"])).alias("rows")
     )
@@ -139,14 +139,11 @@ def decompositions(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
     ``branches`` is rows of cells without the first one; ``ebr_list`` the strings.
     """
-    grids = F.transform(h.tables(F.col(html)), h.grid)
+    grids = h.grids(F.col("tables"))
     is_branch = lambda g: F.exists(g, lambda r: F.exists(r, lambda c: F.contains(F.lower(c["text"]), F.lit("branch"))))
     table = F.get(F.filter(grids, is_branch), F.lit(0))
-    texts = F.filter(
-        F.transform(F.split(h.cleaned(F.col(html)), h.TAG), lambda s: F.trim(h.unescape(s))),
-        lambda s: F.contains(s, F.lit("↑G")),
-    )
-    picked = pages.select(key, table.alias("_table"), texts.alias("_texts"))
+    texts = F.filter("texts", lambda s: F.contains(s, F.lit("↑G")))
+    picked = h.read_pages(pages, key, html, "tables texts").select(key, table.alias("_table"), texts.alias("_texts"))
     rows = F.transform(
         F.slice("_table", 2, F.greatest(F.size("_table"), F.lit(1))),
         lambda r: F.transform(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda c: c["text"]),
@@ -164,7 +161,7 @@ RESULT_COLUMNS = ("compound", "symmetry_group", "topological_indices", "crossing
 
 def search_results(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Result rows of up to five cells with the detail link and its id."""
-    rows = pages.select(key, F.explode(F.flatten(F.transform(h.tables(F.col(html)), h.grid))).alias("r"))
+    rows = h.read_pages(pages, key, html).select(key, F.explode(F.flatten(h.grids(F.col("tables")))).alias("r"))
     link = F.get(
         F.filter(F.transform("r", lambda c: c["href"]), lambda u: F.contains(u, F.lit("detail")) | F.contains(u, F.lit("#"))),
         F.lit(0),

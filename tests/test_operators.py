@@ -330,13 +330,54 @@ def test_components_of_a_long_path(spark):
     assert set(got[i] for i in order) == {0} and got[301] == 300 and got[400] == 400
 
 
-def test_component_curves_agree_on_both_paths(spark, monkeypatch):
-    rng = random.Random(5)
-    df = spark.createDataFrame([("m", i, rng.random() * 12, rng.random() * 12) for i in range(25)], "m string, i long, x double, y double")
-    small = {r.bin: r.components for r in cl.component_curves(df, "m", "i", ["x", "y"], bins=4).collect()}
-    monkeypatch.setattr(cl, "SMALL_CLOUD", 5)
-    large = {r.bin: r.components for r in cl.component_curves(df, "m", "i", ["x", "y"], bins=4).collect()}
-    assert small == large and small[0] == 25 and small[3] == 1
+def bars_by_hand(points):
+    """Lengths of the minimum spanning tree, by Prim."""
+    x = np.array(points, dtype=float)
+    best, left, out = np.linalg.norm(x - x[0], axis=1), set(range(1, len(x))), []
+    while left:
+        i = min(left, key=lambda j: best[j])
+        out.append(best[i])
+        left.remove(i)
+        best = np.minimum(best, np.linalg.norm(x - x[i], axis=1))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size,spread,dims", [(40, 12, 2), (150, 40, 2), (700, 25, 3), (60, 400, 2)])
+def test_bars_of_clouds_match_a_spanning_tree(spark, size, spread, dims):
+    rng = random.Random(size)
+    clouds = {c: list({tuple(round(rng.random() * spread, 1) for _ in range(dims)) for _ in range(n)}) for c, n in (("a", size), ("b", size // 2), ("c", 1), ("d", 2))}
+    # Two dense heaps far apart.
+    clouds["e"] = [(i * 0.01, *[0.0] * (dims - 1)) for i in range(60)] + [(5 + i * 0.01, *[0.0] * (dims - 1)) for i in range(60)]
+    names = ["x", "y", "z"][:dims]
+    rows = [(c, *p) for c, ps in clouds.items() for p in ps] * 2
+    df = spark.createDataFrame(rows, f"m string, {', '.join(f'{n} double' for n in names)}")
+    lengths, sizes = cl.bar_lengths(df, "m", names)
+    got = {}
+    for r in lengths.collect():
+        got.setdefault(r.m, []).append(r.length)
+    curves = {(r.m, r.bin): r for r in cl.component_curves(df, "m", names, bins=4).collect()}
+    for c, points in clouds.items():
+        want = bars_by_hand(points)
+        assert sorted(got.get(c, [])) == pytest.approx([w for w in want if w <= 10])
+        shares = np.minimum(want, 10) / np.minimum(want, 10).sum() if want else np.zeros(0)
+        for k in range(4):
+            r = curves[c, k]
+            assert r.components == len(points) - sum(w <= k * 10 / 3 for w in want)
+            assert r.entropy == pytest.approx(-(shares * np.log2(shares)).sum(), abs=1e-9)
+
+
+def test_components_by_shared_keys(spark):
+    rng = random.Random(8)
+    members = [(n, k) for k in range(60) for n in rng.sample(range(100), 2)] + [(n, 1000) for n in range(200, 260)]
+    got = {r.node: r.component for r in cl.components_by_key(spark.createDataFrame(members, "node long, key long")).collect()}
+    label = {n: n for n, _ in members}
+    for _ in range(200):
+        low = {}
+        for n, k in members:
+            low[k] = min(low.get(k, n), label[n])
+        for n, k in members:
+            label[n] = min(label[n], low[k])
+    assert got == label
 
 
 def test_cloud_pca_matches_numpy(spark):
@@ -434,14 +475,25 @@ def test_property_dump(spark, tmp_path):
     assert rows["a"].density != rows["a"].density and rows["a"].kv is None and rows["b"].kv == 1.5
 
 
-def test_entities_of_all_kinds(spark):
-    df = spark.createDataFrame([("A1&uarr;G(2) &#915;&#x3B1; &bogus; &amp;lt; 5 & 6;",), ("none",), (None,)], "t string")
-    assert [r[0] for r in df.select(html.unescape(F.col("t"))).collect()] == ["A1↑G(2) Γα &bogus; &lt; 5 & 6;", "none", None]
+def test_references_of_all_kinds(spark):
+    texts = ["A1&uarr;G(2) &#915;&#x3B1; &bogus; &amp;lt; 5 & 6;", "none", None, "&CounterClockwiseContourIntegral;&copy 1&nbsp", "<!-- a -->x<!-- b -->y<script>z</script>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.texts for r in html.read_pages(df, "k", "t", "texts").collect()}
+    assert got == {0: ["A1↑G(2) Γα &bogus; &lt; 5 & 6;"], 1: ["none"], 2: None, 3: ["\u2233© 1"], 4: ["xy"]}
+
+
+def test_forms_and_links_of_cells(spark):
+    page = "<a href='m'>menu</a><table id=t><tr><td>out<form><a href=\"u\">in</a></form></td>lost<td><table><tr><td><a HREF='v'>w</a></table></td></tr><td>no row</table>"
+    df = spark.createDataFrame([("k", page)], "k string, html string")
+    rows = sorted((r.table_idx, r.row_idx, r.col_idx, r.text, r.has_form, r.href) for r in html.cells(df, "k").collect())
+    assert rows == [(0, 0, 0, "outin", True, "u"), (0, 0, 1, "w", False, "v"), (1, 0, 0, "w", False, "v")]
+    assert [(r.text, r.href) for r in html.links(df, "k").collect()] == [("menu", "m"), ("in", "u"), ("w", "v")]
 
 
 def test_nested_tables_keep_their_rows_apart(spark):
     page = "<table><tr><td>o1<table><tr><td>i1<td>i2</tr></table>t<td>o2<tr><td>r2</table><TABLE><TR><TH>z</TABLE>"
-    rows = spark.createDataFrame([(page,)], "t string").select(F.transform(html.tables(F.col("t")), html.grid).alias("g")).first().g
+    df = spark.createDataFrame([(1, page)], "k int, html string")
+    rows = html.read_pages(df, "k").select(html.grids(F.col("tables")).alias("g")).first().g
     assert [[[c.text for c in row] for row in t] for t in rows] == [[["o1i1i2t", "o2"], ["r2"]], [["i1", "i2"]], [["z"]]]
 
 
@@ -466,13 +518,3 @@ def test_stages_are_dropped(spark, tmp_path, monkeypatch):
     assert staged.count() == 5 and os.listdir(tmp_path)
     session.drop_stages(spark)
     assert not os.listdir(tmp_path)
-
-
-def test_curves_agree_for_small_and_large_clouds(spark, monkeypatch):
-    rng = random.Random(12)
-    points = [(c, i, rng.random() * 40, rng.random() * 40) for c in ("a", "b") for i in range(150)]
-    df = spark.createDataFrame(points, "c string, id long, x double, y double")
-    small = {(r.c, r.bin): r.components for r in cl.component_curves(df, "c", "id", ["x", "y"]).collect()}
-    monkeypatch.setattr(cl, "SMALL_CLOUD", 0)
-    large = {(r.c, r.bin): r.components for r in cl.component_curves(df, "c", "id", ["x", "y"]).collect()}
-    assert len(small) == 40 and large == small
