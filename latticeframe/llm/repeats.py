@@ -34,10 +34,10 @@ from ..session import cut_lineage
 from .exact_dedup import LOCATOR, addressed, located, readdressed
 from .text import filled, frugal, hashes, keyed, slices, small_batches
 
-ANCHOR = 5
+ANCHOR = 7
 CROWD = 4096
 SHARD_ROWS = 4096
-BROADCAST_VALUES = 2_000_000
+BROADCAST_VALUES = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,6 +150,12 @@ def _occurrences(width: int):
     return run
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after another."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _texts(width: int):
     """The words of wanted segments, joined by one space."""
 
@@ -157,14 +163,16 @@ def _texts(width: int):
         for batch in batches:
             for part in slices(batch):
                 lists = words_of(part.column("text"))
-                out: dict[str, list] = {"anchor": [], "content": [], "words": []}
-                for words, wanted in zip(lists, part.column("wanted").to_pylist()):
-                    words = words.as_py()
-                    for w in wanted:
-                        out["anchor"].append(w["anchor"])
-                        out["content"].append(w["content"])
-                        out["words"].append(" ".join(words[w["start"] : w["start"] + w["count"] + width - 1]))
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.string() if c == "words" else pa.int64()) for c, v in out.items()})
+                begin = lists.offsets.to_numpy().astype(np.int64)
+                wanted = part.column("wanted")
+                asked = wanted.flatten()
+                field = {c: asked.field(i) for i, c in enumerate(("anchor", "content", "start", "count"))}
+                text = np.repeat(np.arange(part.num_rows), pc.list_value_length(wanted).to_numpy())
+                start = field["start"].to_numpy().astype(np.int64) + begin[text] - begin[0]
+                length = field["count"].to_numpy().astype(np.int64) + width - 1
+                taken = lists.flatten().take(pa.array(_ranges(start, length)))
+                cuts = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([field["anchor"], field["content"], pc.binary_join(pa.ListArray.from_arrays(cuts, taken), " ")], ["anchor", "content", "words"])
 
     return run
 
@@ -250,42 +258,48 @@ def _match(width: int):
     return run
 
 
-def _covered(windows: list[dict], width: int) -> list[tuple[int, int]]:
-    """Maximal spans [start, end) of words that the windows cover."""
-    spans: list[list[int]] = []
-    for w in sorted((x["start"], x["start"] + x["count"] + width - 1) for x in windows):
-        if spans and w[0] <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], w[1])
-        else:
-            spans.append(list(w))
-    return [tuple(s) for s in spans]
-
-
-def _without(width: int):
-    """What is left of texts with repeats: number of words removed, digest of those kept, spans."""
+def _covered(width: int):
+    """Maximal spans [start, end) of words that windows cover; the number of words in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                removed, digests, spans = [], [], []
-                for words, windows in zip(words_of(part.column("text")), part.column("windows").to_pylist()):
-                    words, gone = words.as_py(), _covered(windows, width)
-                    removed.append(sum(b - a for a, b in gone))
-                    for a, b in reversed(gone):
-                        del words[a:b]
-                    digests.append(hashlib.sha256(" ".join(words).encode()).digest())
-                    spans.append([{"start": a, "end": b} for a, b in gone])
-                columns = [part.column("node"), pa.array(removed, pa.int64()), pa.array(digests, pa.binary())]
-                columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n_removed", "kept", "spans"])
+            lists, removed = [], []
+            for windows in batch.column("windows").to_pylist():
+                spans: list[list[int]] = []
+                for start, end in sorted((x["start"], x["start"] + x["count"] + width - 1) for x in windows):
+                    if spans and start <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], end)
+                    else:
+                        spans.append([start, end])
+                lists.append([{"start": a, "end": b} for a, b in spans])
+                removed.append(sum(b - a for a, b in spans))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, kind), pa.array(removed, pa.int64())], ["node", "spans", "n_removed"])
 
     return run
 
 
-def _with_text(rows: DataFrame, narrow: DataFrame, values: int) -> DataFrame:
-    """Located texts beside narrow rows; the narrow side is broadcast while it has few values, else both are shuffled."""
-    side = F.broadcast(narrow) if values <= BROADCAST_VALUES else narrow
-    return rows.select(*LOCATOR, "text").join(side, LOCATOR).drop(*LOCATOR)
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of what is left of texts without their spans."""
+    for batch in batches:
+        for part in slices(batch):
+            lists = words_of(part.column("text"))
+            begin = lists.offsets.to_numpy().astype(np.int64)
+            begin = begin - begin[0]
+            spans = part.column("spans")
+            text = np.repeat(np.arange(part.num_rows), pc.list_value_length(spans).to_numpy())
+            start, end = (spans.flatten().field(i).to_numpy() for i in (0, 1))
+            kept = np.ones(begin[-1], bool)
+            kept[_ranges(begin[text] + start, end - start)] = False
+            cuts = pa.array(np.concatenate([[0], np.cumsum(kept)])[begin], pa.int32())
+            left = pc.binary_join(pa.ListArray.from_arrays(cuts, lists.flatten().filter(pa.array(kept))), " ")
+            digests = [hashlib.sha256(x.encode()).digest() for x in left.to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(digests, pa.binary())], ["node", "kept"])
+
+
+def _with_text(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Located texts beside narrow rows."""
+    return rows.select(*LOCATOR, "text").join(narrow, LOCATOR).drop(*LOCATOR)
 
 
 def _later(own: str, first: str) -> Column:
@@ -310,8 +324,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = cut_lineage(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     hits = cut_lineage(anchors.join(shared, "anchor").groupBy("node").agg(F.collect_list("anchor").alias("anchors")))
     hits = hits.join(stage.select("node", "id", *LOCATOR), "node")
-    values = hits.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    found = _with_text(rows, hits, values).mapInArrow(frugal(_occurrences(width)), keyed("anchor long, content long, node long, start int, count int", id=kind))
+    found = _with_text(rows, hits).mapInArrow(frugal(_occurrences(width)), keyed("anchor long, content long, node long, start int, count int", id=kind))
     found = cut_lineage(found)
     sample = F.min(F.struct("node", "start", "count")).alias("at")
     contents = cut_lineage(found.groupBy("anchor", "content").agg(F.min("id").alias("first_id"), sample))
@@ -322,11 +335,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     later = whole.where(_later("id", "first_id")).select("node", "start", "count")
     first = whole.where(F.col("id").eqNullSafe(F.col("first_id"))).join(repeats, ["anchor", "content"])
     first = first.select("node", F.explode("offsets").alias("offset"), "start").select("node", (F.col("start") + F.col("offset")).cast("int").alias("start"), F.lit(1).alias("count"))
-    windows = cut_lineage(later.unionByName(first).groupBy("node").agg(F.collect_list(F.struct("start", "count")).alias("windows")))
-    windows = windows.join(stage.select("node", *LOCATOR), "node")
-    values = windows.agg(F.sum(F.size("windows"))).first()[0] or 0
+    windows = later.unionByName(first).groupBy("node").agg(F.collect_list(F.struct("start", "count")).alias("windows"))
     spans = "array<struct<start: long, end: long>>"
-    cut = cut_lineage(_with_text(rows, windows, values).mapInArrow(frugal(_without(width)), f"node long, n_removed long, kept binary, spans {spans}"))
+    gone = cut_lineage(windows.mapInArrow(_covered(width), f"node long, spans {spans}, n_removed long"))
+    # Texts are read again only where some words stay and some go.
+    partly = gone.join(stage.select("node", "n_words", *LOCATOR), "node").where("n_removed < n_words").select("node", "spans", *LOCATOR)
+    few = (gone.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_VALUES
+    left = _with_text(rows, F.broadcast(partly) if few else partly).mapInArrow(frugal(_without), "node long, kept binary")
+    nothing = F.unhex(F.lit(hashlib.sha256().hexdigest()))
+    cut = gone.join(cut_lineage(left), "node", "left").withColumn("kept", F.coalesce("kept", nothing))
     decided = classes.join(cut, "node", "left").drop("node")
     met = stage.drop("anchors", "node").join(decided, "digest")
     copy = _later("id", "first_id") & (F.col("n_words") >= width)
@@ -334,7 +351,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return met.select(
         "id", *LOCATOR, "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.unhex(F.lit(hashlib.sha256().hexdigest()))).otherwise(F.coalesce("kept", "digest")).alias("kept"),
+        F.when(copy, nothing).otherwise(F.coalesce("kept", "digest")).alias("kept"),
         F.when(copy, whole_span).otherwise(F.coalesce("spans", F.array().cast(spans))).alias("spans"),
     )
 
@@ -343,7 +360,7 @@ def _matched(rows: DataFrame, stage: DataFrame, contested: DataFrame, kind, widt
     """(anchor, content, offsets): the windows of contents that smaller identifiers hold."""
     total = contested.count()
     wanted = contested.groupBy("node").agg(F.collect_list(F.struct("anchor", "content", "start", "count")).alias("wanted")).join(stage.select("node", *LOCATOR), "node")
-    texts = _with_text(rows, wanted.drop("node"), total).mapInArrow(frugal(_texts(width)), "anchor long, content long, words string")
+    texts = _with_text(rows, wanted.drop("node")).mapInArrow(frugal(_texts(width)), "anchor long, content long, words string")
     held = cut_lineage(texts.join(contested.select("anchor", "content", "id", "count", "crowd"), ["anchor", "content"]))
     shards = max(1, -(-total // SHARD_ROWS))
     few = held.where(F.col("crowd") <= CROWD).select("anchor", "content", "id", F.lit(0).alias("offset"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
