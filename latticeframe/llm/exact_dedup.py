@@ -94,6 +94,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
     ``located`` gives them, if they are at hand.
     """
     spark = docs.sparkSession
+    resumed = folder is not None
     folder = folder or scratch_path(spark, "dedup")
     log, checkpoint = f"{folder}/log", f"{folder}/state"
     rows = located(docs, key, text) if rows is None else rows
@@ -109,7 +110,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
     # Full bytes of all hits: the smallest and the largest text of a digest must be one. Both combine before the
     # shuffle, so a digest with a third of all rows sends one pair of texts per task.
     hits = groups.where("n > 1").select("digest", *LOCATOR)
-    texts = _contents(spark, rows, hits, log)
+    texts = _contents(_all_rows(spark, rows, arrivals, text) if resumed else rows, hits)
     span = texts.groupBy("digest").agg(F.min("body").alias("_lo"), F.max("body").alias("_hi"))
     mixed = cut_lineage(span.where(F.col("_lo") != F.col("_hi")).select("digest"))
     if mixed.isEmpty():
@@ -120,13 +121,31 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
     regrouped = split.join(chosen, ["digest", "body"]).select(
         "id", *LOCATOR, F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), own.alias("kept"), "digest"
     )
+    # Rows of earlier runs are told apart like the new ones.
     return result.join(mixed, "digest", "left_anti").select(regrouped.columns).unionByName(regrouped)
 
 
-def _contents(spark: SparkSession, rows: DataFrame, hits: DataFrame, log: str) -> DataFrame:
+def _all_rows(spark: SparkSession, rows: DataFrame, arrivals: DataFrame, text: str) -> DataFrame:
+    """(text, file, row) of all rows of the log: those at hand, and the files of earlier runs, which must still be there."""
+    own = rows.select("file").distinct()
+    # As many as there are files of earlier runs.
+    earlier = [r["file"] for r in arrivals.select("file").distinct().join(own, "file", "left_anti").collect()]
+    found = rows.select("text", *LOCATOR)
+    # Files that ``located`` wrote hold the text under that name.
+    for name in {text, "text"}:
+        held = [f for f in earlier if name in spark.read.parquet(f).columns]
+        earlier = [f for f in earlier if f not in set(held)]
+        if held:
+            place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+            found = found.unionByName(spark.read.parquet(*held).select(F.col(name).alias("text"), *place))
+    if earlier:
+        raise FileNotFoundError(f"texts of earlier runs are gone: {earlier[0]}")
+    return found
+
+
+def _contents(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """The normalised texts (body) at the locators of hits."""
-    small = broadcast_if_small(hits, hits.count())
-    return rows.join(small, LOCATOR).select("digest", *LOCATOR, ascii_lower(F.col("text")).alias("body"))
+    return rows.join(broadcast_if_small(hits, hits.count()), LOCATOR).select("digest", *LOCATOR, ascii_lower(F.col("text")).alias("body"))
 
 
 def addressed(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import filled, release, slices, small_batches
+from .text import filled, keyed, release, slices, small_batches
 
 END_ID = 1
 # Words whose ids a task remembers; the memory starts anew beyond it.
@@ -110,7 +110,7 @@ class Encoder:
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece int, start long, length long, ids_crc32 long) of whole texts with the end token."""
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
@@ -137,7 +137,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096)
         del encoder
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, keyed("piece int, start long, length long, ids_crc32 long", doc_id=kind))
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

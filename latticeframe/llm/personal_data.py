@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import frugal, slices, small_batches
+from .text import frugal, keyed, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -260,10 +260,9 @@ def bootstrap(edges: DataFrame, rounds: int | None = None, least_seeds: int = 3,
 
 def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, base, added) of each row of ``docs`` (doc_id, text): arrays of (kind, start, end), code points, end exclusive."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_at"))
-    found = cut_lineage(rows.mapInArrow(frugal(_find), f"doc_id {kind}, _at long, base {BASE_DDL}, items {ITEMS_DDL}"))
+    found = cut_lineage(rows.mapInArrow(frugal(_find), keyed(f"_at long, base {BASE_DDL}, items {ITEMS_DDL}", doc_id=docs.schema["doc_id"].dataType)))
     items = found.select("_at", F.explode("items").alias("i"))
     seed = F.when(~F.col("i.kind").startswith("?"), F.col("i.kind"))
     fits = F.when(F.col("i.kind").startswith("?"), F.substr(F.col("i.kind"), F.lit(2)))
@@ -283,8 +282,8 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
 def ordered_spans(base, added):
     """All spans by start, then kind in the order of ``KINDS``."""
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
-    keyed = F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("r"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.array_sort(keyed)
+    sortable = F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("r"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.array_sort(sortable)
 
 
 def span_text(spans):

@@ -14,6 +14,7 @@ from .manifest import dataset_manifest, hashed_fields
 from .mixing import mix_sources
 from .packing import pack, tokenized_pieces
 from .personal_data import KINDS, find_personal_data, ordered_spans, span_text
+from .repair_sql import repair_sql
 from .repeats import repeated_passages
 from .sharding import shuffle_into_shards
 from .simhash import compare_edited
@@ -33,7 +34,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 5) != 0)
     model = fit_toxicity(docs, labels)
     scored = score_toxicity(docs, model)
-    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted", spans.alias("offending"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,5 +224,8 @@ FROM above a JOIN (SELECT node, level FROM roots WHERE n = 1) r ON a.level = r.l
 """
 
 
+OP13_SQL = repair_sql(crc32_sql)
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_personal_data": op3_personal_data, "op4_suffix_tree": op4_suffix_tree, "op5_wrapper": op5_wrapper, "op6_mixing": op6_mixing, "op7_jaccard_join": op7_jaccard_join, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op11_repeats": op11_repeats, "op12_manifest": op12_manifest, "op13_repair": op13_repair}
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_repeats": OP11_SQL, "op12_manifest": OP12_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_repeats": OP11_SQL, "op12_manifest": OP12_SQL, "op13_repair": OP13_SQL}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import filled, frugal, slices, small_batches, token_codes, unit_hash
+from .text import filled, frugal, keyed, slices, small_batches, token_codes, unit_hash
 
 # A sentence ends with a token that ends so, or with its line.
 ENDS = (".", "!", "?")
@@ -247,8 +247,8 @@ def _scored(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: f
                 columns += [pa.array(score), pa.array(predicted.astype(np.int32)), pa.array(found, _SPANS)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted", "offending"])
 
-    schema = ", ".join(f"{a} {docs.schema[c].dataType.simpleString()}" for c, a in zip(keep, names))
-    return source.mapInArrow(frugal(run), f"{schema}{', ' if schema else ''}score double, predicted int, offending {SPANS}")
+    kinds = {a: docs.schema[c].dataType for c, a in zip(keep, names)}
+    return source.mapInArrow(frugal(run), keyed(f"score double, predicted int, offending {SPANS}", **kinds))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:

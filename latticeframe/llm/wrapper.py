@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,10 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import slices, small_batches
+from .text import keyed, slices, small_batches
 
 TOKEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|[!?/][^>]*>)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# One attribute after another: its name, and its value in quotes or without.
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMING = frozenset(("class", "id", "role"))
+# Elements nested deeper stand beside each other, as in browsers; their texts stay in page order.
+DEEPEST = 512
+# Blocks of text, which no class name takes out of the article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figure figcaption td th tr table tbody".split())
 WORD = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
@@ -88,7 +95,7 @@ def parse(page: str) -> Node:
     """A tree of elements; blocks that HTML closes by itself are closed."""
     root = Node("#page", frozenset())
     stack = [root]
-    at, n = 0, len(page)
+    at, n, below = 0, len(page), 0
 
     def add_text(raw: str):
         if raw and not raw.isspace():
@@ -120,6 +127,9 @@ def parse(page: str) -> Node:
         if not name:
             continue
         name = name.lower()
+        if m[1] and below and name not in INLINE:
+            below -= 1
+            continue
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == name:
@@ -129,8 +139,8 @@ def parse(page: str) -> Node:
         words, names, hidden = frozenset(), frozenset(), False
         if m[3]:
             found = [(a.lower(), b or c or d) for a, b, c, d in ATTRIBUTE.findall(m[3])]
-            words = frozenset(w for a, v in found if a != "hidden" for w in WORD.findall(v.lower()))
-            names = frozenset(w for a, v in found if a != "hidden" for w in v.lower().split())
+            words = frozenset(w for a, v in found if a in NAMING for w in WORD.findall(v.lower()))
+            names = frozenset(w for a, v in found if a in NAMING for w in v.lower().split())
             hidden = any(a == "hidden" for a, _ in found)
         if name not in INLINE and name != "br":
             for k in range(len(stack) - 1, 0, -1):
@@ -158,7 +168,10 @@ def parse(page: str) -> Node:
             close = page.find(">", end.end())
             at = n if close < 0 else close + 1
             continue
-        stack.append(node)
+        if len(stack) < DEEPEST:
+            stack.append(node)
+        elif name not in INLINE:
+            below += 1
     return root
 
 
@@ -229,6 +242,35 @@ def align(reference: Node, page: Node) -> list[tuple[Node, Node]]:
         return sizes[id(x)]
 
     memo: dict[tuple[int, int], tuple[int, list]] = {}
+    texts: dict[int, str] = {}
+
+    def own(x: Node) -> str:
+        if id(x) not in texts:
+            texts[id(x)] = x.own()
+        return texts[id(x)]
+
+    def in_run(p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
+        """Pairs of two runs of like siblings: one by one if they are equally long, else the heaviest matching in order.
+
+        Like siblings often have equal trees, so equal texts count too.
+        """
+        if len(p) == len(q) or min(len(p), len(q)) == 0 or len(p) * len(q) > CELLS:
+            return list(zip(p, q))
+        best = np.zeros((len(p) + 1, len(q) + 1), np.int64)
+        gain = [[2 * match(u, v)[0] + (own(u) == own(v)) for v in q] for u in p]
+        for i in range(len(p)):
+            for j in range(len(q)):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + gain[i][j])
+        out, i, j = [], len(p), len(q)
+        while i and j:
+            if best[i, j] == best[i - 1, j]:
+                i -= 1
+            elif best[i, j] == best[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((p[i], q[j]))
+        return out[::-1]
 
     def match(x: Node, y: Node) -> tuple[int, list]:
         key = (id(x), id(y))
@@ -240,8 +282,8 @@ def align(reference: Node, page: Node) -> list[tuple[Node, Node]]:
                 if [s for s, _ in a] == [s for s, _ in b]:
                     pairs = [(i, i) for i in range(len(a))]
                 else:
-                    pairs = _match_runs(a, b, lambda p, q: sum(match(u, v)[0] for u, v in zip(p, q)))
-                kids = [(u, v) for i, j in pairs for u, v in zip(a[i][1], b[j][1])]
+                    pairs = _match_runs(a, b, lambda p, q: sum(match(u, v)[0] for u, v in in_run(p, q)))
+                kids = [(u, v) for i, j in pairs for u, v in in_run(a[i][1], b[j][1])]
                 memo[key] = (1 + sum(match(u, v)[0] for u, v in kids), kids)
         return memo[key]
 
@@ -260,7 +302,9 @@ def _marked(node: Node) -> bool:
 
 def _other(node: Node, inside: bool) -> bool:
     """Whether a node has a role other than the article's; a header counts only outside of the article."""
-    if node.tag in OTHER_TAGS or node.hidden or (node.tag not in ("body", "html", "article", "main", "#page") and _marked(node)):
+    if node.tag in OTHER_TAGS or node.hidden:
+        return True
+    if node.tag not in ("body", "html", "article", "main", "#page") and not (inside and node.tag in PROSE) and _marked(node):
         return True
     if node.tag == "article" and node.names & {"comment", "comments", "reply", "ad", "related", "promo"}:
         return True
@@ -280,6 +324,15 @@ def _volume(node: Node, template: set[int], inside: bool, memo: dict, inside_lin
     return total, linked
 
 
+def _below(node: Node) -> Iterator[Node]:
+    """All nodes inside a node."""
+    todo = list(node.kids)
+    while todo:
+        node = todo.pop()
+        yield node
+        todo.extend(node.kids)
+
+
 def main_text(root: Node, template: set[int]) -> str:
     """The article's blocks, joined by one space. ``template``: ids of nodes whose own text is the wrapper's."""
     volumes: dict[int, tuple[int, int]] = {}
@@ -301,7 +354,7 @@ def main_text(root: Node, template: set[int]) -> str:
         elif node.tag in ("div", "section", "td") and node.words & MAIN_WORDS:
             named.append(node)
         todo.extend((k, inside or node.tag == "main") for k in node.kids)
-    pick = root
+    picks = [root]
     if not any(volumes[id(x)][0] for x in articles + mains):
         # No article outside of such boxes: the ones inside them count beside named blocks.
         while boxes:
@@ -316,9 +369,15 @@ def main_text(root: Node, template: set[int]) -> str:
     for group in (articles, mains, named):
         full = [x for x in group if volumes[id(x)][0]]
         if full:
-            # The fullest one; of equal ones the first in the page.
-            pick = max(sorted(full, key=lambda x: x.number), key=lambda x: volumes[id(x)][0])
+            # All of them in page order; one inside another comes with it.
+            picks = sorted(full, key=lambda x: x.number)
             break
+    inner: set[int] = set()
+    for x in picks:
+        if id(x) not in inner:
+            inner.update(id(y) for y in _below(x))
+    picks = [x for x in picks if id(x) not in inner]
+    whole_page = picks == [root]
     parts: list[str] = []
 
     def walk(node: Node, inside: bool) -> None:
@@ -338,13 +397,14 @@ def main_text(root: Node, template: set[int]) -> str:
                     parts.append(" " if kid.tag not in INLINE else "")
                     continue
                 total, linked = volumes.get(id(kid), (0, 0))
-                if pick is root and kid.tag in ("ul", "ol", "table", "div", "section") and linked > 0.6 * total and total:
+                if whole_page and kid.tag in ("ul", "ol", "table", "div", "section") and linked > 0.6 * total and total:
                     continue
                 walk(kid, deep)
         if block:
             parts.append(" ")
 
-    walk(pick, pick is not root)
+    for pick in picks:
+        walk(pick, not whole_page)
     return " ".join("".join(parts).split())
 
 
@@ -432,9 +492,8 @@ def induce(pages: DataFrame) -> tuple[DataFrame, int]:
 
 def _each(run):
     def wrapped(batches):
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
+        # Trees are DEEPEST deep at most, with a few calls per level.
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEEPEST))
         for batch in batches:
             yield from run(batch)
 
@@ -445,6 +504,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of ``pages`` (page_id, url, html)."""
     small_batches(pages.sparkSession)
     wrappers, size = induce(pages)
-    kind = pages.schema["page_id"].dataType.simpleString()
+    kind = pages.schema["page_id"].dataType
     joined = _met(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")), wrappers, size)
-    return joined.mapInArrow(_each(_extract), f"page_id {kind}, url string, text string")
+    return joined.mapInArrow(_each(_extract), keyed("url string, text string", page_id=kind))
