@@ -31,7 +31,7 @@ from .structures import structure_text
            case when last.f is null then 'Unknown' when contains(upper(prop), 'TI') then 'Topological Insulator'
                 when contains(upper(prop), 'SM') then 'Semimetal' when contains(upper(prop), 'WEYL') then 'Weyl Semimetal'
                 when contains(upper(prop), 'DIRAC') then 'Dirac Semimetal' else 'Trivial' end as topological_class,
-           case when sg <= 200 then 'SG_' || sg else 'fallback' end as graph_path, 66::int as combined_width
+           case when sg <= 200 then 'SG_' || sg else 'fallback' end as graph_path, 76::int as combined_width
     from r left join last on r.f = last.f join embeddings e on e.vec_id = l_partkey % (select count(*) from embeddings)
     """,
 )
@@ -59,7 +59,7 @@ def record_build(t: Tables):
         jn.candidates_with_group(candidates), catalogue_rows(t), graphs, "ICSD_ID"
     )
     vectors = candidates.select(F.col("material_id").alias("jid"), (F.col("l_partkey") % t.embeddings.agg(F.count("*")).scalar()).alias("vec_id")).join(
-        t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 54).alias("v")), "vec_id"
+        t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id"
     )
     band_rep = candidates.select(F.col("material_id").alias("jid"), F.array(*[F.lit(1.0)] * 4).alias("v"))
     full = records.with_vectors(made, vectors, band_rep).where(F.size("asph_features") > 0)

@@ -177,7 +177,7 @@ def learned_words(t: Tables):
     """,
 )
 def cloud_all(t: Tables):
-    rows = vec.vectorize_long(_points(t), "label", ("statistical", "histogram", "moment", "pool")).where(F.col("value").isNotNull())
+    rows = vec.vectorize_clouds(t.embeddings, "label", "embedding", 64, ("statistical", "histogram", "moment", "pool")).where(F.col("value").isNotNull())
     return rows.groupBy("label", "method").agg(
         F.count_distinct("pos").alias("width"), F.max("pos").alias("last_pos"), F.round(F.sum("value"), 3).alias("total")
     )
@@ -291,7 +291,7 @@ def grown_codes(t: Tables):
     "FV9 FV10 FV11",
     """
     select p_partkey, list_aggregate([v::bigint for v in [0, p_size % 2, 0, p_partkey % 2, p_size % 4, 3, 0]], 'string_agg', ',') as invariants,
-           round(p_retailprice + p_size + 90, 2) as structure_sum, round(0.5 + p_size % 3, 2) as electronic_sum
+           [p_retailprice, 0, 0, 90, 0, 0, 0, p_size, 0]::double[]::varchar[] as structure, [0, 0.5, 0, 0, 0, 0, 0, 0, p_size % 3, 0]::double[]::varchar[] as electronic
     from part
     """,
 )
@@ -301,13 +301,12 @@ def fixed_vector(t: Tables):
     higher = F.create_map(F.lit("Z4"), (size % 4).cast("int"), F.lit("Z4pi"), F.lit(3))
     cell = F.create_map(F.lit("a"), F.col("p_retailprice"), F.lit("alpha"), F.lit(90.0))
     gaps = F.create_map(F.lit("M"), F.lit(0.5))
-    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 2)
     none = F.lit(None).cast("double")
     inv = F.transform(vec.invariant_vector(z2, higher), lambda x: x.cast("long").cast("string"))
     return t.part.select(
         "p_partkey", F.array_join(inv, ",").alias("invariants"),
-        total(vec.structure_vector(cell, none, size, none)).alias("structure_sum"),
-        total(vec.electronic_vector(gaps, none, size % 2 == 5, size % 3, none)).alias("electronic_sum"),
+        vec.structure_vector(cell, none, size, none).cast("array<string>").alias("structure"),
+        vec.electronic_vector(gaps, none, size % 2 == 5, size % 3, none).cast("array<string>").alias("electronic"),
     )
 
 

@@ -100,15 +100,16 @@ def stratified_split(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], buckets: int | None = None
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], buckets: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles per key, exact, without gathering a group.
 
     Distinct values are dealt into ranges of like numbers of them; pass one counts the rows per range, pass two ranks
     only the values of the ranges that hold a wanted rank. One far value or one common value shifts no range.
+    ``weight``: ``df`` holds distinct values, each as often as this column says.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), *([F.col(weight).alias("_n")] if weight else []))
+    rows = rows if weight else rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     placed = range_buckets(rows, [*keys, "_v"], buckets)
     sizes = placed.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
     placed = placed.join(sizes, keys)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..session import cut_lineage
 from .ranking import exact_quantiles
 
 SUMMARY_WIDTH = 128
@@ -192,56 +193,169 @@ def learned_codebook(df: DataFrame, vector: str, key: str, clusters: int = 50, r
 METHODS = ("statistical", "pca", "histogram", "moment", "pool")
 
 
-def vectorize_clouds(df: DataFrame, cloud: str, vector: str, width: int, methods: tuple[str, ...] = METHODS) -> DataFrame:
-    """Chosen methods over the points of each cloud as long rows (cloud, method, pos, value), in each method's own order."""
-    long = long_points(df, cloud, vector, width)
-    return vectorize_long(long, cloud, methods, cloud_pca(df, cloud, vector, width) if "pca" in methods else None)
+# Slots that partial states of a cloud are merged in first.
+MERGE_SLOTS = 32
+
+
+def _state(x: np.ndarray, with_scatter: bool) -> np.ndarray:
+    """Mergeable state of points: (7, width + 1) of number, mean, M2 to M4, least and largest per dimension and overall; scatter."""
+    columns = [*x.T, x.ravel()]
+    out = np.zeros((7, len(columns)))
+    for i, v in enumerate(columns):
+        v = v[~np.isnan(v)]
+        if len(v):
+            d = v - v.mean()
+            out[:, i] = len(v), v.mean(), (d**2).sum(), (d**3).sum(), (d**4).sum(), v.min(), v.max()
+    flat = [out.ravel()]
+    if with_scatter:
+        whole = x[~np.isnan(x).any(1)]
+        mean = whole.mean(0) if len(whole) else np.zeros(x.shape[1])
+        flat += [[len(whole)], mean, ((whole - mean).T @ (whole - mean)).ravel()]
+    return np.concatenate(flat)
+
+
+def _merged(p: np.ndarray, q: np.ndarray, width: int) -> np.ndarray:
+    """The state of two sets of points from theirs."""
+    size = 7 * (width + 1)
+    a, b = p[:size].reshape(7, -1), q[:size].reshape(7, -1)
+    n = a[0] + b[0]
+    safe = np.maximum(n, 1)
+    na, nb, d = a[0], b[0], np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0.0)
+    out = np.zeros_like(a)
+    out[0], out[1] = n, (na * a[1] + nb * b[1]) / safe
+    out[2] = a[2] + b[2] + d**2 * na * nb / safe
+    out[3] = a[3] + b[3] + d**3 * na * nb * (na - nb) / safe**2 + 3 * d * (na * b[2] - nb * a[2]) / safe
+    out[4] = (
+        a[4] + b[4] + d**4 * na * nb * (na**2 - na * nb + nb**2) / safe**3
+        + 6 * d**2 * (na**2 * b[2] + nb**2 * a[2]) / safe**2 + 4 * d * (na * b[3] - nb * a[3]) / safe
+    )
+    out[5] = np.where(na == 0, b[5], np.where(nb == 0, a[5], np.minimum(a[5], b[5])))
+    out[6] = np.where(na == 0, b[6], np.where(nb == 0, a[6], np.maximum(a[6], b[6])))
+    flat = [out.ravel()]
+    if len(p) > size:
+        s, t = p[size:], q[size:]
+        n = max(s[0] + t[0], 1)
+        d = t[1 : width + 1] - s[1 : width + 1]
+        flat += [[s[0] + t[0]], (s[0] * s[1 : width + 1] + t[0] * t[1 : width + 1]) / n, s[width + 1 :] + t[width + 1 :] + np.outer(d, d).ravel() * (s[0] * t[0] / n)]
+    return np.concatenate(flat)
+
+
+def cloud_states(df: DataFrame, cloud: str, vector: str, width: int, scatter: bool = True) -> DataFrame:
+    """(cloud, state) in one scan of the points: each Arrow batch sends one state per cloud, and states are merged in two steps."""
+    point = F.slice(F.col(vector).cast("array<double>"), 1, width)
+    rows = df.where(F.col(vector).isNotNull() & (F.size(vector) >= width)).select(F.col(cloud).alias("cloud"), point.alias("v"))
+    kind = StructField("cloud", df.schema[cloud].dataType)
+    list_type = pa.list_(pa.float64())
 
+    def partial(batches):
+        for k, batch in enumerate(batches):
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            which = codes.indices.to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            made = [_state(x[which == i], scatter) for i in range(len(codes.dictionary))]
+            yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array([k % MERGE_SLOTS] * len(made), pa.int32()), pa.array(made, list_type)], ["cloud", "slot", "state"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        states = [np.array(s) for s in table.column("state").to_pylist()]
+        while len(states) > 1:
+            states = [_merged(*states[i : i + 2], width) if i + 1 < len(states) else states[i] for i in range(0, len(states), 2)]
+        return table.slice(0, 1).set_column(table.column_names.index("state"), "state", pa.array([states[0]], list_type))
+
+    slotted = StructType([kind, *StructType.fromDDL("slot int, state array<double>").fields])
+    parts = rows.mapInArrow(partial, slotted).groupBy("cloud", "slot").applyInArrow(merge, slotted)
+    whole = StructType([kind, *StructType.fromDDL("state array<double>").fields])
+    return parts.select("cloud", "state").groupBy("cloud").applyInArrow(merge, whole).withColumnRenamed("cloud", cloud)
+
+
+def _summaries(states: DataFrame, cloud: str, width: int) -> DataFrame:
+    """Per cloud and dimension (-1 for overall) all that follows from the states."""
+    per = F.transform(
+        F.sequence(F.lit(0), F.lit(width)),
+        lambda i: F.struct(*[F.get("state", i + r * (width + 1)).alias(n) for r, n in enumerate(("n", "mean", "s2", "s3", "s4", "min", "max"))]),
+    )
+    rows = states.select(cloud, F.posexplode(per).alias("dim", "s")).select(cloud, F.when(F.col("dim") == width, OVERALL).otherwise(F.col("dim")).alias("dim"), "s.*")
+    varies = F.col("s2") > 0
+    return rows.where("n > 0").select(
+        cloud, "dim", "n", "mean", "min", "max", F.sqrt(F.col("s2") / F.col("n")).alias("std"),
+        F.when(varies, F.sqrt("n") * F.col("s3") / F.pow("s2", F.lit(1.5))).alias("skew"), F.when(varies, F.col("n") * F.col("s4") / (F.col("s2") * F.col("s2")) - 3).alias("kurtosis"),
+        F.lit(0.0).alias("m1"), *[(F.col(f"s{k}") / F.col("n")).alias(f"m{k}") for k in (2, 3, 4)],
+        F.sqrt(F.col("s2") + F.col("n") * F.col("mean") * F.col("mean")).alias("l2"), (F.col("max") - F.col("min")).alias("range"),
+    )
+
+
+def _binned(counts: DataFrame, spans: DataFrame, cloud: str, bins: int = 10) -> DataFrame:
+    """Equal-width bin densities of counted values (cloud, dim, v, _n), as in ``cloud_histograms``."""
+    flat = F.col("min") == F.col("max")
+    span = spans.select(cloud, "dim", "n", F.when(flat, F.col("min") - 0.5).otherwise(F.col("min")).alias("lo"), F.when(flat, F.col("max") + 0.5).otherwise(F.col("max")).alias("hi"))
+    rows = counts.select(cloud, F.explode(F.array(F.col("dim"), F.lit(OVERALL))).alias("dim"), "v", "_n")
+    placed = rows.join(span.drop("n"), [cloud, "dim"]).withColumn("bin", F.least(F.expr(f"width_bucket(v, lo, hi, {bins})"), F.lit(bins)).cast("int"))
+    found = placed.groupBy(cloud, "dim", "bin").agg(F.sum("_n").alias("_c"))
+    grid = span.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    return grid.join(found, [cloud, "dim", "bin"], "left").select(cloud, "dim", "bin", (F.coalesce("_c", F.lit(0)) / (F.col("n") * width)).alias("density"))
 
-def vectorize_long(long: DataFrame, cloud: str, methods: tuple[str, ...], pca: DataFrame | None = None) -> DataFrame:
-    """As ``vectorize_clouds``, from points in long form; PCA features are given, as they need whole points."""
-    parts = []
-    width = F.col("_width")
-    dims = long.groupBy(cloud).agg((F.max("dim") + 1).alias("_width"))
 
-    def blocks(table: DataFrame, method: str, names: list[str]) -> DataFrame:
-        entries = F.array(*[F.struct((F.lit(i) * width + F.col("dim")).alias("pos"), F.col(n).alias("value")) for i, n in enumerate(names)])
-        rows = table.where(F.col("dim") >= 0).join(dims, cloud).select(cloud, F.explode(entries).alias("e"))
-        return rows.select(cloud, F.lit(method).alias("method"), F.col("e.pos").cast("long").alias("pos"), "e.value")
+def _components(states: DataFrame, cloud: str, width: int, components: int = 10) -> DataFrame:
+    """The features of ``cloud_pca`` from the states."""
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for state in batch.column(1).to_pylist():
+                tail = np.array(state[7 * (width + 1) :])
+                n, k = tail[0], int(min(components, min(tail[0], width) - 1))
+                values = np.clip(np.linalg.eigvalsh(tail[width + 1 :].reshape(width, width))[::-1], 0, None)
+                ratio = values[: max(k, 0)] / values.sum() if values.sum() > 0 else np.zeros(max(k, 0))
+                out.append(None if k <= 0 else np.concatenate([np.zeros(k), np.sqrt(values[:k] / n), ratio]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [batch.schema.names[0], "features"])
+
+    schema = StructType([StructField(cloud, states.schema[cloud].dataType), *StructType.fromDDL("features array<double>").fields])
+    return states.select(cloud, "state").mapInArrow(solve, schema)
 
+
+METHODS = ("statistical", "pca", "histogram", "moment", "pool")
+
+
+def vectorize_clouds(df: DataFrame, cloud: str, vector: str, width: int, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """Chosen methods over the points of each cloud as long rows (cloud, method, pos, value), in each method's own order.
+
+    Points are scanned twice at most: once for the mergeable states that all methods draw from, once for the counted
+    values that medians and histograms need. NULL and shorter vectors are left out.
+    """
+    states = cut_lineage(cloud_states(df, cloud, vector, width, "pca" in methods))
+    table = cut_lineage(_summaries(states, cloud, width))
+    if {"statistical", "pool", "histogram"} & set(methods):
+        kept = df.where(F.size(vector) >= width)
+        counts = cut_lineage(long_points(kept, cloud, vector, width).where(F.col("v").isNotNull()).groupBy(cloud, "dim", "v").agg(F.count(F.lit(1)).alias("_n")))
+    if {"statistical", "pool"} & set(methods):
+        table = cut_lineage(table.join(exact_quantiles(counts, [cloud, "dim"], "v", {"median": 0.5}, weight="_n"), [cloud, "dim"], "left"))
+    single = table.where(F.col("dim") >= 0)
+
+    def rows(source: DataFrame, method: str, places: list[tuple[Column, str]]) -> DataFrame:
+        entries = F.array(*[F.struct(place.cast("long").alias("pos"), F.col(n).alias("value")) for place, n in places])
+        return source.select(cloud, F.lit(method).alias("method"), F.explode(entries).alias("e")).select(cloud, "method", "e.*")
+
+    def blocks(method: str, names: list[str]) -> DataFrame:
+        return rows(single, method, [(F.lit(i * width) + F.col("dim"), n) for i, n in enumerate(names)])
+
+    parts = []
     if "statistical" in methods:
-        stats = cloud_statistics(long, cloud)
-        parts.append(blocks(stats, "statistical", ["mean", "std", "min", "max", "median"]))
-        tail = stats.join(dims, cloud)
         base = width * 5
-        overall = [F.struct((base + i).alias("pos"), F.col(n).alias("value")) for i, n in enumerate(["mean", "std", "min", "max"])]
-        shape = [
-            F.struct((base + 4 + F.col("dim") * 2 + i).alias("pos"), F.col(n).alias("value"))
-            for i, n in enumerate(["skew", "kurtosis"])
-        ]
-        entries = F.when(F.col("dim") == OVERALL, F.array(*overall)).otherwise(F.array(*shape))
-        parts.append(
-            tail.select(cloud, F.explode(entries).alias("e")).select(
-                cloud, F.lit("statistical").alias("method"), F.col("e.pos").cast("long").alias("pos"), "e.value"
-            )
-        )
-    if pca is not None and "pca" in methods:
-        parts.append(pca.select(cloud, F.posexplode("features").alias("pos", "value")).select(
-            cloud, F.lit("pca").alias("method"), F.col("pos").cast("long").alias("pos"), "value"
-        ))
+        parts.append(blocks("statistical", ["mean", "std", "min", "max", "median"]))
+        parts.append(rows(table.where(F.col("dim") == OVERALL), "statistical", [(F.lit(base + i), n) for i, n in enumerate(["mean", "std", "min", "max"])]))
+        parts.append(rows(single, "statistical", [(base + 4 + F.col("dim") * 2 + i, n) for i, n in enumerate(["skew", "kurtosis"])]))
+    if "pca" in methods:
+        found = _components(states, cloud, width).where(F.col("features").isNotNull())
+        found = found.select(cloud, F.lit("pca").alias("method"), F.posexplode("features").alias("pos", "value"))
+        parts.append(found.withColumn("pos", F.col("pos").cast("long")))
     if "histogram" in methods:
-        hist = cloud_histograms(long, cloud).join(dims, cloud)
         slot = F.when(F.col("dim") == OVERALL, width).otherwise(F.col("dim"))
-        parts.append(
-            hist.select(
-                cloud, F.lit("histogram").alias("method"), (slot * 10 + F.col("bin") - 1).cast("long").alias("pos"),
-                F.col("density").alias("value"),
-            )
-        )
+        hist = _binned(counts, table, cloud)
+        parts.append(rows(hist, "histogram", [(slot * 10 + F.col("bin") - 1, "density")]))
     if "moment" in methods:
-        parts.append(blocks(cloud_moments(long, cloud), "moment", ["m1", "m2", "m3", "m4"]))
+        parts.append(blocks("moment", ["m1", "m2", "m3", "m4"]))
     if "pool" in methods:
-        parts.append(blocks(cloud_pooling(long, cloud), "pool", ["mean", "max", "min", "median", "l2", "range"]))
+        parts.append(blocks("pool", ["mean", "max", "min", "median", "l2", "range"]))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -77,32 +77,3 @@ def write_graphs(vertices: DataFrame, edges: DataFrame, meta: DataFrame, path: s
 
 def serializable(records: DataFrame, live: list[str]) -> DataFrame:
     return records.drop(*live)
-
-
-def stored_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder with base name, suffix and size; contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    )
-    base = F.substring_index("path", "/", -1)
-    return files.select(
-        "path", base.alias("name"), F.substring_index(base, ".", -1).alias("suffix"), F.col("length").alias("bytes")
-    )
-
-
-def artefact_index(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files with the group number in their name and their size in MB, sorted."""
-    files = stored_files(spark, path, pattern)
-    number = F.regexp_extract("name", r"(\d+)", 1).try_cast("int")
-    return files.select(number.alias("number"), "name", F.round(F.col("bytes") / (1024 * 1024), 3).alias("size_mb")).orderBy(
-        "number", "name"
-    )
-
-
-def inspect_store(spark: SparkSession, path: str) -> DataFrame:
-    """Files, bytes and first names per suffix."""
-    files = stored_files(spark, path)
-    first = files.groupBy("suffix").agg(
-        F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.min("name").alias("first_name"), F.max("name").alias("last_name")
-    )
-    return first.orderBy("suffix")

@@ -7,6 +7,8 @@ import __spark_entry__ as contract
 
 SF_DIR = "/root/testdata/sf0.001"
 TWINS = contract.oracle_sql()
+# Queries that look for faults which the tables don't have.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(TWINS))
 def test_same_rows_as_sql(spark, con, name):
     result = compare(contract.queries()[name](spark, SF_DIR), con, TWINS[name])
-    assert result is None or result.startswith(("ok", "EMPTY")), result
+    assert result.startswith(("ok", "EMPTY") if name in MAY_BE_EMPTY else "ok"), result
 
 
 @pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(TWINS)))
