@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import formulas
+from ..operators import graphs
 from ..operators import joins as jn
 from ..plans import kspace, records
 from ..session import cut_lineage
@@ -123,10 +124,14 @@ def physics_vectors(t: Tables):
     "poscar_dataset",
     "PL7",
     """
-    with p as (select p_size, min_by(p_retailprice, p_partkey) as band_gap, min(p_partkey) as k from part group by p_size)
-    select o_orderkey as source_id, (o_custkey % 4 + 1) as num_nodes, case when o_custkey % 4 = 0 then 1 else 2 end::bigint as num_elements,
+    with p as (select p_size, min_by(p_retailprice, p_partkey) as band_gap, min(p_partkey) as k from part group by p_size),
+    s as (select o_orderkey, i, 2 * (((o_orderkey + i) % 8) / 8 * (o_custkey % 5 + 2) + ((o_custkey + i) % 4) / 4 * 0.5) as x, 8 * (((o_custkey + i) % 4) / 4) as y, i::double as z
+          from (select *, unnest(generate_series(1, o_custkey % 4 + 1)) as i from orders)),
+    e as (select a.o_orderkey as k, count(*) as m from s a join s b on a.o_orderkey = b.o_orderkey and a.i < b.i
+          where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 5.3 group by a.o_orderkey)
+    select o_orderkey as source_id, e.m as num_edges, (o_custkey % 4 + 1) as num_nodes, case when o_custkey % 4 = 0 then 1 else 2 end::bigint as num_elements,
            p.band_gap, p.k is not null as matched, case when p.k is null then 0.0 else p.band_gap end::double as gap_feature
-    from orders left join p on p.p_size = case when o_custkey % 4 = 0 then 0 else o_custkey % 4 end
+    from orders left join p on p.p_size = case when o_custkey % 4 = 0 then 0 else o_custkey % 4 end left join e on e.k = o_orderkey
     """,
 )
 def poscar_dataset(t: Tables):
@@ -137,9 +142,10 @@ def poscar_dataset(t: Tables):
         formulas.reduced_formula(formulas.element_counts(F.concat(F.lit("Na1Cl"), F.col("p_size").cast("string")))).alias("normalized_formula"),
         F.col("p_retailprice").alias("band_gap"), F.lit(None).cast("double").alias("density"), F.col("p_partkey").alias("ordinal"),
     )
-    # Chain along the sites of a structure stands for its bonds here; graphs by cutoff are checked in periodic_neighbours.
-    edges = sites.where("site_idx > 0").select("source_id", (F.col("site_idx") - 1).alias("src"), F.col("site_idx").alias("dst"))
+    # Bonds join sites at most 5.3 apart inside the cell.
+    placed = sites.select("source_id", "site_idx", *[F.col("cart")[i].alias(c) for i, c in enumerate("xyz")])
+    edges = graphs.near_pairs(placed, ["source_id"], "site_idx", ["x", "y", "z"], 5.3)
     dataset = records.structure_dataset(parsed.select("source_id", "formula"), sites, edges, properties)
     return dataset.select(
-        "source_id", "num_nodes", "num_elements", "band_gap", "matched", F.col("features")[0].alias("gap_feature")
+        "source_id", "num_nodes", "num_edges", "num_elements", "band_gap", "matched", F.col("features")[0].alias("gap_feature")
     )

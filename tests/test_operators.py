@@ -389,13 +389,6 @@ def test_cloud_pca_matches_numpy(spark):
     assert np.allclose(got, np.concatenate([np.zeros(3), np.sqrt(values[:3]), values[:3] / values.sum()]))
 
 
-def test_bag_of_words_shares_sum_to_one(spark):
-    df = spark.createDataFrame([(i % 3, [float(i % 7), float(i % 5)]) for i in range(200)], "c int, v array<double>")
-    rows = vec.bag_of_words(df, "c", "v", clusters=6).collect()
-    for c in range(3):
-        assert sum(r.share for r in rows if r.c == c) == pytest.approx(1.0)
-
-
 def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([("c", [2.0])] * 4, "c string, v array<double>")
     rows = vec.cloud_histograms(vec.long_points(df, "c", "v"), "c").where("dim = 0").collect()
