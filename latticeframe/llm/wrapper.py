@@ -335,6 +335,8 @@ def _below(node: Node) -> Iterator[Node]:
 
 def main_text(root: Node, template: set[int]) -> str:
     """The article's blocks, joined by one space. ``template``: ids of nodes whose own text is the wrapper's."""
+    if root.number < 0:
+        number(root)
     volumes: dict[int, tuple[int, int]] = {}
     _volume(root, template, False, volumes)
     articles, mains, named, boxes = [], [], [], []
