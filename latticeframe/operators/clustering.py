@@ -380,7 +380,8 @@ def bar_lengths(points: DataFrame, cloud: str, coords: list[str], reach: float =
     The bars' lengths are those of the minimum spanning tree. Its edges are found by length: pairs within a radius that
     follows from the cloud's density, then within a ``GROWTH`` times larger one among what is still apart. One path for clouds of any size.
     """
-    distinct = points.select(cloud, *[F.col(c).cast("double").alias(c) for c in coords]).distinct()
+    name, cloud = cloud, "_cloud"
+    distinct = points.select(F.col(name).alias(cloud), *[F.col(c).cast("double").alias(c) for c in coords]).distinct()
     positions = cut_lineage(distinct.withColumn("pid", F.monotonically_increasing_id()))
     extent = F.greatest(*[F.max(c) - F.min(c) for c in coords]) if len(coords) > 1 else F.max(coords[0]) - F.min(coords[0])
     sizes = cut_lineage(positions.groupBy(cloud).agg(F.count(F.lit(1)).alias("n"), extent.alias("_extent")))
@@ -398,7 +399,8 @@ def bar_lengths(points: DataFrame, cloud: str, coords: list[str], reach: float =
         apart = cut_lineage(apart.select(cloud, F.least(F.lit(reach), F.col("_was") * GROWTH).alias("_r")))
         if apart.isEmpty():
             none = sizes.where("false").select(cloud, F.lit(0.0).alias("w"))
-            return (none if bars is None else bars).select(cloud, F.col("w").alias("length")), sizes.select(cloud, "n")
+            bars = none if bars is None else bars
+            return bars.select(F.col(cloud).alias(name), F.col("w").alias("length")), sizes.select(F.col(cloud).alias(name), "n")
         state = cut_lineage(state.drop("_r").join(apart, cloud))
 
 
@@ -409,18 +411,22 @@ def component_curves(points: DataFrame, cloud: str, coords: list[str], bins: int
     ``reach`` counts as that long, and the one that never ends is left out. A cloud of one position has entropy 0.
     """
     step = reach / (bins - 1)
-    lengths, sizes = bar_lengths(points, cloud, coords, reach)
-    ends = lengths.select(cloud, F.ceil(F.col("length") / F.lit(step)).cast("int").alias("bin"), F.col("length"))
-    per = ends.groupBy(cloud, "bin").agg(F.count(F.lit(1)).alias("m"), F.sum("length").alias("s"), F.sum(F.col("length") * F.log2("length")).alias("sl"))
-    every = per.groupBy(cloud).agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("sl").alias("sl"), F.map_from_entries(F.collect_list(F.struct("bin", "m"))).alias("ended"))
-    met = sizes.join(every, cloud, "left")
-    left = F.col("n") - 1 - F.coalesce("m", F.lit(0))
-    total = F.coalesce("s", F.lit(0.0)) + left * reach
-    logs = F.coalesce("sl", F.lit(0.0)) + left * (reach * math.log2(reach))
+    lengths, sizes = (df.withColumnRenamed(cloud, "_cloud") for df in bar_lengths(points, cloud, coords, reach))
+    length = F.col("length")
+    per = lengths.groupBy("_cloud", F.ceil(length / F.lit(step)).cast("int").alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_m"), F.sum(length).alias("_s"), F.sum(length * F.log2(length)).alias("_logs")
+    )
+    ended = F.map_from_entries(F.collect_list(F.struct("_bin", "_m"))).alias("_ended")
+    every = per.groupBy("_cloud").agg(F.sum("_m").alias("_all"), F.sum("_s").alias("_sum"), F.sum("_logs").alias("_logs"), ended)
+    met = sizes.join(every, "_cloud", "left")
+    left = F.col("n") - 1 - F.coalesce("_all", F.lit(0))
+    total = F.coalesce("_sum", F.lit(0.0)) + left * reach
+    logs = F.coalesce("_logs", F.lit(0.0)) + left * (reach * math.log2(reach))
     entropy = F.when(total > 0, F.greatest(F.log2(total) - logs / total, F.lit(0.0))).otherwise(0.0)
-    gone = F.aggregate(F.sequence(F.lit(0), F.col("bin")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("ended", i), F.lit(0)))
-    out = met.select(cloud, "n", "ended", entropy.alias("entropy"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return out.select(cloud, "bin", (F.col("bin") * F.lit(step)).alias("threshold"), (F.col("n") - F.when(F.col("ended").isNull(), 0).otherwise(gone)).alias("components"), "entropy")
+    gone = F.aggregate(F.sequence(F.lit(0), F.col("bin")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("_ended", i), F.lit(0)))
+    out = met.select("_cloud", "n", "_ended", entropy.alias("entropy"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    components = F.col("n") - F.when(F.col("_ended").isNull(), 0).otherwise(gone)
+    return out.select(F.col("_cloud").alias(cloud), "bin", (F.col("bin") * F.lit(step)).alias("threshold"), components.alias("components"), "entropy")
 
 
 def projected(df: DataFrame, key: str, vector: str, rounds: int = 200) -> DataFrame:
