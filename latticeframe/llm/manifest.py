@@ -11,7 +11,7 @@ a tree of n leaves takes log(n) / log(3 ** LEVELS) tiers. Leaves meet the path o
 
 Defined results: NULL fields count as ``-``, a NULL group is one group before all others; leaves of equal keys stand in the order
 of their digests, NULL keys first; equal rows are leaves of their own; one leaf alone is its subroot and one subroot alone the root, with the
-proof of no siblings; a NULL ``changed`` digest means an untouched row; an empty table gives no rows; other columns play no part.
+proof of no siblings; a NULL ``changed`` digest means an untouched row, whose leaf is folded; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -139,26 +139,23 @@ def _sorted(table: pa.Table) -> pa.Table:
 
 
 def _prove(table: pa.Table) -> pa.Table:
-    """Leaves to their block's node: the running proof, the changed leaf folded, the node itself."""
+    """Leaves to their block's node: the running proof, the leaf as found folded, the node itself."""
     table = _sorted(table)
     m = table.num_rows
     at, proof, parts = np.arange(m), fresh(m), np.zeros(m, np.int64)
-    changed = np.flatnonzero(np.asarray(table.column("changed").is_valid()))
-    value = to_words([v for v in table.column("changed").to_pylist() if v is not None])
+    # The nodes on the leaves' paths as the found leaves make them; no node's own digest is taken for one.
+    value = to_words(table.column("changed").to_pylist())
     top = to_words(table.column("digest").to_pylist())
     for level in _levels(table):
-        value = level.refold(at[changed], value)
+        value = level.refold(at, value)
         for _, on, digests in level.siblings(at):
             proof = resume(proof, digests, on)
             parts += on
         at, top = level.parent[at], level.above
-    folded: list[bytes | None] = [None] * m
-    for i, v in zip(changed, to_bytes(value)):
-        folded[i] = v
     columns = {c: table.column(c) for c in ("key", "grp", "idx", "n", "digest")}
     columns["idx"] = pa.array(table.column("idx").to_numpy() // BLOCK)
     columns["n"] = pa.array(-(-table.column("n").to_numpy() // BLOCK))
-    columns |= {"top": pa.array(to_bytes(top[:, at]), pa.binary()), "folded": pa.array(folded, pa.binary())}
+    columns |= {"top": pa.array(to_bytes(top[:, at]), pa.binary()), "folded": pa.array(to_bytes(value), pa.binary())}
     return pa.table(columns | {"proof": pa.array(to_bytes(proof), pa.binary()), "parts": pa.array(parts)})
 
 
@@ -204,8 +201,7 @@ def _finish(batches):
         for i, s in enumerate(steps):
             path[i, : len(s)] = np.frombuffer(s, np.uint8)
         proof, parts = to_words(batch.column("proof").to_pylist()), batch.column("parts").to_numpy().copy()
-        changed = np.flatnonzero(np.asarray(batch.column("folded").is_valid()))
-        value = to_words([v for v in batch.column("folded").to_pylist() if v is not None])
+        value = to_words(batch.column("folded").to_pylist())
         for level in range(int(depth.max(initial=0))):
             step = path[:, level * STEP : (level + 1) * STEP]
             slot, count = step[:, 0].astype(np.int64), step[:, 1].astype(np.int64)
@@ -214,31 +210,27 @@ def _finish(batches):
                 on = (depth > level) & (count > part + 1)
                 proof = resume(proof, words[1 + part][:, on], on)
                 parts += on
-            state = words[0][:, changed]
-            state = compress(state, hex_block(value)) if len(changed) else state
+            state = compress(words[0], hex_block(value)) if m else words[0]
             for part in (0, 1):
-                on = (count[changed] > part + 1) & (slot[changed] <= part)
-                state = resume(state, words[1 + part][:, changed[on]], on)
-            value = np.where(depth[changed] > level, finish(state, count[changed]), value)
-        folded = batch.column("root").to_pylist()
-        for i, v in zip(changed, to_bytes(value)):
-            folded[i] = v
-        done = {"proof": pa.array(to_bytes(finish(proof, parts)), pa.binary()), "folded": pa.array(folded, pa.binary())}
+                on = (count > part + 1) & (slot <= part)
+                state = resume(state, words[1 + part][:, on], on)
+            value = np.where(depth > level, finish(state, count), value)
+        done = {"proof": pa.array(to_bytes(finish(proof, parts)), pa.binary()), "folded": pa.array(to_bytes(value), pa.binary())}
         yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("key", "digest", "subroot", "root")} | done)
 
 
 def dataset_manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", leaf: Column | None = None, changed: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: key, leaf, subroot, root, proof_sha256, folded_root (lowercase hex), verified boolean.
 
-    ``leaf``: the hex digest of a row; ``changed``: that of the row as it is found later (NULL or equal: untouched), which is
-    folded along the retained states; ``verified`` tells whether the root came out.
+    ``leaf``: the hex digest of a row; ``changed``: that of the row as it is found later (NULL: untouched, the leaf itself). Every
+    row's digest is folded along the retained states, an untouched one's too; ``verified`` tells whether the root came out.
     """
     leaf = hashed_fields(*[F.col(f"`{c}`") for c in docs.columns]) if leaf is None else leaf
     changed = F.lit(None).cast("string") if changed is None else changed
     grp = F.coalesce(F.concat(F.lit("s"), F.col(group).cast("string")), F.lit("n"))
     rows = docs.select(F.col(key).alias("key"), grp.alias("grp"), leaf.alias("_l"), changed.alias("_c"))
-    digest = F.unhex("_l").alias("digest")
-    rows = rows.select("key", "grp", digest, F.when(F.col("_l") != F.col("_c"), F.unhex("_c")).alias("changed"), F.monotonically_increasing_id().alias("uid"))
+    found = F.unhex(F.coalesce("_c", "_l"))
+    rows = rows.select("key", "grp", F.unhex("_l").alias("digest"), found.alias("changed"), F.monotonically_increasing_id().alias("uid"))
     leaves = _numbered(cut_lineage(rows), ["key", "digest", "uid"])
     kind = docs.schema[key].dataType
     total = docs.count()
