@@ -6,6 +6,7 @@ from check import compare, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from latticeframe.operators import joins as jn
 from latticeframe.operators import vectors as vec
 
 
@@ -24,3 +25,17 @@ def test_components_of_clouds_of_full_rank(spark, con):
     assert np.allclose(row.features[4:8], np.sqrt(values[:4])) and np.allclose(row.features[8:], values[:4] / values.sum())
     result = compare(contract.queries()["cloud_pca"](spark, "/root/testdata/sf0.1"), con, contract.oracle_sql()["cloud_pca"])
     assert result.startswith("ok"), result
+
+
+def test_index_of_file_names_is_not_broadcast(spark):
+    """The index has some thirty rows a name; a plan that takes it for as small as the names sends it to every task."""
+    rows = [(f"JVASP-{i}", f"Na{i % 7}Cl") for i in range(300)]
+    materials = spark.createDataFrame(rows, "material_id string, formula string")
+    names = [(f"{'sub/' if i % 3 else ''}{m}_POSCAR", f"{m}_POSCAR", int(i % 3 > 0)) for i, (m, _) in enumerate(rows)]
+    # Two paths of one name: the flat one wins, then the first.
+    names += [("b/x_Na1Cl_POSCAR", "x_Na1Cl_POSCAR", 1), ("x_Na1Cl_POSCAR", "x_Na1Cl_POSCAR", 0), ("a/POSCAR_JVASP-7", "POSCAR_JVASP-7", 1)]
+    got = jn.ranked_file_match(materials, spark.createDataFrame(names, "path string, base string, depth int"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [gram" in plan, plan
+    best = {r.material_id: (r.path, r.pattern_rank) for r in got.collect()}
+    assert len(best) == 300 and best["JVASP-295"] == ("x_Na1Cl_POSCAR", 2) and best["JVASP-0"] == ("JVASP-0_POSCAR", 0)
