@@ -6,7 +6,9 @@ from check import compare, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from latticeframe.catalog.similarity import PART_SPEC
 from latticeframe.operators import joins as jn
+from latticeframe.operators import similarity as sim
 from latticeframe.operators import vectors as vec
 
 
@@ -39,3 +41,32 @@ def test_index_of_file_names_is_not_broadcast(spark):
     assert "SortMergeJoin [gram" in plan, plan
     best = {r.material_id: (r.path, r.pattern_rank) for r in got.collect()}
     assert len(best) == 300 and best["JVASP-295"] == ("x_Na1Cl_POSCAR", 2) and best["JVASP-0"] == ("JVASP-0_POSCAR", 0)
+
+
+def test_pairs_meet_by_combinations_of_keys(spark, con):
+    """Two of brand, size and type agree in any pair at the threshold: half the pairs that meet are similar, not one in ten."""
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    meetings = sim.topological_meetings(part, PART_SPEC, 0.7)
+    met = sim.meeting_pairs(part, meetings, 0.7).select(F.col("_query.p_partkey").alias("q"), "p_partkey").where("q <> p_partkey")
+    similar = sim.analogue_pairs(part, "p_partkey", PART_SPEC).count()
+    n = met.count()
+    assert n == met.distinct().count() and similar <= n < 4 * similar
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9, 1.0])
+def test_pairs_with_missing_values(spark, threshold):
+    """Pairs as brute force finds them, whatever is missing."""
+    rng = np.random.default_rng(5)
+    pick = lambda values: None if rng.random() < 0.15 else values[rng.integers(len(values))]
+    rows = [(i, pick("abc"), pick([1, 2, 3, 7]), pick([0.0, 1.0, 1.2, 5.0]), pick(["x", "y", ""]), pick("pq")) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, brand string, size int, gap double, kind string, sub string")
+    spec = sim.SimilaritySpec(discrete={"brand": 0.5, "size": 0.9}, graded=("size",), gap="gap", kind="kind", subkind="sub")
+    other = df.select(F.struct(*df.columns).alias("_query"))
+    every = df.crossJoin(other).where("k <> _query.k").withColumn("s", sim.topological_score(spec)).where(F.col("s") >= threshold)
+    want = sorted(map(tuple, every.select("_query.k", "k", F.round("s", 3)).collect()))
+    try:
+        got = sorted(map(tuple, sim.analogue_pairs(df, "k", spec, threshold).collect()))
+    except ValueError:
+        assert threshold < 0.7
+        return
+    assert got == want and len(want) > 20
