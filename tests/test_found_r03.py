@@ -10,6 +10,7 @@ from latticeframe.catalog.similarity import PART_SPEC
 from latticeframe.operators import joins as jn
 from latticeframe.operators import similarity as sim
 from latticeframe.operators import vectors as vec
+from latticeframe.sources import poscar
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +71,28 @@ def test_pairs_with_missing_values(spark, threshold):
         assert threshold < 0.7
         return
     assert got == want and len(want) > 20
+
+
+def test_long_files_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Structures that span blocks, blocks without a start and lines that look like counts: the chain over blocks finds what one pass finds."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for f in range(3):
+        text = ""
+        for i in range(60):
+            n = int(rng.integers(1, 40))
+            # Sites of whole numbers look like counts of sites.
+            sites = "".join(f"{rng.integers(3)} {rng.integers(3)} {rng.integers(3)}\n" for _ in range(n))
+            text += f"s {i}\n1.0\n1 0 0\n0 1 0\n0 0 1\nNa\n{n}\n" + ("Selective\n" if i % 3 == 0 else "") + "Direct\n" + sites + ("\n" if i % 5 == 0 else "")
+        (tmp_path / f"f{f}.txt").write_text(text)
+        rows.append((f, text))
+    want = poscar.split_structures(spark.createDataFrame(rows, "f long, value string")).select("f", "structure_idx", "comment", "natoms", F.size("positions"))
+    for bits in (4, 16):
+        shuffled, rounds = [], poscar._reachable
+        monkeypatch.setattr(poscar, "_reachable", lambda jumps, files: shuffled.append(jumps.count()) or rounds(jumps, files))
+        got = poscar.read_structures(spark, str(tmp_path), bits).withColumn("f", F.regexp_extract("file", r"f(\d)\.txt", 1).cast("long"))
+        got = sorted(map(tuple, got.select("f", "structure_idx", "comment", "natoms", F.size("positions")).collect()))
+        assert got == sorted(map(tuple, want.collect())) and len(got) == 180
+        monkeypatch.setattr(poscar, "_reachable", rounds)
+    # One block a file: nothing but its first line is doubled.
+    assert shuffled[-1] <= 6
