@@ -30,14 +30,17 @@ def test_components_of_clouds_of_full_rank(spark, con):
     assert result.startswith("ok"), result
 
 
-def test_index_of_file_names_is_not_broadcast(spark):
+def test_index_of_file_names_is_not_broadcast(spark, tmp_path):
     """The index has some thirty rows a name; a plan that takes it for as small as the names sends it to every task."""
     rows = [(f"JVASP-{i}", f"Na{i % 7}Cl") for i in range(300)]
     materials = spark.createDataFrame(rows, "material_id string, formula string")
     names = [(f"{'sub/' if i % 3 else ''}{m}_POSCAR", f"{m}_POSCAR", int(i % 3 > 0)) for i, (m, _) in enumerate(rows)]
     # Two paths of one name: the flat one wins, then the first.
     names += [("b/x_Na1Cl_POSCAR", "x_Na1Cl_POSCAR", 1), ("x_Na1Cl_POSCAR", "x_Na1Cl_POSCAR", 0), ("a/POSCAR_JVASP-7", "POSCAR_JVASP-7", 1)]
-    got = jn.ranked_file_match(materials, spark.createDataFrame(names, "path string, base string, depth int"))
+    # Sizes are known of files only.
+    materials.write.parquet(f"{tmp_path}/m")
+    spark.createDataFrame(names, "path string, base string, depth int").write.parquet(f"{tmp_path}/f")
+    got = jn.ranked_file_match(spark.read.parquet(f"{tmp_path}/m"), spark.read.parquet(f"{tmp_path}/f"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [gram" in plan, plan
     best = {r.material_id: (r.path, r.pattern_rank) for r in got.collect()}
