@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from latticeframe.catalog.similarity import PART_SPEC
+from latticeframe.functions import formulas
+from latticeframe.operators import graphs as gr
 from latticeframe.operators import joins as jn
 from latticeframe.operators import similarity as sim
 from latticeframe.operators import vectors as vec
@@ -99,3 +101,30 @@ def test_long_files_in_small_blocks(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(poscar, "_reachable", rounds)
     # One block a file: nothing but its first line is doubled.
     assert shuffled[-1] <= 6
+
+
+def test_small_structures_are_paired_in_their_rows(spark, monkeypatch):
+    """Same pairs as through cells, with piles of copies and one group that is too large for a row."""
+    rng = np.random.default_rng(4)
+    rows = [(g, [[float(v) for v in rng.integers(0, 4, 3)] for _ in range(n)]) for g, n in enumerate([0, 1, 2, 5, 9, 30, 64, 65, 200])]
+    df = spark.createDataFrame(rows, "g long, places array<array<double>>").localCheckpoint()
+    points = df.select("g", F.posexplode("places").alias("id", "p")).select("g", "id", *[F.col("p")[i].alias(c) for i, c in enumerate("xyz")])
+    want = gr.near_pairs(points, ["g"], "id", ["x", "y", "z"], 1.5)
+    got = gr.near_pairs_in_rows(df, ["g"], "places", 1.5)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 500
+    # Groups of over 64 positions alone are spread over cells.
+    cells = []
+    whole_way = gr.near_pairs
+    monkeypatch.setattr(gr, "near_pairs", lambda points, *rest: cells.extend(r.g for r in points.select("g").distinct().collect()) or whole_way(points, *rest))
+    gr.near_pairs_in_rows(df, ["g"], "places", 1.5)
+    assert sorted(cells) == [7, 8]
+
+
+def test_formula_parts_are_bound_once(spark):
+    """Pairs and divisor stand once in the expression, not once for each element's text."""
+    text = formulas.reduced_formula(formulas.element_counts("f"))
+    plan = spark.createDataFrame([("Na12Cl8O4",)], "f string").select(text.alias("t"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+    rows = [("Na12Cl8O4",), ("Fe89Fe55O34",), ("X",), ("",), (None,), ("H1836311903He1134903170",), ("H0O6",)]
+    got = [r.t for r in spark.createDataFrame(rows, "f string").select("f", text.alias("t")).collect()]
+    assert got == ["Cl2Na3O", "Fe72O17", "X", "", "", "H1836311903He1134903170", "H0O"]
