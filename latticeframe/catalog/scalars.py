@@ -96,7 +96,8 @@ def weighted_tokens(t: Tables):
     """,
 )
 def norm_tokens(t: Tables):
-    return t.part.select("p_partkey", formulas.reduced_formula(formulas.element_counts(_formula())).alias("formula"))
+    rows = t.spread("part", "p_partkey", "p_size")
+    return rows.select("p_partkey", formulas.reduced_formula(formulas.element_counts(_formula())).alias("formula"))
 
 
 def _formula():
