@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from latticeframe.catalog.similarity import PART_SPEC
-from latticeframe.functions import formulas
+from latticeframe.functions import formulas, html
 from latticeframe.operators import graphs as gr
 from latticeframe.operators import joins as jn
 from latticeframe.operators import similarity as sim
@@ -128,3 +128,39 @@ def test_formula_parts_are_bound_once(spark):
     rows = [("Na12Cl8O4",), ("Fe89Fe55O34",), ("X",), ("",), (None,), ("H1836311903He1134903170",), ("H0O6",)]
     got = [r.t for r in spark.createDataFrame(rows, "f string").select("f", text.alias("t")).collect()]
     assert got == ["Cl2Na3O", "Fe72O17", "X", "", "", "H1836311903He1134903170", "H0O"]
+
+
+def test_large_cells_and_small_ones_have_the_same_neighbours(spark, monkeypatch):
+    """Structures of few sites are compared in full, in as many tasks as asked for; others give the same through cells."""
+    rng = np.random.default_rng(8)
+    rows = [(g, i, [[3.0 + g, 0.5, 0.0], [0.0, 4.0, 0.3], [0.2, 0.0, 5.0]], [float(v) for v in rng.uniform(0, 4, 3)]) for g, n in enumerate([1, 2, 3, 64, 70]) for i in range(n)]
+    sites = spark.createDataFrame(rows, "g long, site_idx int, lattice array<array<double>>, cart array<double>").localCheckpoint()
+    for image_distance in (True, False):
+        run = lambda: gr.periodic_neighbours(sites, ["g"], 2.5, image_distance)  # noqa: E731, B023
+        monkeypatch.setattr(gr, "ROW_PLACES", 64)
+        plan = run()._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+        got = sorted(map(tuple, run().collect()))
+        monkeypatch.setattr(gr, "ROW_PLACES", 1)
+        assert got == sorted(map(tuple, run().collect())) and {2, 3, 4} <= {r[0] for r in got}
+    by_hand = set()
+    for g, i, lattice, a in rows:
+        for h, j, _, b in rows:
+            if g == h == 2:
+                for n in np.ndindex(9, 9, 9):
+                    n = np.array(n) - 4
+                    d = np.linalg.norm(np.array(b) + n @ np.array(lattice) - np.array(a))
+                    if 1e-8 < d <= 2.5:
+                        by_hand.add((i, j, *n.tolist()))
+    assert {(r[1], r[2], *r[3]) for r in got if r[0] == 2} == by_hand
+
+
+def test_pages_are_read_into_flat_columns(spark):
+    """Comments, scripts, open tags and stray characters; and no nested object per cell on the way to Arrow."""
+    page = "a<!-- <td> --><TABLE x='1'><tr><td>1<b>2</b><A HREF='u'>l</a><Script>if (a<b) {}</SCRIPT><td><form>&amp;&nbsp;<table><tr><td>in</table></tr><tr></table>t < u <i"
+    got = html.read_pages(spark.createDataFrame([(1, page), (2, None), (3, "")], "k int, html string"), "k", parts="tables links texts").orderBy("k").collect()
+    tables = [(t.attributes, [[tuple(c) for c in r] for r in t.rows]) for t in got[0].tables]
+    assert tables == [(" x='1'", [[("12l", False, "u"), ("& in", True, None)]]), ("", [[("in", False, None)]])]
+    assert [tuple(x) for x in got[0].links] == [("l", False, "u")] and got[0].texts == ["a", "1", "2", "l", "&", "in", "t < u <i"]
+    assert got[1].tables is None and got[2].tables == [] and got[2].texts == []
+    assert isinstance(html.read_page(page)["links"][0], tuple)
