@@ -10,16 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labels
+from .arrays import let
 
 WYCKOFF, BANDREP, DECOMPOSABLE = "Wyckoff pos.", "Band-Rep.", "Decomposable"
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def _words(c: Column) -> Column:
-    return F.filter(F.split(_trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.filter(labels.words(F.coalesce(c, F.lit(""))), lambda w: w != "")
 
 
 def _joined(text: Column) -> Column:
@@ -28,7 +25,7 @@ def _joined(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, r"\r?\n"), lambda s: _trim(s) != "")
+    return F.filter(F.split(text, r"\r?\n"), lambda s: labels.trimmed(s) != "")
 
 
 def _first(flags: Column) -> Column:
@@ -100,7 +97,7 @@ K_START = r"(?i)[A-ZΓ]+:\s*\([^)]+\)"
 
 def parse_layout_b(df: DataFrame, text: str) -> DataFrame:
     """Headings anywhere in the text; k rows look like ``K:(x,y,z) cells``; notes are picked by their word count."""
-    whole_text = _joined(_trim(F.col(text)))
+    whole_text = _joined(labels.trimmed(F.col(text)))
     located = df.withColumn("_t", whole_text).withColumn(
         "_k", F.regexp_instr(F.col("_t"), F.lit(f"({K_START})"))
     )
@@ -121,7 +118,7 @@ def parse_layout_b(df: DataFrame, text: str) -> DataFrame:
     lone = (F.size(last) == 1) & F.lower(last[0]).isin("decomposable", "indecomposable")
     notes = F.coalesce(fitting, F.when(~lone, last), F.array().cast("array<string>"))
     start = r"^([A-ZΓ]+):\s*\([^)]+\)\s*"
-    rows = F.filter(F.transform(F.split("_after", "\n"), _trim), lambda s: s.rlike(start))
+    rows = F.filter(F.transform(F.split("_after", "\n"), labels.trimmed), lambda s: s.rlike(start))
     krow = lambda s: F.struct(
         F.regexp_extract(s, start, 1).alias("label"), labels.kpoint_cells(F.regexp_replace(s, start, "")).alias("cells")
     )
@@ -136,21 +133,25 @@ def parse_layout_b(df: DataFrame, text: str) -> DataFrame:
 def parse_layout_c(df: DataFrame, text: str) -> DataFrame:
     """A heading starts its own line and its content runs until the next heading or k row ``K: cells``."""
     k_line = r"^[A-ZΓ]+:"
-    lines = df.withColumn("_l", F.transform(_lines(F.col(text)), _trim))
+    lines = df.withColumn("_l", F.transform(_lines(F.col(text)), labels.trimmed))
     is_heading = lambda s: s.rlike(r"^(Wyckoff pos\.|Band-Rep\.|Decomposable)")
 
+    ends = lambda s: is_heading(s) | s.rlike(k_line)
+    # Whether a line ends a section and its place, told once per line.
+    lines = lines.withColumn("_ends", F.filter(F.transform("_l", lambda s, i: F.when(ends(s), i + 1)), lambda i: i.isNotNull()))
+
     def section(header: str) -> Column:
-        start = _first(F.transform("_l", lambda s: F.startswith(s, F.lit(header))))
-        rest = F.slice("_l", start + 1, F.size("_l"))
-        length = _first(F.transform(rest, lambda s: is_heading(s) | s.rlike(k_line)))
-        body = F.slice(rest, 1, F.when(length > 0, length - 1).otherwise(F.size(rest)))
-        first = F.expr(f"substring(get(_l, array_position(transform(_l, s -> startswith(s, '{header}')), true)::int - 1), {len(header) + 1})")
-        return F.when(start > 0, _words(F.concat_ws(" ", first, F.array_join(body, " ")))).otherwise(
-            F.array().cast("array<string>")
-        )
+        starts = F.filter("_ends", lambda i: F.startswith(F.get("_l", i - 1), F.lit(header)))
+
+        def content(start: Column) -> Column:
+            end = F.coalesce(F.get(F.filter("_ends", lambda i: i > start), F.lit(0)), F.size("_l") + 1)
+            first = F.substr(F.get("_l", start - 1), F.lit(len(header) + 1))
+            return _words(F.concat_ws(" ", first, F.array_join(F.slice("_l", start + 1, end - start - 1), " ")))
+
+        return F.coalesce(let(F.get(starts, F.lit(0)), lambda i: F.when(i.isNotNull(), content(i))), F.array().cast("array<string>"))
 
     krow = lambda s: F.struct(
-        _trim(F.substring_index(s, ":", 1)).alias("label"),
+        labels.trimmed(F.substring_index(s, ":", 1)).alias("label"),
         labels.kpoint_cells(F.regexp_replace(s, r"^[^:]*:\s*", "")).alias("cells"),
     )
     parsed = lines.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from latticeframe.catalog.similarity import PART_SPEC
-from latticeframe.functions import formulas, html
+from latticeframe.functions import formulas, html, sections
 from latticeframe.operators import graphs as gr
 from latticeframe.operators import joins as jn
 from latticeframe.operators import similarity as sim
@@ -155,6 +155,22 @@ def test_large_cells_and_small_ones_have_the_same_neighbours(spark, monkeypatch)
     assert {(r[1], r[2], *r[3]) for r in got if r[0] == 2} == by_hand
 
 
+def test_lines_of_a_section_text_are_told_once(spark):
+    """Every line is held against the headings once, not again for each section and each use of its length."""
+    plan = contract.queries()["sections_c"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"^(Wyckoff pos\.|Band-Rep\.|Decomposable)") == 1
+    text = "t\n Wyckoff pos.a\nWyckoff pos. z\nBand-Rep.\nA\n B \n GM: 1(1) 2(1)\nDecomposable x\n\n y\nX: -\n tail"
+    got = sections.parse_layout_c(spark.createDataFrame([(text,), ("",), (None,), ("Band-Rep. q",)], "v string"), "v").collect()
+    assert [(r.wyckoff, r.orbitals, r.notes) for r in got] == [(["a"], ["A", "B"], ["x", "y"]), ([], [], []), ([], [], []), ([], ["q"], [])]
+
+
+@pytest.mark.parametrize("name", ["band_table_text", "transition_rows"])
+def test_detail_texts_are_parsed_once(spark, name):
+    """No filter inferred for the rows to come repeats the parse below it."""
+    plan = contract.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_extract" in line]
+
+
 def test_pages_are_read_into_flat_columns(spark):
     """Comments, scripts, open tags and stray characters; and no nested object per cell on the way to Arrow."""
     page = "a<!-- <td> --><TABLE x='1'><tr><td>1<b>2</b><A HREF='u'>l</a><Script>if (a<b) {}</SCRIPT><td><form>&amp;&nbsp;<table><tr><td>in</table></tr><tr></table>t < u <i"
