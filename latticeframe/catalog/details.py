@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import detail
+from ..functions.arrays import whole
 from ..operators import ranking
 from .registry import Tables, query
 
@@ -117,8 +118,8 @@ def page_attributes(t: Tables):
     """,
 )
 def band_table_text(t: Tables):
-    groups = _parsed(t).select("material_id", F.explode("band_groups").alias("g"))
-    reps = groups.select("material_id", "g.num_bands", "g.subclass", F.explode("g.reps").alias("r"))
+    groups = _parsed(t).select("material_id", F.explode(whole("band_groups")).alias("g"))
+    reps = groups.select("material_id", "g.num_bands", "g.subclass", F.explode(whole(F.col("g.reps"))).alias("r"))
     return reps.select("material_id", "num_bands", "subclass", "r.*")
 
 
@@ -132,7 +133,7 @@ def band_table_text(t: Tables):
     """,
 )
 def transition_rows(t: Tables):
-    rows = _parsed(t).select("material_id", F.explode("transitions").alias("t"))
+    rows = _parsed(t).select("material_id", F.explode(whole("transitions")).alias("t"))
     entries = F.transform(F.array_sort(F.map_entries("t.indices")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return rows.select(
         "material_id", "t.target_number", "t.target_symbol", F.array_join(entries, ",").alias("indices"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import last_value_map, let
+from .labels import trimmed
 
 # Names and patterns of the detail text.
 PAIR = r"([A-Za-z0-9π,]+)\s*=\s*(\d+)"
@@ -39,10 +40,6 @@ def _find(text: Column, *patterns: str, group: int = 1) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def formula(text: Column) -> Column:
     """First line of letters, digits and blanks only that is no header; stars around it are dropped."""
     lines = F.transform(F.split(text, r"\n"), lambda s: F.regexp_replace(s, r"^[\s*]+|[\s*]+$", ""))
@@ -56,12 +53,12 @@ def space_group(text: Column) -> Column:
     """(number, symbol) by the first of three patterns; stars in the symbol are dropped."""
     return F.struct(
         _find(text, *SPACE_GROUP_PATTERNS).try_cast("int").alias("number"),
-        F.replace(_trim(_find(text, *SPACE_GROUP_PATTERNS, group=2)), F.lit("*"), F.lit("")).alias("symbol"),
+        F.replace(trimmed(_find(text, *SPACE_GROUP_PATTERNS, group=2)), F.lit("*"), F.lit("")).alias("symbol"),
     )
 
 
 def status(text: Column) -> Column:
-    return F.struct(_trim(_find(text, STATUS)).alias("type"), _trim(_find(text, STATUS, group=2)).alias("subtype"))
+    return F.struct(trimmed(_find(text, STATUS)).alias("type"), trimmed(_find(text, STATUS, group=2)).alias("subtype"))
 
 
 def named_integers(text: Column) -> Column:
@@ -116,7 +113,7 @@ def band_groups(text: Column) -> Column:
     label without ``(d)`` has a NULL degeneracy.
     """
     section = F.coalesce(_find(text, BAND_SECTION), F.lit(""))
-    lines = F.transform(F.split(_trim(section), r"\n"), _trim)
+    lines = F.transform(F.split(trimmed(section), r"\n"), trimmed)
 
     def rows(all_lines: Column) -> Column:
         # The header names come from the fixed pattern above.
@@ -129,7 +126,7 @@ def band_groups(text: Column) -> Column:
             hit = word.rlike(pattern)
             return F.struct(
                 name.alias("k_point"),
-                F.when(hit, F.regexp_extract(word, pattern, 1)).otherwise(_trim(word)).alias("irrep_label"),
+                F.when(hit, F.regexp_extract(word, pattern, 1)).otherwise(trimmed(word)).alias("irrep_label"),
                 F.when(hit, F.regexp_extract(word, pattern, 2).try_cast("int")).alias("degeneracy"),
             )
 
@@ -159,14 +156,14 @@ def transitions(text: Column) -> Column:
         F.lit(""),
     )
     lines = F.filter(
-        F.transform(F.split(section, r"\n"), _trim), lambda s: (s != "") & ~F.lower(s).rlike("^(symmetry group|---)")
+        F.transform(F.split(section, r"\n"), trimmed), lambda s: (s != "") & ~s.rlike("(?i)^(symmetry group|---)")
     )
 
     def blocks(all_lines: Column) -> Column:
         starts = F.filter(
             F.transform(all_lines, lambda s, i: F.when(s.rlike(TRANSITION_START), i + 1)), lambda i: i.isNotNull()
         )
-        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(all_lines) + 1))
+        ends = lambda starts: F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(all_lines) + 1))
 
         def block(start: Column, end: Column) -> Column:
             first = F.element_at(all_lines, start)
@@ -175,12 +172,12 @@ def transitions(text: Column) -> Column:
             notes = F.filter(rest, lambda s: ~s.rlike(PAIR))
             return F.struct(
                 F.regexp_extract(first, TRANSITION_START, 1).try_cast("int").alias("target_number"),
-                _trim(F.regexp_extract(first, TRANSITION_START, 2)).alias("target_symbol"),
+                trimmed(F.regexp_extract(first, TRANSITION_START, 2)).alias("target_symbol"),
                 named_integers(body).alias("indices"),
                 F.get(notes, F.lit(0)).alias("info"),
             )
 
-        return F.when(F.size(starts) > 0, F.zip_with(starts, ends, block))
+        return let(starts, lambda at: F.when(F.size(at) > 0, F.zip_with(at, ends(at), block)))
 
     empty = F.array().cast("array<struct<target_number:int,target_symbol:string,indices:map<string,int>,info:string>>")
     return F.coalesce(let(lines, blocks), empty)
