@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -374,11 +375,42 @@ def _between(open_: DataFrame, cloud: str, coords: list[str]) -> DataFrame:
     return pairs.where(F.col("w") <= F.col("_r")).drop("_r")
 
 
+# Positions of a cloud whose tree is spanned at once; larger ones go through radii and forests.
+SMALL_CLOUD = 64
+FAR = np.finfo(float).max
+
+
+def _tree_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lengths of the minimum spanning trees of whole small clouds (cloud, flat coordinates, n), by Prim's rule for all clouds of a size at once."""
+    for batch in batches:
+        clouds, sizes, flat = batch.column(0), batch.column(2).to_numpy(), batch.column(1)
+        for n in np.unique(sizes):
+            rows = np.flatnonzero(sizes == n)
+            x = flat.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n, -1)
+            at, every = np.zeros(len(rows), np.int64), np.arange(len(rows))
+            open_, near = np.ones((len(rows), n), bool), np.full((len(rows), n), FAR)
+            lengths = []
+            for _ in range(n - 1):
+                open_[every, at] = False
+                gap = x - x[every, at][:, None]
+                square = gap[:, :, 0] * gap[:, :, 0]
+                for i in range(1, x.shape[2]):
+                    square = square + gap[:, :, i] * gap[:, :, i]
+                # A position without a number stays apart.
+                near = np.fmin(near, np.sqrt(square))
+                left = np.where(open_, near, np.inf)
+                at = left.argmin(1)
+                lengths.append(left[every, at])
+            names = clouds.take(pa.array(np.repeat(rows, n - 1)))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.stack(lengths, 1).ravel())], ["_cloud", "w"])
+
+
 def bar_lengths(points: DataFrame, cloud: str, coords: list[str], reach: float = CURVE_REACH) -> tuple[DataFrame, DataFrame]:
     """((cloud, length) of the bars of dimension 0 that end within ``reach``, (cloud, n) positions of each cloud).
 
-    The bars' lengths are those of the minimum spanning tree. Its edges are found by length: pairs within a radius that
-    follows from the cloud's density, then within a ``GROWTH`` times larger one among what is still apart. One path for clouds of any size.
+    The bars' lengths are those of the minimum spanning tree. Trees of up to ``SMALL_CLOUD`` positions are spanned at once, many
+    clouds a task. Edges of larger ones are found by length: pairs within a radius that follows from the cloud's density, then within a
+    ``GROWTH`` times larger one among what is still apart.
     """
     name, cloud = cloud, "_cloud"
     distinct = points.select(F.col(name).alias(cloud), *[F.col(c).cast("double").alias(c) for c in coords]).distinct()
@@ -386,20 +418,24 @@ def bar_lengths(points: DataFrame, cloud: str, coords: list[str], reach: float =
     extent = F.greatest(*[F.max(c) - F.min(c) for c in coords]) if len(coords) > 1 else F.max(coords[0]) - F.min(coords[0])
     sizes = cut_lineage(positions.groupBy(cloud).agg(F.count(F.lit(1)).alias("n"), extent.alias("_extent")))
     start = F.least(F.lit(reach), 2 * F.col("_extent") / F.pow("n", F.lit(1 / len(coords))))
-    state = cut_lineage(positions.join(sizes.where("n > 1").select(cloud, start.alias("_r")), cloud).withColumn("comp", F.col("pid")))
-    bars = None
+    lists = positions.join(sizes.where(F.col("n").between(2, SMALL_CLOUD)).select(cloud, "n"), cloud).groupBy(cloud, "n")
+    lists = lists.agg(F.flatten(F.collect_list(F.array(*coords))).alias("_x")).select(cloud, "_x", F.col("n").cast("int").alias("n"))
+    fields = [StructField(cloud, positions.schema[cloud].dataType), *StructType.fromDDL("w double").fields]
+    small = lists.mapInArrow(_tree_lengths, StructType(fields)).where(F.col("w") <= reach)
+    if not sizes.where(F.col("n") > SMALL_CLOUD).limit(1).count():
+        return small.select(F.col(cloud).alias(name), F.col("w").alias("length")), sizes.select(F.col(cloud).alias(name), "n")
+    state = cut_lineage(positions.join(sizes.where(F.col("n") > SMALL_CLOUD).select(cloud, start.alias("_r")), cloud).withColumn("comp", F.col("pid")))
+    bars = small
     while True:
         made = _forest(_between(state, cloud, coords), cloud)
         if made is not None:
             lengths, roots = made
-            bars = lengths if bars is None else bars.unionByName(lengths)
+            bars = bars.unionByName(lengths)
             state = _relabelled(state, "comp", roots)
         apart = state.groupBy(cloud).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.first("_r").alias("_was"))
         apart = apart.where((F.col("_lo") != F.col("_hi")) & (F.col("_was") < reach))
         apart = cut_lineage(apart.select(cloud, F.least(F.lit(reach), F.col("_was") * GROWTH).alias("_r")))
         if apart.isEmpty():
-            none = sizes.where("false").select(cloud, F.lit(0.0).alias("w"))
-            bars = none if bars is None else bars
             return bars.select(F.col(cloud).alias(name), F.col("w").alias("length")), sizes.select(F.col(cloud).alias(name), "n")
         state = cut_lineage(state.drop("_r").join(apart, cloud))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from latticeframe.catalog.similarity import PART_SPEC
 from latticeframe.functions import formulas, html, sections
+from latticeframe.operators import clustering as cl
 from latticeframe.operators import graphs as gr
 from latticeframe.operators import joins as jn
 from latticeframe.operators import similarity as sim
@@ -180,3 +181,22 @@ def test_pages_are_read_into_flat_columns(spark):
     assert [tuple(x) for x in got[0].links] == [("l", False, "u")] and got[0].texts == ["a", "1", "2", "l", "&", "in", "t < u <i"]
     assert got[1].tables is None and got[2].tables == [] and got[2].texts == []
     assert isinstance(html.read_page(page)["links"][0], tuple)
+
+
+def test_small_clouds_are_spanned_at_once(spark, monkeypatch):
+    """Same bars as by radii, a position without a number apart, and no forest where all clouds are small."""
+    rng = np.random.default_rng(9)
+    rows = [(c, float(x), float(y)) for c, n in enumerate([1, 2, 3, 7, 40, 64, 65, 150]) for x, y in rng.integers(0, 30, (n, 2))]
+    df = spark.createDataFrame([*rows, (3, None, 1.0), (8, None, 2.0), (8, 1.0, 1.0), (8, 2.0, 1.0)], "c int, x double, y double").localCheckpoint()
+
+    def bars(rows):
+        lengths, sizes = cl.bar_lengths(rows, "c", ["x", "y"], 5.0)
+        return sorted((r.c, round(r.length, 9)) for r in lengths.collect()), sorted(map(tuple, sizes.collect()))
+
+    got = bars(df)
+    forests = []
+    forest = cl._forest
+    monkeypatch.setattr(cl, "_forest", lambda *rest: forests.append(1) or forest(*rest))
+    assert bars(df.where("c < 5"))[1] and not forests
+    monkeypatch.setattr(cl, "SMALL_CLOUD", 1)
+    assert bars(df) == got and forests and (8, 1.0) in got[0]
