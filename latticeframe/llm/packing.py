@@ -15,6 +15,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from ..session import cut_lineage
 from .text import filled, keyed, release, slices, small_batches
 
 END_ID = 1
-# Words whose ids a task remembers; the memory starts anew beyond it.
-REMEMBER = 200_000
+# Words whose ids a worker remembers; the memory starts anew beyond it.
+REMEMBER = 400_000
+TOKENS_BYTES = 8 << 20
 PARTS = 64
 
 
@@ -69,9 +71,10 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBER and self.known:
             self._forget()
             new = words
-        plain = [w for w in new if w.isalpha()]
+        plain, rest = [], []
+        for w in new:
+            (plain if w.isalpha() else rest).append(w)
         lines = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        rest = [w for w in new if not w.isalpha()]
         for line in lines:
             # One line at a time: an encoding is many times larger than its ids.
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, np.int32)
@@ -107,15 +110,21 @@ class Encoder:
         return self.flat[index], np.concatenate([[0], ends])[per_text[1:]]
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> Encoder:
+    """A worker's encoder: what it has learned serves its later tasks as well."""
+    return Encoder(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece int, start long, length long, ids_crc32 long) of whole texts with the end token."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = kept_encoder(tokenizer_path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TOKENS_BYTES):
                 flat, ends = encoder.ids(part.column("text"))
                 flat = flat.astype("<u4")
                 rows, piece, start, length, crc = [], [], [], [], []
@@ -134,8 +143,6 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096)
                 columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
             release()
-        del encoder
-        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, keyed("piece int, start long, length long, ids_crc32 long", doc_id=kind))
 
