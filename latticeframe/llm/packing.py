@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import filled, keyed, release, slices, small_batches
+from .text import KEPT, filled, keyed, release, slices, small_batches
 
 END_ID = 1
 # Words whose ids a worker remembers; the memory starts anew beyond it.
 REMEMBER = 400_000
 TOKENS_BYTES = 8 << 20
+LOOKED_UP = 1 << 17
 PARTS = 64
 
 
@@ -97,25 +98,35 @@ class Encoder:
         parts = pc.ascii_split_whitespace(texts)
         per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        del texts, parts
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         self._learn(words)
         known = self.known
-        place = np.fromiter((known[w] for w in words), np.int64, len(words))
-        at = place[coded.indices.to_numpy(zero_copy_only=False)]
-        begin = self.begin[at]
-        sizes = self.begin[at + 1] - begin
-        ends = np.cumsum(sizes)
-        index = np.repeat(begin - ends + sizes, sizes)
-        index += np.arange(len(index))
-        return self.flat[index], np.concatenate([[0], ends])[per_text[1:]]
+        place = np.fromiter((known[w] for w in words), np.int32, len(words))
+        del words
+        found, last = [np.zeros(0, np.int32)], np.zeros(len(codes) + 1, np.int64)
+        # Some words at a time: their places take several times the room of the ids.
+        for i in range(0, len(codes), LOOKED_UP):
+            at = place[codes[i : i + LOOKED_UP]]
+            begin = self.begin[at]
+            sizes = self.begin[at + 1] - begin
+            ends = np.cumsum(sizes)
+            index = np.repeat(begin - ends + sizes, sizes)
+            index += np.arange(len(index))
+            found.append(self.flat[index])
+            last[i + 1 : i + 1 + len(at)] = last[i] + ends
+        return np.concatenate(found), last[per_text[1:]]
 
 
 @lru_cache(maxsize=1)
 def kept_encoder(path: str) -> Encoder:
-    """A worker's encoder: what it has learned serves its later tasks as well."""
+    """A worker's encoder: what it has learned serves its later tasks as well, until one of another operator comes."""
     return Encoder(path)
 
 
+KEPT.append(kept_encoder.cache_clear)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece int, start long, length long, ids_crc32 long) of whole texts with the end token."""
     small_batches(docs.sparkSession)

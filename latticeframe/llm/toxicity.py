@@ -45,12 +45,23 @@ def _features(token: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)] if word else []
 
 
+def _kinds(tokens: pa.Array) -> Iterator[pa.Array]:
+    """``_features`` of all tokens at once, kind by kind (null: the token has none of it)."""
+    words = pc.utf8_trim(tokens, characters=STRIP)
+    sizes = pc.utf8_length(words)
+    for k in (0, *PREFIXES):
+        named = pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, k), "") if k else pc.binary_join_element_wise("=", words, "")
+        yield pc.if_else(pc.greater(sizes, k), named, pa.scalar(None, named.type))
+
+
 def _tokens(texts: pa.Array):
     """Token codes with rows and sentence numbers (over the whole batch), and the distinct tokens."""
     marked = pc.replace_substring(filled(texts), "\n", f" {LINE} ")
-    codes, rows, words = token_codes(marked)
-    tokens = words.to_pylist()
-    ends = np.fromiter((w.endswith(ENDS) or w == LINE for w in tokens), bool, len(tokens))[codes]
+    codes, rows, tokens = token_codes(marked)
+    ends = pc.equal(tokens, LINE)
+    for mark in ENDS:
+        ends = pc.or_(ends, pc.ends_with(tokens, mark))
+    ends = ends.to_numpy(zero_copy_only=False)[codes]
     starts = np.ones(len(codes), bool)
     starts[1:] = ends[:-1] | (rows[1:] != rows[:-1])
     return codes, rows, np.cumsum(starts) - 1, tokens
@@ -65,32 +76,29 @@ def _sigmoid(x):
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold a feature, summed per slice."""
+    """Documents of either label that hold a feature, summed per slice and kind of feature."""
     for batch in batches:
         for part in slices(batch):
             codes, rows, _, tokens = _tokens(part.column("text"))
             toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-            names: dict[str, int] = {}
-            lists = [[names.setdefault(f, len(names)) for f in _features(t)] for t in tokens]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
-            begin = np.concatenate([[0], np.cumsum(sizes)])
-            pairs = np.unique(rows * max(len(tokens), 1) + codes)
-            doc, code = np.divmod(pairs, max(len(tokens), 1))
-            n = sizes[code]
-            at = np.repeat(begin[code] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            held = np.unique(np.repeat(doc, n) * max(len(names), 1) + flat[at])
-            doc, feature = np.divmod(held, max(len(names), 1))
-            hot = np.bincount(feature[toxic[doc]], minlength=len(names))
-            cold = np.bincount(feature[~toxic[doc]], minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(hot, pa.int64()), pa.array(cold, pa.int64())], ["feature", "hot", "cold"])
-
-
-def _token_features(tokens: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of tokens with features in ``index``: a flag by code, where each one's features begin, and the features."""
-    lists = [[index[f] for f in _features(t) if f in index] for t in tokens]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return sizes, np.concatenate([[0], np.cumsum(sizes)]), np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
+            doc, code = np.divmod(np.unique(rows * max(len(tokens), 1) + codes), max(len(tokens), 1))
+            del codes, rows
+            for kind in _kinds(tokens):
+                coded = kind.dictionary_encode()
+                names, feature = coded.dictionary, coded.indices.fill_null(-1).to_numpy()[code].astype(np.int64)
+                held = np.unique((doc * len(names) + feature)[feature >= 0])
+                of, feature = np.divmod(held, max(len(names), 1))
+                hot = np.bincount(feature[toxic[of]], minlength=len(names))
+                cold = np.bincount(feature[~toxic[of]], minlength=len(names))
+                yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(hot, pa.int64()), pa.array(cold, pa.int64())], ["feature", "hot", "cold"])
+
+
+def _token_features(tokens: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens with features in ``index``: their number by code, where each one's features begin, and the features."""
+    known = pa.array(list(index), tokens.type)
+    found = np.stack([pc.fill_null(pc.index_in(kind, known, skip_nulls=True), -1).to_numpy(zero_copy_only=False) for kind in _kinds(tokens)], 1)
+    sizes = (found >= 0).sum(1)
+    return sizes, np.concatenate([[0], np.cumsum(sizes)]), found[found >= 0].astype(np.int64)
 
 
 def _bags(index: dict[str, int]):
